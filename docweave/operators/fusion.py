@@ -37,7 +37,7 @@ def fuse(dense: DataFrame, lexical: DataFrame, k: int, method: str = "rrf",
     part = lambda w, r: F.coalesce(F.lit(w) / (F.col(r) + rrf_k), F.lit(0.0))
     both = merged(dense, lexical).select(
         "query_id", "doc_id",
-        F.round(wd * F.col("dense_score") + wx * F.col("bm25_score"), 6).alias("score"),
+        F.round(wd * F.col("dense_score") + wx * F.col("bm25_score"), 7).alias("score"),
         F.round(part(wd, "dense_rank") + part(wx, "bm25_rank"), 9).alias("rrf"),
     )
     order = [F.desc("rrf"), F.desc("score"), "doc_id"] if method == "rrf" else [F.desc("score"), "doc_id"]
@@ -78,7 +78,7 @@ def rerank(candidates: DataFrame, top_n: int,
         .withColumn("rank", F.row_number().over(w).cast("bigint"))
         .filter(F.col("rank") <= top_n)
         .select("query_id", "doc_id", "rank", "pair_score",
-                F.round(0.7 * F.col("pair_score") + 0.3 * F.col("score"), 6).alias("score"))
+                F.round(0.7 * F.col("pair_score") + 0.3 * F.col("score"), 7).alias("score"))
     )
 
 

@@ -9,70 +9,76 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.operators.skew import salted_join
+from docweave.operators.tables import written
 
 K1 = 1.5
 B = 0.75
+SEED_TERMS = 4
 SLACK = 1e-5  # scores are ranked at six digits; bounds keep this margin
 
 
+DOCUMENT = ""  # the term of the row that stands for the document itself
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``postings(doc_id, dl, term, tf)``, ``terms(term, df)``, one-row ``stats(n_docs, n_tokens)``."""
+    """``rows(doc_id, dl, term, tf)``: one per document and term, and one per document.
+
+    The document row carries the length of documents whose terms are not indexed, so
+    collection statistics need no second pass over the texts.
+    """
 
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
+    rows: DataFrame
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Persist; postings are clustered by term so that a term lookup reads few files."""
-        (self.postings.repartitionByRange(buckets, "term", "doc_id")
-         .sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings"))
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows.filter(F.col("term") != DOCUMENT)
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.rows.filter(F.col("term") == DOCUMENT).agg(
+            F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"))
+
+    def write(self, path: str, partitions: int = 64) -> None:
+        """Persist sorted by term, so that looking up terms skips most row groups."""
+        (self.rows.repartitionByRange(partitions, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+         .write.mode("overwrite").parquet(path))
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "LexicalIndex":
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+        return LexicalIndex(spark.read.parquet(path))
 
 
 def doc_tokens(corpus: DataFrame) -> DataFrame:
-    """One row per token of ``corpus(doc_id, text)``, with the document length."""
-    return corpus.select("doc_id", tx.tokens(F.col("text")).alias("toks")).select(
-        "doc_id", F.size("toks").cast("bigint").alias("dl"), F.explode("toks").alias("term")
+    """One row per token of ``corpus(doc_id, text)`` and one per document with tokens."""
+    return (
+        corpus.select("doc_id", tx.tokens(F.col("text")).alias("toks")).filter(F.size("toks") > 0)
+        .select("doc_id", F.size("toks").cast("bigint").alias("dl"),
+                F.explode(F.array_append("toks", F.lit(DOCUMENT))).alias("term"))
     )
 
 
 def build_index(corpus: DataFrame, only_terms: DataFrame | None = None) -> LexicalIndex:
     """Index ``corpus(doc_id, text)``; documents without tokens are skipped.
 
-    With ``only_terms(term)`` the postings of all other terms are dropped before the
-    shuffle; collection statistics still cover everything.
+    With ``only_terms(term)`` all other postings are dropped before the shuffle.
     """
     rows = doc_tokens(corpus)
     if only_terms is not None:
-        rows = rows.join(only_terms, "term", "left_semi")
-    postings = rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = corpus.select(
-        F.regexp_count(F.lower("text"), F.lit(tx.TOKEN)).cast("bigint").alias("dl")
-    ).filter("dl > 0")
-    stats = lengths.agg(
-        F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")
-    )
-    return LexicalIndex(postings, terms, stats)
+        wanted = only_terms.unionByName(only_terms.limit(1).select(F.lit(DOCUMENT).alias("term")))
+        rows = rows.join(wanted, "term", "left_semi")
+    return LexicalIndex(rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
 
 
 def extend_index(index: LexicalIndex, new_docs: DataFrame) -> LexicalIndex:
-    """Add documents whose id is not indexed yet; frequencies and lengths re-aggregate."""
-    known = index.postings.select("doc_id").distinct()
+    """Add documents whose id is not indexed yet; statistics re-aggregate from the rows."""
+    known = index.rows.filter(F.col("term") == DOCUMENT).select("doc_id")
     fresh = build_index(new_docs.join(known, "doc_id", "left_anti"))
-    return LexicalIndex(
-        index.postings.unionByName(fresh.postings),
-        index.terms.unionByName(fresh.terms).groupBy("term").agg(F.sum("df").alias("df")),
-        index.stats.unionByName(fresh.stats).agg(
-            F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")
-        ),
-    )
+    return LexicalIndex(index.rows.unionByName(fresh.rows))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -84,14 +90,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def _idf(index: LexicalIndex):
-    n = index.stats.select("n_docs").scalar()
+def _idf(stats: DataFrame):
+    n = stats.select("n_docs").scalar()
     df = F.col("df")
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def _saturation(index: LexicalIndex, k1: float, b: float):
-    avgdl = index.stats.select(F.col("n_tokens") / F.col("n_docs")).scalar()
+def _saturation(stats: DataFrame, k1: float, b: float):
+    avgdl = stats.select(F.col("n_tokens") / F.col("n_docs")).scalar()
     tf = F.col("tf")
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
 
@@ -99,13 +105,12 @@ def _saturation(index: LexicalIndex, k1: float, b: float):
 def bm25_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame,
                k1: float = K1, b: float = B) -> DataFrame:
     """Score given ``pairs(query_id, doc_id)``; pairs sharing no term score 0."""
-    qt = query_terms(queries)
-    index = build_index(corpus, qt.select("term").distinct())
+    qt = written(query_terms(queries))
+    index = LexicalIndex(written(build_index(corpus, qt.select("term").distinct()).rows))
     weights = qt.join(index.terms, "term").select(
-        "query_id", "term", (F.col("qtf") * _idf(index)).alias("w")
-    )
+        "query_id", "term", (F.col("qtf") * _idf(index.stats)).alias("w"))
     hits = (
-        index.postings.select("doc_id", "term", _saturation(index, k1, b).alias("g"))
+        index.postings.select("doc_id", "term", _saturation(index.stats, k1, b).alias("g"))
         .join(pairs, "doc_id")
         .join(weights, ["query_id", "term"])
         .select("query_id", "doc_id", (F.col("w") * F.col("g")).alias("s"))
@@ -123,76 +128,81 @@ def top_per_query(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _summed(g: DataFrame, weights: DataFrame, counts: DataFrame, min_rows: int) -> DataFrame:
+    """Sum of weighted postings per (query, document); long posting lists are salted."""
+    return (
+        salted_join(g, weights, "term", counts, min_rows=min_rows, spread="doc_id")
+        .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("g")).alias("score"))
+    )
+
+
+def _looked_up(pairs: DataFrame, weights: DataFrame, g: DataFrame) -> DataFrame:
+    """Sum of weighted postings for given (query, document) pairs."""
+    return (
+        pairs.join(weights, "query_id").join(g, ["doc_id", "term"])
+        .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("g")).alias("score"))
+    )
+
+
+def _kth(scored: DataFrame, k: int) -> DataFrame:
+    return top_per_query(scored, k).groupBy("query_id").agg(
+        F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("kth"))
+
+
 def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
               index: LexicalIndex | None = None, k1: float = K1, b: float = B,
-              min_rows: int = 100_000) -> DataFrame:
+              seeds: int = SEED_TERMS, min_rows: int = 100_000) -> DataFrame:
     """Exact BM25 top-k of every query: ``(query_id, doc_id, rank, score, rel_score)``.
 
     Scoring every document that shares any word with a query would join the longest
-    posting lists with nearly all queries. Instead, upper bounds decide per query which
-    terms can lift a document into the top k on their own; only their postings are
-    joined. The remaining, common terms are looked up for the surviving documents.
-    The result equals full scoring.
+    posting lists with nearly all queries. Here the few weightiest terms of a query pick
+    k documents whose full scores give a first lower bound of its k-th score. Terms whose best possible contributions
+    together stay under that bound cannot bring a new document into the top k: they are
+    not joined, only looked up for documents that survive a second bound. The result
+    equals full scoring.
     """
-    qt = query_terms(queries)
+    qt = written(query_terms(queries))
+    wanted = qt.select("term").distinct()
     if index is None:
-        index = build_index(corpus, qt.select("term").distinct())
-        postings = index.postings
+        index = LexicalIndex(written(build_index(corpus, wanted).rows))
     else:
-        postings = index.postings.join(qt.select("term").distinct(), "term", "left_semi")
-    g = postings.select("doc_id", "term", _saturation(index, k1, b).alias("g"))
-
-    by_g = Window.partitionBy("term").orderBy(F.desc("g"))
-    best = (
-        g.withColumn("r", F.row_number().over(by_g)).filter(F.col("r") <= k)
-        .groupBy("term")
-        .agg(F.max("g").alias("max_g"), F.min("g").alias("kth_g"), F.count("*").alias("n_best"))
-    )
-    weighted = (
-        qt.join(index.terms, "term").withColumn("w", F.col("qtf") * _idf(index))
-        .join(best, "term")
-        .select(
-            "query_id", "term", "w",
-            (F.col("w") * F.col("max_g")).alias("bound"),
-            F.when(F.col("n_best") >= k, F.col("w") * F.col("kth_g")).otherwise(0.0).alias("floor"),
-        )
-    )
-    per_query = Window.partitionBy("query_id")
-    ascending = per_query.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    split = (
-        weighted
-        .withColumn("theta", F.max("floor").over(per_query))
-        .withColumn("leads", F.sum("bound").over(ascending) >= F.col("theta") - SLACK)
-        .withColumn("rest", F.sum(F.when(~F.col("leads"), F.col("bound")).otherwise(0.0)).over(per_query))
-        .select("query_id", "term", "w", "leads", "rest")
-    )
+        index = LexicalIndex(index.rows.join(
+            wanted.unionByName(wanted.limit(1).select(F.lit(DOCUMENT).alias("term"))), "term", "left_semi"))
+    g = index.postings.select("doc_id", "term", _saturation(index.stats, k1, b).alias("g"))
+    terms = written(g.groupBy("term").agg(F.count("*").alias("df"), F.max("g").alias("max_g")))
+    counts = terms.select("term", F.col("df").alias("n"))
 
-    counts = index.terms.select("term", F.col("df").alias("n"))
-    led = (
-        salted_join(g, split.filter("leads").drop("leads"), "term", counts,
-                    min_rows=min_rows, spread="doc_id")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("w") * F.col("g")).alias("score"), F.max("rest").alias("rest"))
-    )
-    kth = (
-        top_per_query(led, k).groupBy("query_id")
-        .agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("kth"))
-    )
-    alive = led.join(kth, "query_id").filter(
-        F.col("score") + F.col("rest") >= F.col("kth") - SLACK
-    ).select("query_id", "doc_id", "score")
-    lookups = (
-        alive.select("query_id", "doc_id")
-        .join(split.filter(~F.col("leads")).select("query_id", "term", "w"), "query_id")
-        .join(g, ["doc_id", "term"])
-        .select("query_id", "doc_id", (F.col("w") * F.col("g")).alias("score"))
-    )
+    per_query = Window.partitionBy("query_id")
+    heaviest = per_query.orderBy(F.desc("bound"), "term")
+    ascending = per_query.orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    weighted = written(
+        qt.join(terms, "term").withColumn("w", F.col("qtf") * _idf(index.stats))
+        .withColumn("bound", F.col("w") * F.col("max_g"))
+        .withColumn("heavy", F.row_number().over(heaviest) <= seeds)
+        .withColumn("upto", F.sum("bound").over(ascending))
+        .select("query_id", "term", "w", "upto", "heavy")
+    )
+    by_term = weighted.select("query_id", "term", "w")
+    seeded = top_per_query(_summed(g, weighted.filter("heavy").select("query_id", "term", "w"), counts, min_rows), k)
+    first = _kth(_looked_up(seeded.select("query_id", "doc_id"), by_term, g), k)
+    split = written(
+        weighted.join(first, "query_id", "left")
+        .withColumn("leads", F.col("heavy") | (F.col("upto") >= F.coalesce("kth", F.lit(0.0)) - SLACK))
+        .withColumn("rest", F.coalesce(F.max(F.when(~F.col("leads"), F.col("upto"))).over(per_query), F.lit(0.0)))
+        .select("query_id", "term", "w", "leads", "rest", F.coalesce("kth", F.lit(0.0)).alias("theta"))
+    )
+    led = _summed(g, split.filter("leads").select("query_id", "term", "w"), counts, min_rows)
+    bound = split.select("query_id", "rest", "theta").distinct().join(_kth(led, k), "query_id").select(
+        "query_id", (F.greatest("theta", "kth") - F.col("rest") - SLACK).alias("need"))
+    alive = led.join(bound, "query_id").filter(F.col("score") >= F.col("need")).select("query_id", "doc_id", "score")
+    lookups = _looked_up(
+        alive.select("query_id", "doc_id"), split.filter(~F.col("leads")).select("query_id", "term", "w"), g)
     scored = (
         alive.unionByName(lookups).groupBy("query_id", "doc_id")
         .agg(F.round(F.sum("score"), 6).alias("score"))
     )
     top = top_per_query(scored, k)
-    best_score = F.max("score").over(Window.partitionBy("query_id"))
+    best_score = F.max("score").over(per_query)
     return top.withColumn(
         "rel_score", F.round(F.when(best_score > 0, F.col("score") / best_score).otherwise(0.0), 6)
     ).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), "score", "rel_score")
@@ -200,10 +210,10 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
 
 def bm25_all(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """Every (query, document) pair sharing a term; for small inputs and tests."""
-    qt = query_terms(queries)
-    index = build_index(corpus)
-    w = qt.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * _idf(index)).alias("w"))
-    g = index.postings.select("doc_id", "term", _saturation(index, k1, b).alias("g"))
+    index = LexicalIndex(written(build_index(corpus).rows))
+    w = query_terms(queries).join(index.terms, "term").select(
+        "query_id", "term", (F.col("qtf") * _idf(index.stats)).alias("w"))
+    g = index.postings.select("doc_id", "term", _saturation(index.stats, k1, b).alias("g"))
     return (
         g.join(w, "term").groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(F.col("w") * F.col("g")), 6).alias("score"))
@@ -213,13 +223,9 @@ def bm25_all(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B
 def domain_terms(corpus: DataFrame, group: str, n: int) -> DataFrame:
     """Top ``n`` TF-IDF terms of every group: ``(group, term, tf, df, weight, rank)``."""
     owner = corpus.select("doc_id", group)
-    index = build_index(corpus)
-    tf = (
-        index.postings.join(owner, "doc_id").groupBy(group, "term")
-        .agg(F.sum("tf").alias("tf"))
-    )
+    index = LexicalIndex(written(build_index(corpus.select("doc_id", "text")).rows))
+    tf = index.postings.join(owner, "doc_id").groupBy(group, "term").agg(F.sum("tf").alias("tf"))
     scored = tf.join(index.terms, "term").select(
-        group, "term", "tf", "df", F.round(F.col("tf") * _idf(index), 6).alias("weight")
-    )
+        group, "term", "tf", "df", F.round(F.col("tf") * _idf(index.stats), 6).alias("weight"))
     w = Window.partitionBy(group).orderBy(F.desc("weight"), "term")
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)

@@ -5,29 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.operators.tables import written
+
 
 def _sliced(df: DataFrame, order: list[str]) -> DataFrame:
     """Range-partitioned by the order, each partition sorted and numbered.
 
     The slice number comes from the partition that range partitioning chose, so rows of a
-    lower slice precede those of a higher one. The result is checkpointed: the slices are read
+    lower slice precede those of a higher one. The result is written once: the slices are read
     twice and sampled range bounds need not repeat if a task is run again.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        set_checkpoint_dir(df.sparkSession)
     parted = df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
-    return parted.checkpoint()
-
-
-def set_checkpoint_dir(spark) -> None:
-    """Use the folder the cluster names; a temporary one only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
+    return written(parted)
 
 
 def running(df: DataFrame, order: list[str], **sums: Column) -> DataFrame:
