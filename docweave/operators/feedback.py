@@ -82,3 +82,9 @@ def learn_examples(log: DataFrame, known: DataFrame, min_confidence: float = 0.7
 def query_history(log: DataFrame, n: int = 100) -> DataFrame:
     """Last ``n`` successful and last ``n`` unsuccessful queries."""
     return newest_per(log.filter("is_correct is not null"), n, "is_correct")
+
+
+def implicit(classified: DataFrame, above: float = 0.8) -> DataFrame:
+    """Confident conversation needs no verdict: positive feedback at once. Also runs on a stream."""
+    return classified.filter((F.col("category") == "CONVERSATION") & (F.col("confidence") > above)).select(
+        "query_id", F.col("category").alias("predicted"), "confidence", F.lit(True).alias("is_correct"))

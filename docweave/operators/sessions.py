@@ -24,7 +24,8 @@ def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     before = last.select("_slice", F.max("last").over(earlier).alias("before"))
 
     previous = F.coalesce(F.lag(F.struct("user_id", "ts")).over(here), F.col("before"))
-    gap = F.unix_micros("ts") - F.unix_micros(F.col("previous.ts"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    gap = micros("ts") - micros("previous.ts")
     opens = (
         F.col("previous").isNull() | (F.col("previous.user_id") != F.col("user_id")) | (gap > gap_seconds * 1_000_000)
     )

@@ -65,7 +65,7 @@ def qa_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def query_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Five ranked documents per query: ``(query_id, rank, doc_id, source, text)``."""
     ranks = query_log(spark, sf).select(
-        "query_id", "session_id", F.explode(F.sequence(F.lit(1), F.lit(5))).cast("bigint").alias("rank"))
+        "query_id", "session_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(5).cast("bigint"))).alias("rank"))
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     return ranks.select("query_id", "rank", (F.col("session_id") + 7 * F.col("rank")).alias("doc_id")).join(
         docs, "doc_id").select("query_id", "rank", "doc_id", "source", "text")
