@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docweave.functions import scores
 from docweave.functions import text as tx
 from docweave.operators.lexical import LexicalIndex, bm25_topk
+from docweave.operators.tables import written
 from docweave.operators.vector import vector_topk
 
 RRF_K = 60
@@ -51,7 +52,8 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 4, fetch_k: int = FET
 
     The threshold applies after the cut to k, so a query may get fewer than k documents.
     """
-    dense = vector_topk(queries, corpus, fetch_k)
+    vectors = written(corpus.select("doc_id", "embedding"))  # counted and scanned: embed once
+    dense = vector_topk(written(queries.select("query_id", "embedding")), vectors, fetch_k)
     lexical = bm25_topk(queries.select("query_id", "text"), corpus.select("doc_id", "text"), fetch_k, index)
     return fuse(dense, lexical, k, method).filter(F.col("score") >= threshold)
 

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators.skew import salted_join
+from docweave.operators.skew import MIN_ROWS, hot_keys, salted_join
 from docweave.operators.tables import written
 
 K1 = 1.5
 B = 0.75
 SEED_TERMS = 4
+DIRECT_BELOW = 50_000_000
 SLACK = 1e-5  # scores are ranked at six digits; bounds keep this margin
 
 
@@ -55,11 +56,10 @@ class LexicalIndex:
 
 def doc_tokens(corpus: DataFrame) -> DataFrame:
     """One row per token of ``corpus(doc_id, text)`` and one per document with tokens."""
-    return (
-        corpus.select("doc_id", tx.tokens(F.col("text")).alias("toks")).filter(F.size("toks") > 0)
-        .select("doc_id", F.size("toks").cast("bigint").alias("dl"),
-                F.explode(F.array_append("toks", F.lit(DOCUMENT))).alias("term"))
-    )
+    toks = corpus.select("doc_id", tx.tokens(F.col("text")).alias("toks"))
+    # no filter on the tokens: it would move below and tokenize every text twice
+    listed = F.when(F.size("toks") > 0, F.array_append("toks", F.lit(DOCUMENT))).otherwise(F.array().cast("array<string>"))
+    return toks.select("doc_id", F.size("toks").cast("bigint").alias("dl"), F.explode(listed).alias("term"))
 
 
 def build_index(corpus: DataFrame, only_terms: DataFrame | None = None) -> LexicalIndex:
@@ -71,7 +71,9 @@ def build_index(corpus: DataFrame, only_terms: DataFrame | None = None) -> Lexic
     if only_terms is not None:
         wanted = only_terms.unionByName(only_terms.limit(1).select(F.lit(DOCUMENT).alias("term")))
         rows = rows.join(wanted, "term", "left_semi")
-    return LexicalIndex(rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+    # one shuffle by document serves the counts and keeps a document's postings together,
+    # so that sums per (query, document) are complete before they are shuffled
+    return LexicalIndex(rows.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
 
 
 def extend_index(index: LexicalIndex, new_docs: DataFrame) -> LexicalIndex:
@@ -90,14 +92,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def _idf(stats: DataFrame):
-    n = stats.select("n_docs").scalar()
+def _idf(stats: Row):
     df = F.col("df")
-    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+    return F.log((stats.n_docs - df + 0.5) / (df + 0.5) + 1)
 
 
-def _saturation(stats: DataFrame, k1: float, b: float):
-    avgdl = stats.select(F.col("n_tokens") / F.col("n_docs")).scalar()
+def _saturation(stats: Row, k1: float, b: float):
+    avgdl = stats.n_tokens / max(stats.n_docs, 1)
     tf = F.col("tf")
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
 
@@ -107,10 +108,11 @@ def bm25_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame,
     """Score given ``pairs(query_id, doc_id)``; pairs sharing no term score 0."""
     qt = written(query_terms(queries))
     index = LexicalIndex(written(build_index(corpus, qt.select("term").distinct()).rows))
+    stats = index.stats.first()
     weights = qt.join(index.terms, "term").select(
-        "query_id", "term", (F.col("qtf") * _idf(index.stats)).alias("w"))
+        "query_id", "term", (F.col("qtf") * _idf(stats)).alias("w"))
     hits = (
-        index.postings.select("doc_id", "term", _saturation(index.stats, k1, b).alias("g"))
+        index.postings.select("doc_id", "term", _saturation(stats, k1, b).alias("g"))
         .join(pairs, "doc_id")
         .join(weights, ["query_id", "term"])
         .select("query_id", "doc_id", (F.col("w") * F.col("g")).alias("s"))
@@ -128,10 +130,10 @@ def top_per_query(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _summed(g: DataFrame, weights: DataFrame, counts: DataFrame, min_rows: int) -> DataFrame:
+def _summed(g: DataFrame, weights: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Sum of weighted postings per (query, document); long posting lists are salted."""
     return (
-        salted_join(g, weights, "term", counts, min_rows=min_rows, spread="doc_id")
+        salted_join(g, weights, "term", hot, spread="doc_id")
         .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("g")).alias("score"))
     )
 
@@ -149,59 +151,74 @@ def _kth(scored: DataFrame, k: int) -> DataFrame:
         F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("kth"))
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
-              index: LexicalIndex | None = None, k1: float = K1, b: float = B,
-              seeds: int = SEED_TERMS, min_rows: int = 100_000) -> DataFrame:
-    """Exact BM25 top-k of every query: ``(query_id, doc_id, rank, score, rel_score)``.
+def _bounded_scores(g: DataFrame, weighted: DataFrame, hot: DataFrame | None, k: int) -> DataFrame:
+    """Full scores of all documents that can reach the top k of a query, and of few others.
 
-    Scoring every document that shares any word with a query would join the longest
-    posting lists with nearly all queries. Here the few weightiest terms of a query pick
-    k documents whose full scores give a first lower bound of its k-th score. Terms whose best possible contributions
-    together stay under that bound cannot bring a new document into the top k: they are
-    not joined, only looked up for documents that survive a second bound. The result
-    equals full scoring.
+    The weightiest terms of a query pick k documents whose full scores give a lower bound
+    of its k-th score. Terms whose best possible contributions together stay under that
+    bound cannot bring a new document into the top k: they are not joined, only looked up
+    for documents that survive a second bound.
     """
-    qt = written(query_terms(queries))
-    wanted = qt.select("term").distinct()
-    if index is None:
-        index = LexicalIndex(written(build_index(corpus, wanted).rows))
-    else:
-        index = LexicalIndex(index.rows.join(
-            wanted.unionByName(wanted.limit(1).select(F.lit(DOCUMENT).alias("term"))), "term", "left_semi"))
-    g = index.postings.select("doc_id", "term", _saturation(index.stats, k1, b).alias("g"))
-    terms = written(g.groupBy("term").agg(F.count("*").alias("df"), F.max("g").alias("max_g")))
-    counts = terms.select("term", F.col("df").alias("n"))
-
     per_query = Window.partitionBy("query_id")
     heaviest = per_query.orderBy(F.desc("bound"), "term")
     ascending = per_query.orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     weighted = written(
-        qt.join(terms, "term").withColumn("w", F.col("qtf") * _idf(index.stats))
-        .withColumn("bound", F.col("w") * F.col("max_g"))
-        .withColumn("heavy", F.row_number().over(heaviest) <= seeds)
+        weighted.withColumn("bound", F.col("w") * F.col("max_g"))
+        .withColumn("heavy", F.row_number().over(heaviest) <= SEED_TERMS)
         .withColumn("upto", F.sum("bound").over(ascending))
-        .select("query_id", "term", "w", "upto", "heavy")
+        .select("query_id", "term", "w", "df", "upto", "heavy")
     )
     by_term = weighted.select("query_id", "term", "w")
-    seeded = top_per_query(_summed(g, weighted.filter("heavy").select("query_id", "term", "w"), counts, min_rows), k)
+    seeded = top_per_query(_summed(g, weighted.filter("heavy").select("query_id", "term", "w"), hot), k)
     first = _kth(_looked_up(seeded.select("query_id", "doc_id"), by_term, g), k)
     split = written(
         weighted.join(first, "query_id", "left")
-        .withColumn("leads", F.col("heavy") | (F.col("upto") >= F.coalesce("kth", F.lit(0.0)) - SLACK))
+        .withColumn("theta", F.coalesce("kth", F.lit(0.0)))
+        .withColumn("leads", F.col("heavy") | (F.col("upto") >= F.col("theta") - SLACK))
         .withColumn("rest", F.coalesce(F.max(F.when(~F.col("leads"), F.col("upto"))).over(per_query), F.lit(0.0)))
-        .select("query_id", "term", "w", "leads", "rest", F.coalesce("kth", F.lit(0.0)).alias("theta"))
+        .select("query_id", "term", "w", "df", "leads", "rest", "theta")
     )
-    led = _summed(g, split.filter("leads").select("query_id", "term", "w"), counts, min_rows)
+    led_work, all_work = split.agg(F.sum(F.when(F.col("leads"), F.col("df"))), F.sum("df")).first()
+    if led_work is None or led_work * 4 > all_work:
+        return _summed(g, by_term, hot)  # hardly anything to leave out
+    led = _summed(g, split.filter("leads").select("query_id", "term", "w"), hot)
     bound = split.select("query_id", "rest", "theta").distinct().join(_kth(led, k), "query_id").select(
         "query_id", (F.greatest("theta", "kth") - F.col("rest") - SLACK).alias("need"))
     alive = led.join(bound, "query_id").filter(F.col("score") >= F.col("need")).select("query_id", "doc_id", "score")
     lookups = _looked_up(
         alive.select("query_id", "doc_id"), split.filter(~F.col("leads")).select("query_id", "term", "w"), g)
-    scored = (
-        alive.unionByName(lookups).groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum("score"), 6).alias("score"))
-    )
-    top = top_per_query(scored, k)
+    return alive.unionByName(lookups).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+
+
+def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
+              index: LexicalIndex | None = None, k1: float = K1, b: float = B,
+              direct_below: int = DIRECT_BELOW, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Exact BM25 top-k of every query: ``(query_id, doc_id, rank, score, rel_score)``.
+
+    Scoring every document that shares any word with a query joins the longest posting
+    lists with nearly all queries. With more than ``direct_below`` such matches, score
+    bounds leave out those that cannot matter; the result is the same.
+    """
+    qt = written(query_terms(queries))
+    wanted = qt.select("term").distinct()
+    if index is None:
+        index = LexicalIndex(written(build_index(corpus, wanted).rows))
+    else:
+        index = LexicalIndex(index.rows.join(
+            wanted.unionByName(wanted.limit(1).select(F.lit(DOCUMENT).alias("term"))), "term", "left_semi"))
+    stats = index.stats.first()
+    g = index.postings.select("doc_id", "term", _saturation(stats, k1, b).alias("g"))
+    terms = written(g.groupBy("term").agg(F.count("*").alias("df"), F.max("g").alias("max_g")))
+    hot = hot_keys(terms.select("term", F.col("df").alias("n")), "term", min_rows=min_rows)
+
+    weighted = qt.join(terms, "term").withColumn("w", F.col("qtf") * _idf(stats))
+    matches = weighted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    if matches <= direct_below:
+        sums = _summed(g, weighted.select("query_id", "term", "w"), hot)
+    else:
+        sums = _bounded_scores(g, weighted, hot, k)
+    per_query = Window.partitionBy("query_id")
+    top = top_per_query(sums.withColumn("score", F.round("score", 6)), k)
     best_score = F.max("score").over(per_query)
     return top.withColumn(
         "rel_score", F.round(F.when(best_score > 0, F.col("score") / best_score).otherwise(0.0), 6)
@@ -211,9 +228,10 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
 def bm25_all(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """Every (query, document) pair sharing a term; for small inputs and tests."""
     index = LexicalIndex(written(build_index(corpus).rows))
+    stats = index.stats.first()
     w = query_terms(queries).join(index.terms, "term").select(
-        "query_id", "term", (F.col("qtf") * _idf(index.stats)).alias("w"))
-    g = index.postings.select("doc_id", "term", _saturation(index.stats, k1, b).alias("g"))
+        "query_id", "term", (F.col("qtf") * _idf(stats)).alias("w"))
+    g = index.postings.select("doc_id", "term", _saturation(stats, k1, b).alias("g"))
     return (
         g.join(w, "term").groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(F.col("w") * F.col("g")), 6).alias("score"))
@@ -226,6 +244,6 @@ def domain_terms(corpus: DataFrame, group: str, n: int) -> DataFrame:
     index = LexicalIndex(written(build_index(corpus.select("doc_id", "text")).rows))
     tf = index.postings.join(owner, "doc_id").groupBy(group, "term").agg(F.sum("tf").alias("tf"))
     scored = tf.join(index.terms, "term").select(
-        group, "term", "tf", "df", F.round(F.col("tf") * _idf(index.stats), 6).alias("weight"))
+        group, "term", "tf", "df", F.round(F.col("tf") * _idf(index.stats.first()), 6).alias("weight"))
     w = Window.partitionBy(group).orderBy(F.desc("weight"), "term")
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)

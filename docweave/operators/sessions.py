@@ -53,6 +53,6 @@ def history(turns: DataFrame, n: int = HISTORY) -> DataFrame:
 def conversation_prompt(turns: DataFrame, n: int = HISTORY) -> DataFrame:
     """One prompt per conversation from its bounded history."""
     line = F.concat(F.initcap("role"), F.lit(": "), F.col("text"), F.lit("\n"))
-    lines = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))
     return history(turns, n).groupBy("conv_id").agg(
         F.concat(F.array_join(F.transform(lines, lambda e: e["line"]), ""), F.lit("Assistant: ")).alias("prompt"))

@@ -12,7 +12,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.operators.skew import salted_join
+from docweave.operators.skew import MIN_ROWS, hot_keys, salted_join
+from docweave.operators.tables import written
 
 EPS = 1e-9
 
@@ -22,27 +23,28 @@ def set_groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns ``reps(key, id, items, n)`` with the lowest id, and ``members(key, id)``.
     """
-    keyed = sets.filter(F.size("items") > 0).select(
-        "id", F.array_sort("items").alias("items")
-    ).withColumn("key", F.sha2(F.to_json("items"), 256))
-    reps = keyed.groupBy("key").agg(
+    # emptiness is tested on the written table: a filter here would compute every set twice
+    keyed = written(sets.select("id", F.sort_array("items").alias("items")).select(
+        "id", "items", F.size("items").alias("n"), F.sha2(F.array_join("items", "\x1f"), 256).alias("key")
+    )).filter("n > 0")
+    reps = written(keyed.groupBy("key").agg(
         F.min("id").alias("id"), F.first("items").alias("items"), F.count("*").alias("copies")
-    ).withColumn("n", F.size("items"))
+    ).withColumn("n", F.size("items")))
     return reps, keyed.select("key", "id")
 
 
-def member_edges(reps: DataFrame, members: DataFrame, min_rows: int = 100_000) -> DataFrame:
+def member_edges(reps: DataFrame, members: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """``(id_a, id_b)``: the lowest id of a set with each further member."""
     repeated = reps.filter("copies > 1")
+    hot = hot_keys(repeated.select("key", F.col("copies").alias("n")), "key", min_rows=min_rows)
     return (
         salted_join(members.withColumnRenamed("id", "id_b"),
-                    repeated.select("key", F.col("id").alias("id_a")), "key",
-                    repeated.select("key", F.col("copies").alias("n")), min_rows=min_rows, spread="id_b")
+                    repeated.select("key", F.col("id").alias("id_a")), "key", hot, spread="id_b")
         .filter("id_a <> id_b").select("id_a", "id_b")
     )
 
 
-def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool, min_rows: int = 100_000) -> DataFrame:
+def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool, min_rows: int = MIN_ROWS) -> DataFrame:
     """Pairs of distinct sets with Jaccard above ``threshold``: ``(id_a, id_b, jaccard)``, a < b.
 
     Items are ordered rarest first; two sets this similar must share one of their
@@ -50,23 +52,23 @@ def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool, min_rows: int
     the remaining pairs are verified on the full sets.
     """
     items = reps.select("id", "n", F.explode("items").alias("item"))
-    freq = items.groupBy("item").agg(F.count("*").alias("n"))
-    ranked = salted_join(items, freq.withColumnRenamed("n", "df"), "item", freq,
-                         min_rows=min_rows, spread="id")
+    freq = written(items.groupBy("item").agg(F.count("*").alias("n")))
+    ranked = salted_join(items, freq.withColumnRenamed("n", "df"), "item",
+                         hot_keys(freq, "item", min_rows=min_rows), spread="id")
     prefix_len = F.col("n") - F.ceil(F.col("n") * threshold - EPS) + 1
-    prefixes = (
+    prefixes = written(
         ranked.groupBy("id", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("by_rarity"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("by_rarity"))
         .select("id", "n", F.posexplode(F.slice("by_rarity", F.lit(1), prefix_len.cast("int"))).alias("pos", "e"))
-        .select("id", "n", "pos", F.col("e.item").alias("item"), F.col("e.df").alias("df"))
-        .filter("df > 1").drop("df")
+        .filter(F.col("e.df") > 1)
+        .select("id", "n", "pos", F.col("e.item").alias("item"))
     )
     other = prefixes.select("item", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos")))
-    counts = prefixes.groupBy("item").agg(F.count("*").alias("n"))
+    hot = hot_keys(prefixes.groupBy("item").agg(F.count("*").alias("n")), "item", min_rows=min_rows)
     need = F.ceil((F.col("n") + F.col("n_b")) * (threshold / (1 + threshold)) - EPS)
     reach = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
     candidates = (
-        salted_join(prefixes, other, "item", counts, min_rows=min_rows, spread="id")
+        salted_join(prefixes, other, "item", hot, spread="id")
         .filter(F.col("id") < F.col("id_b"))
         .filter(F.least("n", "n_b") >= F.greatest("n", "n_b") * threshold - EPS)
         .filter(reach >= need)
@@ -83,7 +85,7 @@ def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool, min_rows: int
     return verified.filter(F.col("jaccard") > threshold if strict else F.col("jaccard") >= threshold)
 
 
-def similar_sets(sets: DataFrame, threshold: float, strict: bool, min_rows: int = 100_000) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, strict: bool, min_rows: int = MIN_ROWS) -> DataFrame:
     """Factored self-join of ``sets(id, items)``: ``(id_a, id_b, jaccard)``."""
     assert 0 < threshold < 1 and not math.isnan(threshold)
     reps, members = set_groups(sets)

@@ -9,32 +9,31 @@ SHARE = 1000
 MIN_ROWS = 100_000
 
 
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    key: str,
-    counts: DataFrame,
-    share: int = SHARE,
-    min_rows: int = MIN_ROWS,
-    spread: str | None = None,
-) -> DataFrame:
-    """Inner equi-join on ``key``; hot keys of ``big`` are split over salts.
-
-    ``counts(key, n)`` gives the rows of ``big`` per key. A key is hot when it holds
-    more than 1/``share`` of all rows, so there are fewer than ``share`` hot keys and
-    the table of them can be broadcast whatever the data size. The matching rows of
-    ``small`` are repeated once per salt. ``spread`` names a column that spreads the
-    rows of one key (default: a hash of all columns).
+def hot_keys(counts: DataFrame, key: str, share: int = SHARE, min_rows: int = MIN_ROWS) -> DataFrame | None:
+    """Keys that hold more than 1/``share`` of all rows, with a number of salts each.
+
+    ``counts(key, n)`` gives the rows per key. There are fewer than ``share`` such keys
+    whatever the data size, so the result is a small local table. None if there is none.
     """
+    large = counts.filter(F.col("n") > min_rows)
     total = counts.agg(F.sum("n")).scalar()
-    hot = (
-        counts.filter((F.col("n") > min_rows) & (F.col("n") * share > total))
-        .select(key, F.ceil(F.col("n") * share / total).cast("int").alias("_salts"))
-    )
-    spread_on = [spread] if spread else big.columns
+    hot = large.filter(F.col("n") * share > total).select(
+        key, F.ceil(F.col("n") * share / total).cast("int").alias("_salts"))
+    rows = hot.collect()
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None, spread: str) -> DataFrame:
+    """Inner equi-join on ``key``; rows of hot keys in ``big`` are split over salts.
+
+    The matching rows of ``small`` are repeated once per salt. ``spread`` names a column
+    of ``big`` that tells the rows of one key apart.
+    """
+    if hot is None:
+        return big.join(small, key)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left = big.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread_on), salts).cast("int")
+        "_salt", F.pmod(F.xxhash64(spread), salts).cast("int")
     ).drop("_salts")
     right = small.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))

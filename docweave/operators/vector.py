@@ -174,5 +174,5 @@ def centroids(prototypes: DataFrame, category: str = "category") -> DataFrame:
         prototypes.select(category, F.posexplode("embedding").alias("pos", "x"))
         .groupBy(category, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
         .groupBy(category)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"]).alias("embedding"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"]).alias("embedding"))
     )

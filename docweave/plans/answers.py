@@ -87,7 +87,7 @@ FROM routed LEFT JOIN query_hits USING (query_id) GROUP BY ALL"""))
 def route_queries(spark, sf):
     routed = cx.route(intents.classify_pattern(derived.query_log(spark, sf)), "large").select("query_id", "category", "k")
     wanted = derived.query_hits(spark, sf).join(routed, "query_id").filter("rank <= k")
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "source")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "source")))
     sources = wanted.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda e: e["source"]), ",").alias("sources"))
     return routed.join(sources, "query_id", "left")
 

@@ -10,13 +10,17 @@ from docweave.operators.ranks import global_rank
 from docweave.plans import derived
 from docweave.plans.derived import with_inputs
 from docweave.plans.registry import query, s_count, s_strip, s_tokens, s_words
-from docweave.sources.tables import table
+from docweave.sources.tables import spread, table
 
 
 def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
+def _texts(spark, sf):
+    return spread(_docs(spark, sf).select("doc_id", "text"), "doc_id")
+
+
 @query("doc_source_scan", """
 SELECT doc_id, source, lower(regexp_extract(source, '[0-9]+$', 0)) AS source_no, lang,
   length(text)::BIGINT AS n_chars, octet_length(encode(text))::BIGINT AS n_bytes
@@ -141,7 +145,7 @@ edges AS (
 
 @query("near_duplicates", f"WITH {WORD_SETS} SELECT id_a, id_b, round(jaccard, 6)::DOUBLE AS jaccard FROM edges")
 def near_duplicates(spark, sf):
-    return hygiene.near_duplicates(_docs(spark, sf)).withColumn("jaccard", F.round("jaccard", 6))
+    return hygiene.near_duplicates(_texts(spark, sf)).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("dedup_keep_first", f"""
@@ -151,7 +155,8 @@ wordless AS (SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY d.text) AS keep
 SELECT doc_id, source FROM documents
 WHERE doc_id NOT IN (SELECT id_b FROM edges) AND doc_id NOT IN (SELECT doc_id FROM wordless WHERE doc_id <> keep)""")
 def dedup_keep_first(spark, sf):
-    return hygiene.drop_duplicates(_docs(spark, sf).select("doc_id", "source", "text")).select("doc_id", "source")
+    return hygiene.drop_duplicates(spread(_docs(spark, sf).select("doc_id", "source", "text"), "doc_id")).select(
+        "doc_id", "source")
 
 
 @query("large_docs", """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as tx
 from docweave.functions.vectors import hashed_embedding
 from docweave.operators.prototypes import classify_centroid
+from docweave.operators.tables import written
 from docweave.sources.tables import table
 
 DIM = 64
@@ -77,7 +78,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return query_log(spark, sf).select("query_id", "text", hashed_embedding(DIM)("text").alias("embedding"))
+    return written(query_log(spark, sf).select("query_id", "text", hashed_embedding(DIM)("text").alias("embedding")))
 
 
 def feedback(spark: SparkSession, sf: str) -> DataFrame:

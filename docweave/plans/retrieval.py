@@ -92,6 +92,14 @@ def bm25_topk(spark, sf):
     return lexical.bm25_topk(_items(spark, sf), _docs(spark, sf), 4)
 
 
+@query("bm25_topk_bounded", f"""
+WITH {POSTINGS}, {QTERMS}, {bm25_rows(4)}
+SELECT query_id, doc_id, rank, score, rel_score FROM bm25_top""")
+def bm25_topk_bounded(spark, sf):
+    """The same search along the path for large inputs: bounds, and salts for frequent terms."""
+    return lexical.bm25_topk(_items(spark, sf), _docs(spark, sf), 4, direct_below=0, min_rows=500)
+
+
 @query("bm25_stats", f"""
 WITH {POSTINGS} SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM terms) AS vocabulary,
   1.5::DOUBLE AS k1, 0.75::DOUBLE AS b FROM stats""")
@@ -231,7 +239,7 @@ rrf_top AS (SELECT * FROM (SELECT *, row_number() OVER (
 
 
 def _both(spark, sf):
-    q, d = _embedded(_items(spark, sf)), _embedded(_docs(spark, sf))
+    q, d = (written(_embedded(t).drop("text")) for t in (_items(spark, sf), _docs(spark, sf)))
     return (vector_topk(q, d, fusion.FETCH_K),
             lexical.bm25_topk(_items(spark, sf), _docs(spark, sf), fusion.FETCH_K))
 

@@ -42,7 +42,7 @@ def _whole(spark: SparkSession, paths, types: list[str]) -> DataFrame:
 
 def _decoded(text: Column) -> Column:
     """Bytes that are no UTF-8 are left out."""
-    return F.replace(text, F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
 
 
 def _csv_rows(spark: SparkSession, paths) -> DataFrame | None:
