@@ -85,8 +85,12 @@ def rerank(candidates: DataFrame, top_n: int,
 
 
 def with_texts(hits: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Texts come back only for the hits, after the top-k."""
-    return hits.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(
+    """Texts come back only for the hits, after the top-k.
+
+    The hits are written first: their size is then known, and where they are few the
+    corpus is filtered by a broadcast instead of being shuffled.
+    """
+    return written(hits).join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(
         corpus.select("doc_id", "text"), "doc_id")
 
 

@@ -102,3 +102,11 @@ def novel_examples(candidates: DataFrame, prototypes: DataFrame, below: float =
         .withColumn("pos", F.row_number().over(w).cast("bigint")).filter(F.col("pos") <= max_new)
         .select("query_id", "category", "pos", intent.description_of(F.col("text")).alias("description"))
     )
+
+
+def train_from_feedback(log: DataFrame, queries: DataFrame, prototypes: DataFrame, below: float = NOVEL_BELOW,
+                        max_new: int = MAX_NEW) -> DataFrame:
+    """Confirmed entries of ``log(query_id, predicted, is_correct)`` as candidates for their category."""
+    confirmed = log.filter("is_correct").select("query_id", F.col("predicted").alias("category"))
+    return novel_examples(confirmed.join(queries.select("query_id", "text", "embedding"), "query_id"),
+                          prototypes, below, max_new)

@@ -211,7 +211,9 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
     terms = written(g.groupBy("term").agg(F.count("*").alias("df"), F.max("g").alias("max_g")))
     hot = hot_keys(terms.select("term", F.col("df").alias("n")), "term", min_rows=min_rows)
 
-    weighted = qt.join(terms, "term").withColumn("w", F.col("qtf") * _idf(stats))
+    # written, so that its size is known and a small one is broadcast without shuffling postings
+    weighted = written(qt.join(terms, "term").select(
+        "query_id", "term", (F.col("qtf") * _idf(stats)).alias("w"), "df", "max_g"))
     matches = weighted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     if matches <= direct_below:
         sums = _summed(g, weighted.select("query_id", "term", "w"), hot)

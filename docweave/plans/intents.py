@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import intent as it
 from docweave.functions import text as tx
-from docweave.operators import intents, prototypes
+from docweave.operators import classifiers, intents, prototypes
 from docweave.operators.setsim import similar_sets
 from docweave.plans import derived
 from docweave.plans.derived import with_inputs
@@ -305,3 +305,22 @@ def system_stats(spark, sf):
         "*", vecs.select("vectors").scalar().alias("vectors"), vecs.select("dimension").scalar().alias("dimension"),
         reuse.select("misses").scalar().alias("cache_misses"), reuse.select("hit_rate").scalar().alias("hit_rate"),
         classified.scalar().alias("avg_confidence"))
+
+
+SEEDS = ", ".join(
+    f"({i}, {quoted(c)}, {quoted(t)})"
+    for i, (c, t) in enumerate((c, t) for c, ts in it.SEED_EXAMPLES.items() for t in ts))
+
+
+@query("classify_seeded", with_inputs("query_vectors", f"""--cte
+seeds(doc_id, category, text) AS (VALUES {SEEDS}),
+seed_x AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 4))::INT % {derived.DIM} AS b, count(*)::DOUBLE AS x
+  FROM (SELECT doc_id, unnest({s_tokens('text')}) AS t FROM seeds) GROUP BY 1, 2),
+best AS (SELECT q.query_id, s.category, s.doc_id, coalesce(round(sum(q.embedding[x.b + 1] * x.x)
+    / nullif(any_value(sqrt(list_dot_product(q.embedding, q.embedding))), 0) / sqrt(sum(x.x * x.x)), 6), 0) AS score
+  FROM query_vectors q CROSS JOIN seeds s JOIN seed_x x ON x.doc_id = s.doc_id GROUP BY 1, 2, 3
+  QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY score DESC, s.doc_id) = 1)
+SELECT query_id, CASE WHEN score < 0.65 THEN 'DOCUMENT_QUERY' ELSE category END AS category, score AS confidence FROM best"""))
+def classify_seeded(spark, sf):
+    """The query log against the seed examples."""
+    return classifiers.classify(derived.query_log(spark, sf), "embedding")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.functions import intent as it
 from docweave.operators import feedback as fb
 from docweave.operators import intents, sessions
+from docweave.operators.prototypes import nearest_example
 from docweave.plans import derived
 from docweave.plans.derived import with_inputs
-from docweave.plans.intents import PATTERN
+from docweave.plans.intents import NEAREST, PATTERN
 from docweave.plans.registry import query, s_count
 from docweave.sources.tables import table
 
@@ -48,14 +48,21 @@ def training_selection(spark, sf):
         "predicted", "entry_id", "pos", "confidence")
 
 
-@query("train_from_feedback", with_inputs("query_log", f"""--cte {PATTERN}
-SELECT category, count(*) AS learnable, min(query_id) AS first_id FROM pattern
-WHERE confidence >= 0.7 AND {s_count('text')} >= 3 GROUP BY 1"""))
+@query("train_from_feedback", with_inputs("query_vectors", f"""--cte {NEAREST},
+right_ones AS (SELECT b.query_id, b.category, v.text, v.embedding FROM query_best b JOIN query_vectors v USING (query_id)
+  JOIN query_log l USING (query_id) WHERE l.session_id % 4 <> 0 AND {s_count('v.text')} >= 3),
+nearest AS (SELECT c.query_id, max(coalesce(round(list_dot_product(c.embedding, e.embedding::DOUBLE[])
+    / nullif(sqrt(list_dot_product(c.embedding, c.embedding)), 0)
+    / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6), 0)) AS score
+  FROM right_ones c JOIN embeddings e ON e.label = c.category GROUP BY 1)
+SELECT query_id, category, pos FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY query_id) AS pos
+  FROM right_ones JOIN nearest USING (query_id) WHERE score <= 0.35) WHERE pos <= 4"""))
 def train_from_feedback(spark, sf):
-    """Queries per predicted category that confident verdicts offer for learning."""
-    sure = intents.classify_pattern(derived.query_log(spark, sf)).filter("confidence >= 0.7")
-    return sure.filter(it.tx.word_count(F.col("text")) >= 3).groupBy("category").agg(
-        F.count("*").alias("learnable"), F.min("query_id").alias("first_id"))
+    """Queries whose nearest category was confirmed become descriptions of it, if they are novel."""
+    vectors, log = derived.query_vectors(spark, sf), derived.query_log(spark, sf)
+    predicted = nearest_example(vectors, derived.vectors(spark, sf)).select("query_id", F.col("category").alias("predicted"))
+    verdicts = predicted.join(log.select("query_id", (F.col("session_id") % 4 != 0).alias("is_correct")), "query_id")
+    return intents.train_from_feedback(verdicts, vectors, derived.vectors(spark, sf), below=0.35).drop("description")
 
 
 @query("update_batches", with_inputs("feedback", """

@@ -338,7 +338,7 @@ SELECT query_id, count(*) AS n_hits,
   string_agg('- ' || source || ': ' || substr(text, 1, 200) || '...', chr(10) ORDER BY rank) AS snippets
 FROM bm25_top JOIN documents USING (doc_id) GROUP BY 1""")
 def search_snippets(spark, sf):
-    hits = lexical.bm25_topk(_items(spark, sf), _docs(spark, sf), 4)
+    hits = written(lexical.bm25_topk(_items(spark, sf), _docs(spark, sf), 4))
     return search_report(hits.join(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id"))
 
 

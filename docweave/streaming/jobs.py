@@ -133,14 +133,15 @@ def learning_stream(log: DataFrame, out: str, checkpoint: str, interval: int = 5
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{out}/log/epoch={epoch}")
-        entries = spark.read.parquet(f"{out}/log").filter(F.col("epoch") <= epoch).drop("epoch")
-        total = entries.count()
-        counts = _read_or_none(spark, f"{out}/counts")
-        done = 0
-        if counts is not None:
-            done = counts.filter((F.col("epoch") < epoch) & F.col("updated")).agg(F.max("total")).first()[0] or 0
+        total, done = batch.count(), 0
+        if (counts := _read_or_none(spark, f"{out}/counts")) is not None:
+            before, done = counts.filter(F.col("epoch") < epoch).agg(
+                F.coalesce(F.max("total"), F.lit(0)),
+                F.coalesce(F.max(F.when(F.col("updated"), F.col("total"))), F.lit(0))).first()
+            total += before
         due = total - done >= interval
         if due:
+            entries = spark.read.parquet(f"{out}/log").filter(F.col("epoch") <= epoch).drop("epoch")
             known = _read_or_none(spark, f"{out}/examples")
             known = (spark.createDataFrame([], "query_id long, category int") if known is None
                      else known.filter(F.col("epoch") < epoch).select("query_id", "category"))
@@ -162,7 +163,8 @@ def corpus_stream(docs: DataFrame, chunker, out: str, checkpoint: str, trigger:
         fresh = batch.groupBy("doc_id").agg(F.max_by("text", "version").alias("text"))
         seen = _read_or_none(spark, f"{out}/documents")
         if seen is not None:
-            now = seen.filter(F.col("epoch") < epoch).groupBy("doc_id").agg(
+            touched = seen.filter(F.col("epoch") < epoch).join(batch.select("doc_id"), "doc_id", "left_semi")
+            now = touched.groupBy("doc_id").agg(
                 F.max_by("digest", "epoch").alias("known"))
             fresh = fresh.join(now, "doc_id", "left").filter(
                 ~F.col("known").eqNullSafe(F.coalesce(F.md5("text"), F.lit("")))).drop("known")

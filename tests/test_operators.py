@@ -15,7 +15,9 @@ from docweave.functions import formatting as fm
 from docweave.functions import intent as it
 from docweave.functions import quality as ql
 from docweave.functions import text as tx
-from docweave.operators import chunking, context, fusion, incremental, lexical, ranks, sessions, setsim, vector
+from docweave.operators import (
+    chunking, classifiers, context, fusion, incremental, lexical, prototypes, ranks, sessions, setsim, vector,
+)
 
 
 def rows(df, *order):
@@ -306,3 +308,24 @@ def test_pattern_rules(spark, query, category, confidence):
 def test_seed_tables():
     assert {k: len(v) for k, v in it.SEED_EXAMPLES.items()} == dict.fromkeys(it.SEED_DESCRIPTIONS, 10)
     assert all(len(v) == 4 for v in it.SEED_DESCRIPTIONS.values())
+
+
+@pytest.mark.parametrize("name,expected", [
+    ("regex", it.SEARCH), ("neural", it.SEARCH), ("hybrid", it.SEARCH), ("zero-shot", it.SEARCH), ("unheard-of", it.SEARCH),
+])
+def test_classifiers_by_name(spark, name, expected):
+    df = spark.createDataFrame([(1, "Find configuration examples")], "query_id long, text string")
+    row = classifiers.classify(df, name).first()
+    assert row.category == expected and 0 < row.confidence <= 1.000001
+
+
+def test_zero_shot_with_given_vectors(spark):
+    """Four categories with orthogonal vectors; each query lies close to one."""
+    axis = lambda i: [.95 if j == i else .05 for j in range(4)]
+    names = [it.CONVERSATION, it.DOCUMENT, it.CONCISE, it.SEARCH]
+    known = spark.createDataFrame([(i, n, axis(i)) for i, n in enumerate(names)], "doc_id long, category string, embedding array<double>")
+    asked = spark.createDataFrame([(i, f"query {i}", axis(i)) for i in range(4)] + [(9, "unclear", [.25] * 4)],
+                                  "query_id long, text string, embedding array<double>")
+    got = {r.query_id: (r.category, r.score) for r in prototypes.classify_zero_shot(asked, known, .6).collect()}
+    assert [got[i][0] for i in range(4)] == names and all(got[i][1] > .6 for i in range(4))
+    assert got[9][0] == it.DOCUMENT
