@@ -139,9 +139,12 @@ def _summed(g: DataFrame, weights: DataFrame, hot: DataFrame | None) -> DataFram
 
 
 def _looked_up(pairs: DataFrame, weights: DataFrame, g: DataFrame) -> DataFrame:
-    """Sum of weighted postings for given (query, document) pairs."""
+    """Sum of weighted postings for given (query, document) pairs.
+
+    The lookups are written first: few of them are then broadcast to the postings.
+    """
     return (
-        pairs.join(weights, "query_id").join(g, ["doc_id", "term"])
+        written(pairs.join(weights, "query_id")).join(g, ["doc_id", "term"])
         .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("g")).alias("score"))
     )
 

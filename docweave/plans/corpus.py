@@ -53,12 +53,12 @@ def chunk_counts(spark, sf):
 
 @query("chunk_recursive")
 def chunk_recursive(spark, sf):
-    return chunking.chunk_recursive(_docs(spark, sf).select("doc_id", "source", "text"), **chunking.PLAIN)
+    return chunking.chunk_recursive(_texts(spark, sf), **chunking.PLAIN)
 
 
 @query("chunk_sentences")
 def chunk_sentences(spark, sf):
-    return chunking.chunk_recursive(_docs(spark, sf).select("doc_id", "source", "text"), **chunking.SENTENCE)
+    return chunking.chunk_recursive(_texts(spark, sf), **chunking.SENTENCE)
 
 
 @query("chunk_paragraph", f"""
@@ -79,7 +79,7 @@ pieces AS (
 SELECT doc_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, text FROM pieces""")
 def chunk_paragraph(spark, sf):
     return chunking.chunk_paragraphs(
-        _docs(spark, sf).select("doc_id", "text"), 1000, separator="\n", glue="\n"
+        _texts(spark, sf), 1000, separator="\n", glue="\n"
     ).select("doc_id", "chunk_index", "total_chunks", "text")
 
 

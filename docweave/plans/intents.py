@@ -93,7 +93,7 @@ ensemble AS (SELECT query_id, agree,
   CASE WHEN starts_with({LOW}, 'find ') THEN 'DOCUMENT_SEARCH' WHEN rules THEN pc ELSE vc END AS category,
   round(CASE WHEN starts_with({LOW}, 'find ') THEN 1.0
     WHEN agree THEN 0.7 * (p * 0.6 + v * 0.4) + 0.3 * (p + v) / 2
-    WHEN rules THEN 0.7 * p * 0.6 + 0.3 * p ELSE 0.7 * v * 0.4 + 0.3 * v END, 7)::DOUBLE AS confidence FROM tally)"""
+    WHEN rules THEN 0.7 * p * 0.6 + 0.3 * p ELSE 0.7 * v * 0.4 + 0.3 * v END, 8)::DOUBLE AS confidence FROM tally)"""
 
 
 def _votes(spark, sf):
@@ -104,7 +104,7 @@ def _votes(spark, sf):
 
 def _ensemble(spark, sf):
     return intents.classify_ensemble(derived.query_log(spark, sf), _votes(spark, sf)).withColumn(
-        "confidence", F.round("confidence", 7))
+        "confidence", F.round("confidence", 8))
 
 
 @query("classify_ensemble", with_inputs("query_vectors", f"""--cte {ENSEMBLE}
