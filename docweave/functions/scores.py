@@ -40,3 +40,10 @@ def minmax_per_query(s: Column, query: str) -> Column:
     return F.when((lo >= 0) & (hi <= 1), s).when(lo == hi, F.lit(0.5)).otherwise(
         (s - lo) / (hi - lo)
     )
+
+
+def exact_mean(x: Column, where: Column | None = None) -> Column:
+    """Mean over a decimal sum: the same whatever the order of rows, NULL if there are none."""
+    value = x.cast("decimal(20,8)")
+    value = value if where is None else F.when(where, value)
+    return F.try_divide(F.sum(value).cast("double"), F.count(value).cast("double"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.functions.scores import exact_mean
 from docweave.operators.ranks import global_rank
 
 
@@ -23,8 +24,8 @@ def feedback_stats(log: DataFrame, *by: str) -> DataFrame:
         F.count("*").alias("total"),
         F.count_if(ok).alias("correct"),
         F.count_if(bad).alias("incorrect"),
-        F.round(F.avg(F.when(ok, F.col("confidence"))), 6).alias("avg_confidence_correct"),
-        F.round(F.avg(F.when(bad, F.col("confidence"))), 6).alias("avg_confidence_incorrect"),
+        exact_mean(F.col("confidence"), ok).alias("avg_confidence_correct"),
+        exact_mean(F.col("confidence"), bad).alias("avg_confidence_incorrect"),
         F.round(F.try_divide(F.count_if(ok), F.count_if(ok) + F.count_if(bad)), 6).alias("accuracy"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import intent
 from docweave.functions import text as tx
+from docweave.functions.scores import exact_mean
 from docweave.operators.vector import vector_topk
 
 # Votes of the pattern and the vector classifier.
@@ -54,7 +55,7 @@ def classify_cascade(first: DataFrame, second: DataFrame, trust_first: float = 0
 def category_stats(classified: DataFrame, threshold: float) -> DataFrame:
     c = F.col("confidence")
     return classified.groupBy("category").agg(
-        F.count("*").alias("calls"), F.round(F.avg(c), 6).alias("avg_confidence"),
+        F.count("*").alias("calls"), exact_mean(c).alias("avg_confidence"),
         F.count_if(c >= threshold).alias("above"), F.count_if(c < threshold).alias("below"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import intent as it
 from docweave.functions import text as tx
+from docweave.functions.scores import exact_mean
 from docweave.operators import classifiers, intents, prototypes
 from docweave.operators.setsim import similar_sets
 from docweave.plans import derived
@@ -123,7 +124,7 @@ def ensemble_agreement(spark, sf):
 
 
 @query("category_stats", with_inputs("query_log", f"""--cte {PATTERN}
-SELECT category, count(*) AS calls, round(avg(confidence), 6) AS avg_confidence,
+SELECT category, count(*) AS calls, sum(confidence::DECIMAL(20, 8))::DOUBLE / count(*) AS avg_confidence,
   count_if(confidence >= 0.65)::BIGINT AS above, count_if(confidence < 0.65)::BIGINT AS below
 FROM pattern GROUP BY 1"""))
 def category_stats(spark, sf):
@@ -293,14 +294,15 @@ SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT lan
   (SELECT count(*) FROM embeddings) AS vectors, (SELECT max(len(embedding))::BIGINT FROM embeddings) AS dimension,
   (SELECT count(DISTINCT {QKEY}) FROM query_log) AS cache_misses,
   (SELECT round(100 * (count(*) - count(DISTINCT {QKEY})) / count(*), 2) FROM query_log) AS hit_rate,
-  (SELECT round(avg(confidence), 6) FROM pattern) AS avg_confidence"""))
+  (SELECT sum(confidence::DECIMAL(20, 8))::DOUBLE / count(*) FROM pattern) AS avg_confidence"""))
 def system_stats(spark, sf):
     docs = table(spark, sf, "documents").agg(F.count("*").alias("documents"), F.countDistinct("lang").alias("languages"))
     vecs = table(spark, sf, "embeddings").agg(
         F.count("*").alias("vectors"), F.max(F.size("embedding")).cast("bigint").alias("dimension"))
     log = derived.query_log(spark, sf)
     reuse = intents.reuse_stats(log)
-    classified = intents.classify_pattern(log).agg(F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+    classified = intents.classify_pattern(log).agg(
+        exact_mean(F.col("confidence")).alias("avg_confidence"))
     return docs.select(
         "*", vecs.select("vectors").scalar().alias("vectors"), vecs.select("dimension").scalar().alias("dimension"),
         reuse.select("misses").scalar().alias("cache_misses"), reuse.select("hit_rate").scalar().alias("hit_rate"),

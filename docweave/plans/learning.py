@@ -14,8 +14,9 @@ from docweave.plans.registry import query, s_count
 from docweave.sources.tables import table
 
 STATS = """count(*) AS total, count_if(is_correct)::BIGINT AS correct, count_if(NOT is_correct)::BIGINT AS incorrect,
-  round(avg(confidence) FILTER (is_correct), 6) AS avg_confidence_correct,
-  round(avg(confidence) FILTER (NOT is_correct), 6) AS avg_confidence_incorrect,
+  (sum(confidence::DECIMAL(20, 8)) FILTER (is_correct))::DOUBLE / nullif(count_if(is_correct), 0) AS avg_confidence_correct,
+  (sum(confidence::DECIMAL(20, 8)) FILTER (NOT is_correct))::DOUBLE / nullif(count_if(NOT is_correct), 0)
+    AS avg_confidence_incorrect,
   round(count_if(is_correct) / nullif(count(is_correct), 0), 6) AS accuracy"""
 
 
