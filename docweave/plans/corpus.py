@@ -9,7 +9,7 @@ from docweave.operators import chunking, hygiene, incremental, lexical
 from docweave.operators.ranks import global_rank
 from docweave.plans import derived
 from docweave.plans.derived import with_inputs
-from docweave.plans.registry import query, s_count, s_strip, s_tokens, s_words
+from docweave.plans.registry import query, s_strip, s_tokens, s_words
 from docweave.sources.tables import spread, table
 
 

@@ -13,7 +13,7 @@ from docweave.operators.tables import written
 from docweave.operators.vector import vector_topk
 from docweave.plans import derived
 from docweave.plans.corpus import POSTINGS
-from docweave.plans.derived import DIM, with_inputs
+from docweave.plans.derived import DIM
 from docweave.plans.registry import query, s_tokens
 from docweave.sources.tables import spread, table
 
