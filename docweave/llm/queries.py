@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import decontaminate
+from docweave.llm import chosen_path, decontaminate
 from docweave.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,27 @@ def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), drop=("text",))
     return judged.select("doc_id", "n_words", "n_hit", "n_items",
                          F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+WORDS_SQL = r"regexp_extract_all(" + LOWER_SQL.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
+
+
+@query("op5_chosen_path", sql=f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+    sets AS (
+      SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+        ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+    items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+    common AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+      FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY 1, 2),
+    links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    classes AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM sets JOIN classes USING (doc_id)""")
+def op5_chosen_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate classes of all documents on shingles of two words, similarity 0.8."""
+    found = chosen_path.near_duplicates(table(spark, sf, "documents"), shingle=2, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
