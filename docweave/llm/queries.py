@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import chosen_path, decontaminate
+from docweave.llm import chosen_path, decontaminate, hidden_markov
 from docweave.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,13 @@ def op5_chosen_path(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate classes of all documents on shingles of two words, similarity 0.8."""
     found = chosen_path.near_duplicates(table(spark, sf, "documents"), shingle=2, percent=80)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op2_hidden_markov")
+def op2_hidden_markov(spark: SparkSession, sf: str) -> DataFrame:
+    """Log10 probability of every document under a hidden Markov model of the training share."""
+    docs = table(spark, sf, "documents")
+    train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    scored = hidden_markov.score_texts(docs, train)
+    return scored.withColumn("held_out", ~F.col("train")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
