@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import chosen_path, decontaminate, hidden_markov
+from docweave.llm import chosen_path, decontaminate, hidden_markov, weak_labels
 from docweave.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,9 @@ def op2_hidden_markov(spark: SparkSession, sf: str) -> DataFrame:
     scored = hidden_markov.score_texts(docs, train)
     return scored.withColumn("held_out", ~F.col("train")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_weak_labels")
+def op3_weak_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of all documents: posteriors of the weak labels and scores of the linear model."""
+    return weak_labels.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
