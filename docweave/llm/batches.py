@@ -12,11 +12,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from docweave.llm.words import SLICE_BYTES, slices
 
 
-def add_columns(df: DataFrame, text: str, ddl: str, compute: Callable[[pa.Array], dict[str, list | pa.Array]],
-                drop: tuple[str, ...] = (), limit: int = SLICE_BYTES) -> DataFrame:
+def add_columns(df: DataFrame, text: str, ddl: str, compute: Callable[..., dict[str, list | pa.Array]],
+                drop: tuple[str, ...] = (), limit: int = SLICE_BYTES, also: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without ``drop`` plus the columns that ``compute`` derives from the texts of a slice.
 
-    A column of ``df`` with the name of a new one is replaced. Rows keep their order and number.
+    ``compute`` gets the columns ``also`` after the texts. A column of ``df`` with the name of a new one is replaced. Rows keep their order and number.
     """
     new = T._parse_datatype_string(ddl)
     names = set(new.names) | set(drop)
@@ -28,7 +28,7 @@ def add_columns(df: DataFrame, text: str, ddl: str, compute: Callable[[pa.Array]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, limit):
-                got = compute(part.column(part.schema.get_field_index(text)))
+                got = compute(*(part.column(part.schema.get_field_index(c)) for c in (text, *also)))
                 columns = [part.column(part.schema.get_field_index(c)) for c in keep]
                 for f in new.names:
                     a = got[f] if isinstance(got[f], pa.Array) else pa.array(got[f], arrow.field(f).type)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import chosen_path, decontaminate, hidden_markov, weak_labels
+from docweave.llm import chosen_path, decontaminate, hidden_markov, lattice_pieces, weak_labels
 from docweave.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,10 @@ def op2_hidden_markov(spark: SparkSession, sf: str) -> DataFrame:
 def op3_weak_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of all documents: posteriors of the weak labels and scores of the linear model."""
     return weak_labels.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op7_lattice_pieces")
+def op7_lattice_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """A sampled segmentation of every document, decoded again and compared."""
+    pieces = lattice_pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), check=True).drop("text")
+    return pieces.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), "piece_ids", "lossless")
