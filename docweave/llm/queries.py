@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import chosen_path, decontaminate, hidden_markov, lattice_pieces, weak_labels
+from docweave.llm import (
+    chosen_path, decontaminate, hidden_markov, host_trust, lattice_pieces, line_templates, weak_labels,
+)
 from docweave.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +106,84 @@ def op7_lattice_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """A sampled segmentation of every document, decoded again and compared."""
     pieces = lattice_pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), check=True).drop("text")
     return pieces.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), "piece_ids", "lossless")
+
+
+LEAF_SQL = """
+    split_lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    tokens AS (
+      SELECT doc_id, i, list_filter(string_split_regex(regexp_replace(ls[i], '[0-9]+', '<*>', 'g'), '[ \t\r]+'), lambda t: t <> '') AS t
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split_lines)),
+    leaves AS (
+      SELECT doc_id, i, CASE WHEN len(t) = 0 THEN ''
+        ELSE len(t) || ' ' || array_to_string(t[1:greatest((len(t) + 1) // 2, least(len(t), 6))], ' ') END AS leaf FROM tokens),
+    placed AS (
+      SELECT doc_id, i, leaf, coalesce(lag(leaf) OVER w, '') AS a, coalesce(lead(leaf) OVER w, '') AS b
+      FROM leaves WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    recurring AS (
+      SELECT leaf, min(doc) AS keeper FROM (SELECT leaf, a, b, min(doc_id) AS doc FROM placed WHERE leaf <> '' GROUP BY ALL)
+      GROUP BY 1 HAVING count(DISTINCT doc) >= 10),
+    gone AS (SELECT doc_id, i FROM placed JOIN recurring USING (leaf) WHERE doc_id <> keeper)"""
+
+
+@query("op8_line_templates", sql=f"""
+    WITH {LEAF_SQL},
+    dropped AS (SELECT doc_id, list(i) AS g, count(*) AS n FROM gone GROUP BY 1)
+    SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(n, 0) AS n_dropped,
+      array_to_string(CASE WHEN g IS NULL THEN ls ELSE list_filter(ls, lambda l, i: NOT list_contains(g, i)) END, chr(10)) AS text
+    FROM split_lines LEFT JOIN dropped USING (doc_id)""")
+def op8_line_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without lines of templates that recur across documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+RULES = [
+    host_trust.Rule("allow", "org", "/"), host_trust.Rule("block", "example.org", "/es/"),
+    host_trust.Rule("block", "example.org", "/en/1"), host_trust.Rule("allow", "com", "/fr/"), host_trust.Rule("block", "com", "/de/"),
+]
+
+
+def _trust_sql() -> str:
+    ordered = sorted(RULES, key=lambda r: -len(r.host + r.path))
+    fits = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in ordered]
+    rule = " ".join(f"WHEN {f} THEN '{r.host}{r.path}'" for f, r in zip(fits, ordered))
+    verdict = " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(fits, ordered))
+    lower = LOWER_SQL.format("regexp_extract(rest, '^[^/?#]*')")
+    target = LOWER_SQL.format("unnest(regexp_extract_all(html, '" + host_trust.LINK.replace("'", "''") + "', 1))")
+    steps = []
+    for k in range(host_trust.ROUNDS):
+        steps.append(f"""
+        r{k + 1} AS (SELECT kind, host, sum(x) AS x FROM (
+          SELECT r.kind, coalesce(e.target, r.host) AS host, r.x * coalesce(e.share, {host_trust.DAMPING}) AS x
+          FROM r{k} r LEFT JOIN edges e ON e.kind = r.kind AND e.host = r.host
+          UNION ALL SELECT kind, host, {1 - host_trust.DAMPING} * x FROM r0) GROUP BY 1, 2)""")
+    return f"""
+    WITH rests AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (SELECT page_id, html, {lower} AS host,
+      regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rests),
+    judged AS (SELECT page_id, html, host, path, CASE {rule} END AS rule, CASE {verdict} END AS verdict FROM parts),
+    raw AS (SELECT host AS source, {target} AS target FROM judged),
+    hosts AS (SELECT host FROM judged UNION SELECT target FROM raw),
+    labels AS (SELECT string_split(host, '.') AS l FROM hosts),
+    chain AS (
+      SELECT DISTINCT array_to_string(l[i:], '.') AS low, array_to_string(l[i + 1:], '.') AS high
+      FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM labels WHERE len(l) > 2)),
+    links AS (
+      SELECT source, target, count(*) AS links FROM (
+        SELECT source, target FROM raw UNION ALL SELECT low, high FROM chain UNION ALL SELECT high, low FROM chain)
+      WHERE source <> '' AND target <> '' AND source <> target GROUP BY 1, 2),
+    both_ways AS (SELECT 'trust' AS kind, source, target, links FROM links UNION ALL SELECT 'distrust', target, source, links FROM links),
+    edges AS (SELECT kind, source AS host, target, {host_trust.DAMPING} * links / sum(links) OVER (PARTITION BY kind, source) AS share FROM both_ways),
+    r0 AS (SELECT CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*)::DOUBLE AS x
+           FROM judged WHERE rule IS NOT NULL AND host <> '' GROUP BY 1, 2),
+    {",".join(steps)},
+    scores AS (SELECT host, sum(CASE kind WHEN 'distrust' THEN x ELSE -x END) AS excess FROM r{host_trust.ROUNDS} GROUP BY 1)
+    SELECT page_id, host, path, rule,
+      coalesce(verdict, CASE WHEN round(coalesce(excess, 0), 9) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM judged LEFT JOIN scores USING (host)"""
+
+
+@query("op9_host_trust", sql=_trust_sql())
+def op9_host_trust(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's verdict by URL rules, else by the trust its host has gathered over links."""
+    return host_trust.judge(table(spark, sf, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
