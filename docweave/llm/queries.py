@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import (
-    chosen_path, decontaminate, hidden_markov, host_trust, lattice_pieces, line_templates, weak_labels,
+    chosen_path, decontaminate, hidden_markov, host_trust, lattice_pieces, license_scan, line_templates, weak_labels,
 )
 from docweave.sources.tables import table
 
@@ -187,3 +187,59 @@ def _trust_sql() -> str:
 def op9_host_trust(spark: SparkSession, sf: str) -> DataFrame:
     """Every page's verdict by URL rules, else by the trust its host has gathered over links."""
     return host_trust.judge(table(spark, sf, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def repository_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as files of source trees; every third with a licence notice is a licence file."""
+    notice = F.translate("text", host_trust.UPPER, host_trust.LOWER).rlike(license_scan.CUE)
+    name = F.when(notice & (F.col("doc_id") % 3 == 0), F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    deep = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/d"), (F.floor(F.col("doc_id") / 20) % 10).cast("string"))).otherwise("")
+    return table(spark, sf, "documents").select(
+        "doc_id", F.concat("source", deep, F.lit("/"), name).alias("path"), "text")
+
+
+def _license_sql() -> str:
+    rows = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(license_scan.TEMPLATES))
+    low = LOWER_SQL.format
+    file = r"regexp_matches({}, '(?:\A|/)(?:licen[sc]e|copying)[^/]*\z')".format(low("path"))
+    best = "max(score) AS score, arg_min(license, {'a': -score, 'b': license}) AS license"
+    return f"""
+    WITH files AS (
+      SELECT doc_id, text, source || CASE WHEN doc_id % 2 = 0 THEN '/d' || (doc_id // 20 % 10) ELSE '' END || '/' ||
+        CASE WHEN regexp_matches({low("text")}, '{license_scan.CUE}') AND doc_id % 3 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path
+      FROM documents),
+    templates AS (SELECT * FROM (VALUES {rows}) t(template, license, text)),
+    tt AS (SELECT template, license, term, count(*) AS n FROM (
+      SELECT template, license, unnest(regexp_extract_all({low("text")}, '{license_scan.WORD}')) AS term FROM templates) GROUP BY 1, 2, 3),
+    vocabulary AS (SELECT DISTINCT term FROM tt),
+    total AS (SELECT count(*) AS n FROM files),
+    df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (
+      SELECT doc_id, unnest(list_distinct(regexp_extract_all({low("text")}, '{license_scan.WORD}'))) AS term FROM files)
+      WHERE term IN (SELECT term FROM vocabulary) GROUP BY 1),
+    rarity AS (SELECT term, ln((1 + (SELECT n FROM total)) / (1 + coalesce(df, 0))) + 1 AS r FROM vocabulary LEFT JOIN df USING (term)),
+    tw AS (SELECT template, license, term, n * r / sqrt(sum(n * r * n * r) OVER (PARTITION BY template)) AS weight FROM tt JOIN rarity USING (term)),
+    passages AS (
+      SELECT doc_id, path, i, l[i] AS passage FROM (SELECT doc_id, path, string_split(text, chr(10)) AS l,
+        unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM files) WHERE regexp_matches({low("l[i]")}, '{license_scan.CUE}')
+      UNION ALL SELECT doc_id, path, 0, text FROM files WHERE {file}),
+    pt AS (SELECT doc_id, path, i, term, count(*) AS n FROM (
+      SELECT doc_id, path, i, unnest(regexp_extract_all({low("passage")}, '{license_scan.WORD}')) AS term FROM passages) GROUP BY ALL),
+    pw AS (SELECT doc_id, path, i, term, n * coalesce(r, ln(1 + (SELECT n FROM total)) + 1) AS w FROM pt LEFT JOIN rarity USING (term)),
+    norms AS (SELECT doc_id, path, i, sqrt(sum(w * w)) AS norm FROM pw GROUP BY 1, 2, 3),
+    scores AS (SELECT doc_id, path, license, round(sum(w * weight) / any_value(norm), 6) AS score
+      FROM pw JOIN tw USING (term) JOIN norms USING (doc_id, path, i) GROUP BY doc_id, path, i, template, license),
+    best AS (SELECT doc_id, path, {best} FROM scores WHERE score >= {license_scan.THRESHOLD} GROUP BY 1, 2),
+    dirs AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, {best} FROM best WHERE {file} GROUP BY 1),
+    placed AS (SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS own FROM files),
+    up AS (SELECT own, arg_max({{'dir': dir, 'license': license, 'score': score}}, length(dir)) AS u
+      FROM (SELECT DISTINCT own FROM placed) JOIN dirs ON dir = own OR starts_with(own, dir || '/') GROUP BY 1)
+    SELECT doc_id, path, coalesce(b.license, u.license) AS license, coalesce(b.score, u.score) AS score,
+      CASE WHEN b.license IS NOT NULL THEN 'own' WHEN u IS NOT NULL THEN 'inherited' END AS origin,
+      CASE WHEN b.license IS NULL THEN u.dir END AS from_dir
+    FROM placed LEFT JOIN best b USING (doc_id, path) LEFT JOIN up USING (own)"""
+
+
+@query("op6_license_scan", sql=_license_sql())
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Licences of all documents as files: own notices, else the nearest licence file above."""
+    return license_scan.scan(repository_files(spark, sf))
