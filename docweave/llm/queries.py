@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import (
-    chosen_path, decontaminate, hidden_markov, host_trust, lattice_pieces, license_scan, line_templates, weak_labels,
+    chosen_path, decontaminate, hidden_markov, host_trust, lattice_pieces, license_scan, line_templates, substring_dedup,
+    weak_labels,
 )
 from docweave.sources.tables import table
 
@@ -243,3 +244,21 @@ def _license_sql() -> str:
 def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Licences of all documents as files: own notices, else the nearest licence file above."""
     return license_scan.scan(repository_files(spark, sf))
+
+
+@query("op4_induced_sort", sql="""
+    WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    starts AS (SELECT doc_id, i, md5(t[i:i + 399]) AS h FROM (SELECT doc_id, t, unnest(range(1, n - 398)) AS i FROM b WHERE n >= 400)),
+    again AS (SELECT h FROM starts GROUP BY 1 HAVING count(*) > 1),
+    hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM starts WHERE h IN (SELECT h FROM again)),
+    grouped AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hits),
+    spans AS (SELECT doc_id, g, min(i) AS s, max(i) + 400 AS e FROM grouped GROUP BY 1, 2),
+    lists AS (SELECT doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed,
+      list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM spans GROUP BY 1)
+    SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(CASE WHEN ss IS NULL THEN t ELSE unhex(array_to_string(list_transform(range(0, len(ss) + 1),
+        lambda k: hex(t[(CASE WHEN k = 0 THEN 1 ELSE es[k] END):(CASE WHEN k = len(ss) THEN n ELSE ss[k + 1] - 1 END)])), '')) END) AS kept_sha256
+    FROM b LEFT JOIN lists USING (doc_id)""")
+def op4_induced_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of all documents inside strings of 400 bytes that occur elsewhere too."""
+    return substring_dedup.repeated_bytes(table(spark, sf, "documents")).drop("removed")
