@@ -11,6 +11,7 @@ of several blocks meet again in one row per document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,7 +197,7 @@ def _merged(out: DataFrame, text: str, search) -> DataFrame:
     ids = F.array_sort(F.array_union("item_ids", "_had_item_ids"))
     both = F.concat("spans", "_had_spans")
     pairs = F.array_sort(F.transform(
-        F.sequence(F.lit(0), F.size(both) / 2 - 1), lambda i: F.struct(both[i.cast("int") * 2].alias("b"), both[i.cast("int") * 2 + 1].alias("e"))))
+        F.sequence(F.lit(0), (F.size(both) / 2).cast("int") - 1), lambda i: F.struct(both[i * 2].alias("b"), both[i * 2 + 1].alias("e"))))
     pairs = F.when(F.size(both) > 0, pairs)
     start = F.array().cast("array<bigint>")
     spans = F.coalesce(F.aggregate(pairs, start, lambda acc, p: F.when(
@@ -213,6 +214,7 @@ def _merged(out: DataFrame, text: str, search) -> DataFrame:
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    judged = contamination(documents, benchmark, **options)
-    return judged.filter(~F.col("contaminated")).select(documents.columns)
+    """The documents that are not contaminated, with their own columns, whatever these are called."""
+    clash = {c: f"_own_{c}" for c in documents.columns if re.search(rf"\b{re.escape(c)}\b", RESULT + " contaminated")}
+    judged = contamination(documents.withColumnsRenamed(clash), benchmark, **options)
+    return judged.filter(~F.col("contaminated")).select(*(F.col(clash.get(c, c)).alias(c) for c in documents.columns))

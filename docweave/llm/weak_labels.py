@@ -121,19 +121,18 @@ def _em(patterns: list[str], counts: np.ndarray, columns: list[int]) -> dict[str
 
     Votes are 0 (abstains), 1 (yes) or 2 (no). Each labeller has one accuracy, that of the votes it
     casts; abstaining tells nothing, as heuristics for one language are silent on the others. An
-    accuracy is estimated where labellers overlap, against the belief that the others' votes give.
+    accuracy is estimated where labellers overlap.
     A pattern without votes has the share of the positive among all documents.
     """
     votes = np.array([[int(p[c]) for c in columns] for p in patterns])
     cast = votes > 0
     sign = np.where(votes == 1, 1.0, np.where(votes == 2, -1.0, 0.0))
     accuracy = np.full(len(columns), 0.9)
+    overlap = counts[:, None] * (cast & (cast.sum(axis=1, keepdims=True) > 1))
     for _ in range(EM_ROUNDS):
-        evidence = sign * np.log(accuracy / (1 - accuracy))
-        others = 1 / (1 + np.exp(-(evidence.sum(axis=1, keepdims=True) - evidence)))
-        right = np.where(votes == 1, others, 1 - others)
-        weight = counts[:, None] * (cast & (cast.sum(axis=1, keepdims=True) > 1))
-        accuracy = np.clip(((right * weight).sum(axis=0) + 9) / (weight.sum(axis=0) + 10), 0.55, 0.995)
+        belief = 1 / (1 + np.exp(-(sign @ np.log(accuracy / (1 - accuracy)))))
+        right = np.where(votes == 1, belief[:, None], 1 - belief[:, None])
+        accuracy = np.clip(((right * overlap).sum(axis=0) + 9) / (overlap.sum(axis=0) + 10), 0.55, 0.995)
     belief = 1 / (1 + np.exp(-(sign @ np.log(accuracy / (1 - accuracy)))))
     voted = cast.any(axis=1)
     belief[~voted] = (belief * counts)[voted].sum() / max(counts.sum(), 1)
