@@ -13,7 +13,7 @@ Nodes are treated by what they hold, not cut to a size:
 2. small nodes compare all members that are not joined yet, exhaustively;
 3. large nodes branch on further tokens. One whose members mostly form one family would not
    get smaller by branching: there, those outside the family are compared with all in blocks of
-   bounded size. So are the members of large nodes after the last branching.
+   bounded size, once for all trees. So are the members of large nodes after the last branching.
 
 Signatures only select; each link is confirmed on full sets.
 """
@@ -58,10 +58,8 @@ def shingle_hashes(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]
     h = names[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
     n = np.diff(begin)
     rolled = mix(h)
-    for k in range(1, size):
-        shifted = np.zeros_like(h)
-        shifted[:len(h) - k] = h[k:]
-        rolled[:max(len(h) - k, 0)] = mix(rolled[:max(len(h) - k, 0)] ^ (shifted[:max(len(h) - k, 0)] + np.uint64(k)))
+    for k in range(1, min(size, len(h))):
+        rolled[:-k] = mix(rolled[:-k] ^ (h[k:] + np.uint64(k)))
     doc = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(h)) - begin[doc]
     keep = place <= n[doc] - size
@@ -234,19 +232,21 @@ def _spanning(items: list[np.ndarray], inner: np.ndarray, percent: int) -> list[
     return found
 
 
-def _block_links(nodes: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Links of ``nodes(path, id, outside, size)``: every outside member against all members.
+def _block_links(groups: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Links in ``groups(group, id, outside)``: every outside member against all members.
 
-    Members lie in blocks; a task sees one block of outside members and one of all.
+    Outside members and all members lie in blocks of about ``BLOCK``; a task sees one block of each.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = nodes.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", "path"), "blocks").cast("int"))
+    sizes = groups.groupBy("group").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.count(F.when(F.col("outside"), 1)) / BLOCK).cast("int").alias("outer_blocks"))
+    placed = groups.join(sizes, "group").withColumn("own", F.xxhash64("id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outer = placed.filter("outside").select(
-        "path", "id", F.lit(True).alias("inner"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    # inner blocks that have no outside member have nothing to compare
-    used = outer.select("path", "i").distinct()
-    every = placed.select("path", "id", F.lit(False).alias("inner"), F.col("own").alias("j")).join(used, "path")
-    rows = outer.unionByName(every.select("path", "id", "inner", "i", "j")).join(items, "id")
+        "group", "id", F.lit(True).alias("inner"), F.pmod("own", "outer_blocks").cast("int").alias("i"), every("blocks").alias("j"))
+    members = placed.select(
+        "group", "id", F.lit(False).alias("inner"), every("outer_blocks").alias("i"), F.pmod("own", "blocks").cast("int").alias("j"))
+    rows = outer.unionByName(members).join(items, "id")
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").combine_chunks()
@@ -254,8 +254,8 @@ def _block_links(nodes: DataFrame, items: DataFrame, percent: int) -> DataFrame:
         found = _spanning(sets, table.column("inner").to_numpy(), percent)
         return pa.table({"a": ids.take(pa.array([x for x, _ in found], pa.int64())), "b": ids.take(pa.array([y for _, y in found], pa.int64()))})
 
-    kind = nodes.schema["id"].dataType.simpleString()
-    return rows.select("path", "i", "j", "id", "inner", "items").groupBy("path", "i", "j").applyInArrow(
+    kind = groups.schema["id"].dataType.simpleString()
+    return rows.select("group", "i", "j", "id", "inner", "items").groupBy("group", "i", "j").applyInArrow(
         run, f"a {kind}, b {kind}").filter("a <> b")
 
 
@@ -309,7 +309,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     links = written(links.unionByName(_confirmed(crossing(near.select("a", "b"), classes), items, percent)))
     classes = labelled(links)
 
-    found = links
+    found, rest = links, None
     for look, nodes in enumerate(looks):
         placed = nodes.filter("size > 2").join(classes, "id", "left").withColumn("class", F.coalesce("component", "id"))
         counts = placed.groupBy("path", "class").agg(F.count("*").alias("n"))
@@ -320,13 +320,32 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         left, right = (one.select("path", F.col("id").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
         pairs = left.join(right, "path").filter("class_a <> class_b and a < b").select("a", "b")
         found = found.unionByName(_confirmed(_agreeing(pairs, sets).select("a", "b"), items, percent))
-        dense = F.lit(True) if look + 1 == LOOKS else F.col("most") * 2 >= F.col("size")
-        rest = open_nodes.filter((F.col("size") > SMALL) & dense).withColumn("outside", F.col("class") != F.col("family"))
-        found = found.unionByName(_block_links(rest, items, percent))
+        # nodes of one family in all trees make one group
+        dense = F.col("most") * 2 >= F.col("size")
+        group = F.when(dense, F.xxhash64(F.lit("family"), "family"))
+        if look + 1 == LOOKS:
+            group = F.coalesce(group, "path")
+        large = open_nodes.filter(F.col("size") > SMALL).select(
+            group.alias("group"), "id", (F.col("class") != F.col("family")).alias("outside")).filter("group is not null")
+        rest = large if rest is None else rest.unionByName(large)
+    found = found.unionByName(_block_links(written(rest.distinct()), items, percent))
     classes = labelled(written(found))
 
     named = first.select("set", F.col("id").alias("first")).join(classes.withColumnRenamed("id", "first"), "first", "left").select(
         "set", F.coalesce("component", "first").alias("component_id"))
     rows = every.select("id", "n", "set").join(named, "set", "left")
-    merged = rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    merged = rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(
+        F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return merged
+
+
+def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
+                       percent: int = 80) -> DataFrame:
+    """One row of ``documents`` for each class of near duplicates: that with the smallest key.
+
+    Of several rows with that key one stays. Rows without a key all stay.
+    """
+    found = near_duplicates(documents.select(key, text), key, text, shingle, percent)
+    kept = found.filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    named = documents.filter(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
+    return named.select(documents.columns).unionByName(documents.filter(F.col(key).isNull()))
