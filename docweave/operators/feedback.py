@@ -70,12 +70,14 @@ def update_batches(log: DataFrame, interval: int = 50) -> DataFrame:
 
 
 def learn_examples(log: DataFrame, known: DataFrame, min_confidence: float = 0.75,
-                   recent: int = 100, per_category: int = 30) -> DataFrame:
+                   recent: int | None = 100, per_category: int = 30) -> DataFrame:
     """Confidently misclassified queries to add as examples of their correct category.
 
-    ``known(query_id, category)`` are existing examples.
+    ``known(query_id, category)`` are existing examples. Only the newest ``recent`` entries are
+    looked at; None takes all.
     """
-    wrong = newest(log.filter(~F.col("is_correct") & (F.col("confidence") >= min_confidence)), recent)
+    wrong = log.filter(~F.col("is_correct") & (F.col("confidence") >= min_confidence))
+    wrong = newest(wrong, recent) if recent else wrong
     new = wrong.withColumn("category", F.col("correct")).join(known, ["query_id", "category"], "left_anti")
     return newest_per(new, per_category, "category").select("query_id", "category", "pos", "confidence")
 

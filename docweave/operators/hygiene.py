@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.operators.setsim import jaccard_pairs, member_edges, set_groups, similar_sets
+from docweave.operators.tables import written
 
 # Limits of the checks and the marks dropped before texts are compared.
 MIN_CHARS = 20
@@ -43,11 +44,21 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataF
 
 
 def drop_duplicates(docs: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
-    """Documents without an equal or near-equal one of lower id."""
+    """Documents without an equal or near-equal kept one of lower id.
+
+    Ids are decided in order: in a chain of likenesses a document stays if all lower ones that are
+    like it go themselves.
+    """
     reps, members = set_groups(word_sets(docs))
-    edges = member_edges(reps, members).unionByName(
-        jaccard_pairs(reps, threshold, strict=True).select("id_a", "id_b"))
-    lost = edges.select(F.col("id_b").alias("doc_id")).distinct()
+    lost = member_edges(reps, members).select(F.col("id_b").alias("doc_id"))
+    open_edges = written(jaccard_pairs(reps, threshold, strict=True).select("id_a", "id_b"))
+    while not open_edges.isEmpty():
+        first = open_edges.select(F.col("id_a").alias("id")).distinct().join(
+            open_edges.select(F.col("id_b").alias("id")).distinct(), "id", "left_anti")
+        out = written(open_edges.join(first.withColumnRenamed("id", "id_a"), "id_a", "left_semi").select("id_b").distinct())
+        lost = lost.unionByName(out.select(F.col("id_b").alias("doc_id")))
+        open_edges = written(open_edges.join(out, "id_b", "left_anti").join(out.toDF("id_a"), "id_a", "left_anti"))
+    lost = lost.distinct()
     # texts without any word have no word set; equal ones still are duplicates
     wordless = docs.filter(tx.word_count(F.regexp_replace("text", MARKS, "")) == 0)
     kept = wordless.groupBy(F.md5("text")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators.skew import MIN_ROWS, hot_keys, salted_join
+from docweave.operators.skew import hot_keys, salted_join
 from docweave.operators.tables import written
 
 K1 = 1.5
@@ -71,9 +71,8 @@ def build_index(corpus: DataFrame, only_terms: DataFrame | None = None) -> Lexic
     if only_terms is not None:
         wanted = only_terms.unionByName(only_terms.limit(1).select(F.lit(DOCUMENT).alias("term")))
         rows = rows.join(wanted, "term", "left_semi")
-    # one shuffle by document serves the counts and keeps a document's postings together,
-    # so that sums per (query, document) are complete before they are shuffled
-    return LexicalIndex(rows.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+    # tokens are counted inside the task that reads the document; only postings are shuffled
+    return LexicalIndex(rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
 
 
 def extend_index(index: LexicalIndex, new_docs: DataFrame) -> LexicalIndex:
@@ -195,7 +194,7 @@ def _bounded_scores(g: DataFrame, weighted: DataFrame, hot: DataFrame | None, k:
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
               index: LexicalIndex | None = None, k1: float = K1, b: float = B,
-              direct_below: int = DIRECT_BELOW, min_rows: int = MIN_ROWS) -> DataFrame:
+              direct_below: int = DIRECT_BELOW) -> DataFrame:
     """Exact BM25 top-k of every query: ``(query_id, doc_id, rank, score, rel_score)``.
 
     Scoring every document that shares any word with a query joins the longest posting
@@ -212,7 +211,7 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
     stats = index.stats.first()
     g = index.postings.select("doc_id", "term", _saturation(stats, k1, b).alias("g"))
     terms = written(g.groupBy("term").agg(F.count("*").alias("df"), F.max("g").alias("max_g")))
-    hot = hot_keys(terms.select("term", F.col("df").alias("n")), "term", min_rows=min_rows)
+    hot = hot_keys(terms.select("term", F.col("df").alias("n")), "term")
 
     # written, so that its size is known and a small one is broadcast without shuffling postings
     weighted = written(qt.join(terms, "term").select(
@@ -231,16 +230,15 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
 
 
 def bm25_all(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """Every (query, document) pair sharing a term; for small inputs and tests."""
-    index = LexicalIndex(written(build_index(corpus).rows))
+    """``(query_id, doc_id, score)`` of every pair that shares a term; terms in many documents are salted."""
+    qt = written(query_terms(queries))
+    index = LexicalIndex(written(build_index(corpus, qt.select("term").distinct()).rows))
     stats = index.stats.first()
-    w = query_terms(queries).join(index.terms, "term").select(
-        "query_id", "term", (F.col("qtf") * _idf(stats)).alias("w"))
+    terms = written(index.terms)
+    w = qt.join(terms, "term").select("query_id", "term", (F.col("qtf") * _idf(stats)).alias("w"))
     g = index.postings.select("doc_id", "term", _saturation(stats, k1, b).alias("g"))
-    return (
-        g.join(w, "term").groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(F.col("w") * F.col("g")), 6).alias("score"))
-    )
+    hot = hot_keys(terms.select("term", F.col("df").alias("n")), "term")
+    return _summed(g, w, hot).withColumn("score", F.round("score", 6))
 
 
 def domain_terms(corpus: DataFrame, group: str, n: int) -> DataFrame:

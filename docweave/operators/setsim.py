@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.operators.skew import MIN_ROWS, hot_keys, salted_join
+from docweave.operators.skew import hot_keys, salted_join
 from docweave.operators.tables import written
 
 EPS = 1e-9
@@ -33,10 +33,10 @@ def set_groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, keyed.select("key", "id")
 
 
-def member_edges(reps: DataFrame, members: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def member_edges(reps: DataFrame, members: DataFrame) -> DataFrame:
     """``(id_a, id_b)``: the lowest id of a set with each further member."""
     repeated = reps.filter("copies > 1")
-    hot = hot_keys(repeated.select("key", F.col("copies").alias("n")), "key", min_rows=min_rows)
+    hot = hot_keys(repeated.select("key", F.col("copies").alias("n")), "key")
     return (
         salted_join(members.withColumnRenamed("id", "id_b"),
                     repeated.select("key", F.col("id").alias("id_a")), "key", hot, spread="id_b")
@@ -44,7 +44,7 @@ def member_edges(reps: DataFrame, members: DataFrame, min_rows: int = MIN_ROWS)
     )
 
 
-def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool, min_rows: int = MIN_ROWS) -> DataFrame:
+def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool) -> DataFrame:
     """Pairs of distinct sets with Jaccard above ``threshold``: ``(id_a, id_b, jaccard)``, a < b.
 
     Items are ordered rarest first; two sets this similar must share one of their
@@ -54,7 +54,7 @@ def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool, min_rows: int
     items = reps.select("id", "n", F.explode("items").alias("item"))
     freq = written(items.groupBy("item").agg(F.count("*").alias("n")))
     ranked = salted_join(items, freq.withColumnRenamed("n", "df"), "item",
-                         hot_keys(freq, "item", min_rows=min_rows), spread="id")
+                         hot_keys(freq, "item"), spread="id")
     prefix_len = F.col("n") - F.ceil(F.col("n") * threshold - EPS) + 1
     prefixes = written(
         ranked.groupBy("id", "n")
@@ -64,7 +64,7 @@ def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool, min_rows: int
         .select("id", "n", "pos", F.col("e.item").alias("item"))
     )
     other = prefixes.select("item", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos")))
-    hot = hot_keys(prefixes.groupBy("item").agg(F.count("*").alias("n")), "item", min_rows=min_rows)
+    hot = hot_keys(prefixes.groupBy("item").agg(F.count("*").alias("n")), "item")
     need = F.ceil((F.col("n") + F.col("n_b")) * (threshold / (1 + threshold)) - EPS)
     reach = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
     candidates = (
@@ -85,10 +85,10 @@ def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool, min_rows: int
     return verified.filter(F.col("jaccard") > threshold if strict else F.col("jaccard") >= threshold)
 
 
-def similar_sets(sets: DataFrame, threshold: float, strict: bool, min_rows: int = MIN_ROWS) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, strict: bool) -> DataFrame:
     """Factored self-join of ``sets(id, items)``: ``(id_a, id_b, jaccard)``."""
     assert 0 < threshold < 1 and not math.isnan(threshold)
     reps, members = set_groups(sets)
-    return jaccard_pairs(reps, threshold, strict, min_rows).unionByName(
-        member_edges(reps, members, min_rows).withColumn("jaccard", F.lit(1.0))
+    return jaccard_pairs(reps, threshold, strict).unionByName(
+        member_edges(reps, members).withColumn("jaccard", F.lit(1.0))
     )

@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARE = 1000
-MIN_ROWS = 100_000
 
 
-def hot_keys(counts: DataFrame, key: str, share: int = SHARE, min_rows: int = MIN_ROWS) -> DataFrame | None:
+def hot_keys(counts: DataFrame, key: str, share: int = SHARE) -> DataFrame | None:
     """Keys that hold more than 1/``share`` of all rows, with a number of salts each.
 
     ``counts(key, n)`` gives the rows per key. There are fewer than ``share`` such keys
     whatever the data size, so the result is a small local table. None if there is none.
     """
-    large = counts.filter(F.col("n") > min_rows)
     total = counts.agg(F.sum("n")).scalar()
-    hot = large.filter(F.col("n") * share > total).select(
+    hot = counts.filter(F.col("n") * share > total).select(
         key, F.ceil(F.col("n") * share / total).cast("int").alias("_salts"))
     rows = hot.collect()
     return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None

@@ -116,8 +116,8 @@ def build_prompts(spark, sf):
 # Response quality.
 
 def _pairs(spark, sf):
-    """Query, response and the text of its first three passages."""
-    contexts = cx.joined_context(derived.query_hits(spark, sf).filter("rank <= 3"), " ")
+    """Query, response and the text of all its passages."""
+    contexts = cx.joined_context(derived.query_hits(spark, sf), " ")
     return derived.qa_pairs(spark, sf).join(contexts, "query_id", "left")
 
 
@@ -138,7 +138,7 @@ def eval_relevance(spark, sf):
 
 CONTEXTS = """
 pairs AS (SELECT p.*, coalesce(lower(c.context), '') AS context FROM qa_pairs p LEFT JOIN (
-  SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS context FROM query_hits WHERE rank <= 3 GROUP BY 1) c
+  SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS context FROM query_hits GROUP BY 1) c
   USING (query_id))"""
 S_CLAIMS = "list_concat(" * (len(ql.CERTAINTY) - 1)
 for _i, _c in enumerate(ql.CERTAINTY):

@@ -148,12 +148,22 @@ def near_duplicates(spark, sf):
     return hygiene.near_duplicates(_texts(spark, sf)).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def s_decided(rounds: int = 8) -> str:
+    """Ids decided in order: the lowest of what is open stays, its neighbours go, and so on."""
+    steps = ["open0 AS (SELECT id_a, id_b FROM edges WHERE id_a IN (SELECT doc_id FROM reps) AND id_b IN (SELECT doc_id FROM reps))"]
+    for k in range(rounds):
+        steps.append(f"out{k} AS (SELECT DISTINCT id_b FROM open{k} WHERE id_a NOT IN (SELECT id_b FROM open{k}))")
+        steps.append(f"open{k + 1} AS (SELECT * FROM open{k} WHERE id_b NOT IN (FROM out{k}) AND id_a NOT IN (FROM out{k}))")
+    return ", ".join(steps) + ", lost AS (" + " UNION ".join(f"FROM out{k}" for k in range(rounds)) + ")"
+
+
 @query("dedup_keep_first", f"""
-WITH {WORD_SETS},
+WITH {WORD_SETS}, {s_decided()},
 wordless AS (SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY d.text) AS keep
   FROM documents d JOIN sets s USING (doc_id) WHERE len(s.items) = 0)
 SELECT doc_id, source FROM documents
-WHERE doc_id NOT IN (SELECT id_b FROM edges) AND doc_id NOT IN (SELECT doc_id FROM wordless WHERE doc_id <> keep)""")
+WHERE doc_id NOT IN (FROM lost) AND doc_id NOT IN (SELECT doc_id FROM keyed WHERE doc_id <> rep)
+  AND doc_id NOT IN (SELECT doc_id FROM wordless WHERE doc_id <> keep)""")
 def dedup_keep_first(spark, sf):
     return hygiene.drop_duplicates(spread(_docs(spark, sf).select("doc_id", "source", "text"), "doc_id")).select(
         "doc_id", "source")

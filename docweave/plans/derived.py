@@ -7,28 +7,29 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.functions.vectors import hashed_embedding
+from docweave.operators import lexical
 from docweave.operators.prototypes import classify_centroid
 from docweave.operators.tables import written
 from docweave.sources.tables import table
 
 DIM = 64
+HITS = 5
 SP, NSP = tx.SPACE, tx.NOT_SPACE
 
 
 def query_log(spark: SparkSession, sf: str) -> DataFrame:
-    """User turns turned into queries of ten kinds: ``(query_id, session_id, turn, text)``."""
-    toks = tx.tokens(F.col("text"))
-    w = F.array_join(F.slice(toks, 1, 6), " ")
+    """User turns turned into queries of ten kinds, each from the whole turn: ``(query_id, session_id, turn, text)``."""
+    w = F.array_join(tx.tokens(F.col("text")), " ")
     kinds = [
         F.concat(F.lit("find "), w),
         F.concat(F.lit("Search for "), w),
         F.concat(F.lit("summarize "), w),
         F.concat(F.lit("how does "), w, F.lit(" work?")),
         F.concat(w, F.lit(" in one sentence")),
-        F.lit("hello"),
-        F.lit("thank you"),
+        F.concat(F.lit("hello "), w),
+        F.concat(F.lit("thank you "), w),
         F.concat(F.lit("explain the "), w, F.lit(" architecture")),
-        F.array_join(F.slice(toks, 1, 2), " "),
+        F.concat(w, F.lit("?")),
         w,
     ]
     kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(10))
@@ -64,12 +65,10 @@ def qa_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Five ranked documents per query: ``(query_id, rank, doc_id, source, text)``."""
-    ranks = query_log(spark, sf).select(
-        "query_id", "session_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(5).cast("bigint"))).alias("rank"))
+    """The five best documents of each query by BM25: ``(query_id, rank, doc_id, source, text)``."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    return ranks.select("query_id", "rank", (F.col("session_id") + 7 * F.col("rank")).alias("doc_id")).join(
-        docs, "doc_id").select("query_id", "rank", "doc_id", "source", "text")
+    found = written(lexical.bm25_topk(query_log(spark, sf), docs.select("doc_id", "text"), HITS).select("query_id", "rank", "doc_id"))
+    return found.join(docs, "doc_id").select("query_id", "rank", "doc_id", "source", "text")
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,11 +125,10 @@ CTE = {
           CASE (conv_id + turn) % 10
             WHEN 0 THEN 'find ' || w WHEN 1 THEN 'Search for ' || w WHEN 2 THEN 'summarize ' || w
             WHEN 3 THEN 'how does ' || w || ' work?' WHEN 4 THEN w || ' in one sentence'
-            WHEN 5 THEN 'hello' WHEN 6 THEN 'thank you'
-            WHEN 7 THEN 'explain the ' || w || ' architecture' WHEN 8 THEN w2 ELSE w END AS text
-        FROM (SELECT conv_id, turn, array_to_string(t[1:6], ' ') AS w, array_to_string(t[1:2], ' ') AS w2
-              FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '{TOKEN}') AS t
-                    FROM conversations WHERE role = 'user')))""",
+            WHEN 5 THEN 'hello ' || w WHEN 6 THEN 'thank you ' || w
+            WHEN 7 THEN 'explain the ' || w || ' architecture' WHEN 8 THEN w || '?' ELSE w END AS text
+        FROM (SELECT conv_id, turn, array_to_string(regexp_extract_all(lower(text), '{TOKEN}'), ' ') AS w
+              FROM conversations WHERE role = 'user'))""",
     "qa_pairs": """
       qa_pairs AS (
         SELECT q.query_id, q.text AS query,
@@ -143,11 +141,25 @@ CTE = {
             ELSE c.text END AS response
         FROM query_log q JOIN conversations c
           ON c.conv_id = q.session_id AND c.turn = q.turn + 1 AND c.role = 'assistant')""",
-    "query_hits": """
+    "query_hits": f"""
+      hit_postings AS (
+        SELECT doc_id, term, count(*) AS tf FROM (
+          SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM documents) GROUP BY 1, 2),
+      hit_lengths AS (SELECT doc_id, sum(tf) AS dl FROM hit_postings GROUP BY 1),
+      hit_stats AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM hit_lengths),
+      hit_terms AS (SELECT term, count(*) AS df FROM hit_postings GROUP BY 1),
+      hit_queries AS (
+        SELECT query_id, term, count(*) AS qtf FROM (
+          SELECT query_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM query_log) GROUP BY 1, 2),
+      hit_scores AS (
+        SELECT query_id, doc_id, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1)
+          * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+        FROM hit_queries JOIN hit_postings USING (term) JOIN hit_terms USING (term) JOIN hit_lengths USING (doc_id), hit_stats
+        GROUP BY 1, 2),
       query_hits AS (
-        SELECT q.query_id, r.rank, d.doc_id, d.source, d.text
-        FROM query_log q, (SELECT unnest(range(1, 6)) AS rank) r, documents d
-        WHERE d.doc_id = q.session_id + 7 * r.rank)""",
+        SELECT query_id, rank, doc_id, source, text FROM (
+          SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hit_scores)
+        JOIN documents USING (doc_id) WHERE rank <= {HITS})""",
     "query_vectors": f"""
       query_buckets AS (
         SELECT query_id, ('0x' || substr(md5(t), 1, 4))::INT % {DIM} AS b, count(*)::DOUBLE AS x

@@ -71,18 +71,10 @@ bm25_top AS (SELECT *, round(CASE WHEN max(score) OVER (PARTITION BY query_id) >
 
 
 @query("bm25_scores", f"""
-WITH {POSTINGS}, {QTERMS},
-n AS (SELECT count(*) AS n FROM benchmark),
-items AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM benchmark),
-pairs AS (SELECT i.item_id AS query_id, d.doc_id FROM documents d, n JOIN items i ON i.pos = d.doc_id % n.n)
-SELECT query_id, doc_id, coalesce(score, 0) AS score FROM pairs LEFT JOIN bm25 USING (query_id, doc_id)""")
+WITH {POSTINGS}, {QTERMS} SELECT query_id, doc_id, score FROM bm25""")
 def bm25_scores(spark, sf):
-    """Every document against one query, assigned round robin."""
-    items = _items(spark, sf)
-    n = items.agg(F.count("*").alias("n")).scalar()
-    numbered = global_rank(items.select("query_id"), ["query_id"], "pos").withColumn("pos", F.col("pos") - 1)
-    pairs = _docs(spark, sf).select("doc_id", (F.col("doc_id") % n).alias("pos")).join(numbered, "pos")
-    return lexical.bm25_pairs(pairs.select("query_id", "doc_id"), items, _docs(spark, sf))
+    """Every query against every document that shares a term with it."""
+    return lexical.bm25_all(_items(spark, sf), _docs(spark, sf))
 
 
 @query("bm25_topk", f"""
@@ -97,7 +89,7 @@ WITH {POSTINGS}, {QTERMS}, {bm25_rows(4)}
 SELECT query_id, doc_id, rank, score, rel_score FROM bm25_top""")
 def bm25_topk_bounded(spark, sf):
     """The same search along the path for large inputs: bounds, and salts for frequent terms."""
-    return lexical.bm25_topk(_items(spark, sf), _docs(spark, sf), 4, direct_below=0, min_rows=500)
+    return lexical.bm25_topk(_items(spark, sf), _docs(spark, sf), 4, direct_below=0)
 
 
 @query("bm25_stats", f"""

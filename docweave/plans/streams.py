@@ -14,6 +14,7 @@ from docweave.plans.derived import with_inputs
 from docweave.plans.intents import PATTERN
 from docweave.plans.learning import STATS
 from docweave.plans.registry import query
+from docweave.sources.tables import table
 from docweave.streaming import jobs
 
 
@@ -41,16 +42,14 @@ def feedback_stream(spark, sf):
 @query("session_stream", """
 WITH gaps AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 300 SECONDS, true) AS opens FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM gaps),
-closed AS (SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM numbered
-  GROUP BY user_id, s)
-SELECT * FROM closed WHERE session_end + INTERVAL 300 SECONDS <= (
-  SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTES FROM events)""")
+numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM gaps)
+SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM numbered GROUP BY user_id, s""")
 def session_stream(spark, sf):
-    """Sessions the watermark has closed at the end of the table."""
+    """All sessions of the table: an end mark moves the watermark past the last of them."""
     out, checkpoint = _folders(spark)
-    jobs.session_stream(jobs.table_stream(spark, sf, "events"), out, checkpoint).awaitTermination()
-    done = spark.read.parquet(out)
+    events = jobs.with_end(table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")))
+    jobs.session_stream(_stream_of(events), out, checkpoint).awaitTermination()
+    done = spark.read.parquet(out).filter("user_id is not null")
     return done.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "n_events")
 
 

@@ -105,9 +105,10 @@ def append_feedback(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
 
 
-def load_feedback(spark: SparkSession, path: str, newest: int = 10_000) -> DataFrame:
-    """Newest entries of the feedback log."""
-    return spark.read.parquet(path).orderBy(F.desc("ts"), F.desc("entry_id")).limit(newest)
+def load_feedback(spark: SparkSession, path: str, newest: int | None = 10_000) -> DataFrame:
+    """Newest entries of the feedback log; None reads all."""
+    log = spark.read.parquet(path)
+    return log.orderBy(F.desc("ts"), F.desc("entry_id")).limit(newest) if newest else log
 
 
 def save_examples(examples: DataFrame, path: str) -> None:

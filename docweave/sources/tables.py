@@ -10,10 +10,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores where a table has fewer files than the cluster has cores.
+    """Rows over all cores where the scan of a table has fewer splits than the cluster has cores.
 
-    A small table in one row group would otherwise be read and tokenized by one task.
-    Large tables have many files and are left alone: no shuffle.
+    A table of a few megabytes would otherwise be read and tokenized by one task. Splits follow
+    the bytes to read (``spark.sql.files.maxPartitionBytes``), so a table with more bytes than
+    cores times that size is never shuffled, however few its files.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -50,12 +50,21 @@ def latest_epoch(spark: SparkSession, out: str) -> DataFrame:
     return all_epochs.filter(F.col("epoch") == all_epochs.agg(F.max("epoch")).scalar()).drop("epoch")
 
 
+def with_end(events: DataFrame, days: int = 1) -> DataFrame:
+    """Bounded events and an end mark: one row without a user, later than all others.
+
+    Once it has been read, the watermark closes every session of the input.
+    """
+    end = events.agg((F.max("ts") + F.make_interval(days=F.lit(days))).alias("ts"))
+    return events.unionByName(end.select(F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id"), "ts"))
+
+
 def session_stream(events: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes",
                    gap_seconds: int = GAP_SECONDS, trigger: dict | None = None) -> StreamingQuery:
     """Sessions, written once the watermark has passed their end.
 
     An event at exactly the gap still joins. Events later than ``delay`` are dropped, the
-    sessions still open at the end stay in the state.
+    sessions still open at the end stay in the state; a bounded input gets an end mark (``with_end``).
     """
     sessions = (
         events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
