@@ -52,7 +52,7 @@ def _csv_rows(spark: SparkSession, paths) -> DataFrame | None:
         F.collect_list("_path").alias("files"))
     parts = []
     for files in (r["files"] for r in heads.toLocalIterator()):
-        rows = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(files)
+        rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option("escape", '"').csv(files)
         line = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in rows.columns]
         parts.append(rows.select(F.col("_metadata.file_path").alias("_path"), F.concat_ws("\n", *line).alias("text")))
     return reduce(DataFrame.unionByName, parts) if parts else None
