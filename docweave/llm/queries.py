@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import (
-    chosen_path, decontaminate, hidden_markov, host_trust, lattice_pieces, license_scan, line_templates, substring_dedup,
+    chosen_path, decontaminate, edit_fingerprints, hidden_markov, host_trust, lattice_pieces, license_scan, line_templates, substring_dedup,
     weak_labels,
 )
 from docweave.sources.tables import table
@@ -262,3 +262,9 @@ def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 def op4_induced_sort(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of all documents inside strings of 400 bytes that occur elsewhere too."""
     return substring_dedup.repeated_bytes(table(spark, sf, "documents")).drop("removed")
+
+
+@query("op1_edit_fingerprints")
+def op1_edit_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how like they are."""
+    return edit_fingerprints.fingerprints(table(spark, sf, "documents"))

@@ -11,7 +11,7 @@ from oracle import DATA
 from pyspark.sql import functions as F
 
 from docweave.llm import (
-    chosen_path, components, decontaminate, hidden_markov, host_trust, induced_sort, lattice_pieces, license_scan,
+    chosen_path, components, decontaminate, edit_fingerprints, hidden_markov, host_trust, induced_sort, lattice_pieces, license_scan,
     line_templates, substring_dedup, weak_labels, words,
 )
 
@@ -399,3 +399,66 @@ def test_licences(spark):
         (1, "MIT", "own", None), (2, "GPL-3.0", "inherited", "a/b"), (3, "Apache-2.0", "own", None), (4, None, None, None), (5, "GPL-3.0", "own", None),
         (6, "MIT", "inherited", "a"), (7, "Proprietary", "own", None), (8, None, None, None), (8, None, None, None), (9, "GPL-3.0", "inherited", "a/b")]
     assert license_scan.scan(df.limit(0)).count() == 0
+
+
+# fingerprints
+
+
+def plain_walk(text):
+    """The notes of the walk, step by step."""
+    classes, out, at, t = edit_fingerprints._classes(text), [], 0, 0
+    rest = 0
+    while at < len(classes):
+        if not rest:
+            rest = int(edit_fingerprints.WAITS[(t % edit_fingerprints.PERIOD) * 256 + int(classes[at])])
+        out.append(int(classes[at]))
+        t, rest = t + 1, rest - 1
+        at += not rest
+    return bytes(out)
+
+
+def plain_print(text):
+    notes, level = plain_walk(text), 0
+    while len(notes[::1 << level]) > edit_fingerprints.SAMPLES:
+        level += 1
+    return level, notes[::1 << level]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_fingerprints(spark, odd, parts):
+    df = odd.filter("length(text) < 20000 or text is null").unionByName(odd.filter("doc_id = 9").withColumn("doc_id", F.lit(-5).cast("bigint")))
+    texts = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect()), reverse=True)
+    want = Counter()
+    for k, (has, i, t) in enumerate(texts):
+        follow = texts[(k + 1) % len(texts)][2]
+        third = len(t) // 3
+        edited = t[:len(t) - third] + follow[:third]
+        mine, theirs = plain_print(t), plain_print(edited)
+        want[(i if has else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), edit_fingerprints.spelled(mine), edit_fingerprints.spelled(theirs),
+              edit_fingerprints.likeness(mine, theirs), edit_fingerprints.likeness(mine, plain_print(follow)))] += 1
+    got = edit_fingerprints.fingerprints(df, parts=parts)
+    assert Counter(rows(got, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) == want
+    assert edit_fingerprints.fingerprints(df.limit(0), parts=parts).count() == 0
+
+
+def test_likeness_follows_edits():
+    rng = np.random.default_rng(9)
+    text = "".join(rng.choice(list("abcdefgh ijkl"), 4000))
+    few, many = text, text
+    for k in range(40):
+        at = int(rng.integers(0, 4000))
+        many = many[:at] + "xy"[k % 2] * (k % 3) + many[at + 1:]
+        few = many if k == 4 else few
+    prints, *_ = edit_fingerprints.fingerprints_of([text, few, many, text[::-1]])
+    near = [edit_fingerprints.likeness(prints[0], p) for p in prints]
+    assert near[0] == 1 and near[1] > 0.85 and near[1] > near[2] > near[3] and near[3] < 0.3
+
+
+def test_near_links(spark):
+    rng = np.random.default_rng(11)
+    base = ["".join(rng.choice(list("abcdefgh ijkl"), 3000)) for _ in range(5)]
+    docs = [(i, base[i % 5][:1500] + ("" if i < 5 else f"edit {i} ") + base[i % 5][1500:]) for i in range(40)] + [(40, None), (41, "")]
+    prints = edit_fingerprints.fingerprints(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    got = {r[0]: r[1:] for r in rows(edit_fingerprints.near_links(prints), "doc_id", "near_id", "likeness")}
+    # bands may miss a copy near the threshold, but never join different texts
+    assert set(got) <= set(range(5, 40)) and len(got) >= 32 and all(n % 5 == i % 5 and x >= 0.8 for i, (n, x) in got.items())
