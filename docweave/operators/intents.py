@@ -92,13 +92,14 @@ def novel_examples(candidates: DataFrame, prototypes: DataFrame, below: float =
     """Up to ``max_new`` queries per category unlike every prototype of that category.
 
     ``candidates(query_id, text, category, embedding)`` are taken in order of id and all
-    tested against the known prototypes.
+    tested against the known prototypes; of equal texts (by query key) the first one counts.
     """
     long_enough = candidates.filter(tx.word_count(F.col("text")) >= MIN_WORDS)
     nearest = vector_topk(long_enough, prototypes, 1, within="category").select("query_id", "score")
     w = Window.partitionBy("category").orderBy("query_id")
+    first = long_enough.groupBy("category", tx.query_key(F.col("text"))).agg(F.min("query_id").alias("query_id")).select("query_id")
     return (
-        long_enough.join(nearest, "query_id", "left")
+        long_enough.join(first, "query_id", "left_semi").join(nearest, "query_id", "left")
         .filter(F.coalesce("score", F.lit(-1.0)) <= below)
         .withColumn("pos", F.row_number().over(w).cast("bigint")).filter(F.col("pos") <= max_new)
         .select("query_id", "category", "pos", intent.description_of(F.col("text")).alias("description"))

@@ -281,7 +281,8 @@ nearest AS (SELECT c.query_id, max(coalesce(round(list_dot_product(c.embedding,
     / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6), 0)) AS score
   FROM candidates c JOIN embeddings e ON e.label = c.category GROUP BY 1),
 picked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY query_id) AS pos
-  FROM candidates LEFT JOIN nearest USING (query_id) WHERE coalesce(score, -1) <= 0.25)
+  FROM (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY category, {QKEY} ORDER BY query_id) = 1)
+  LEFT JOIN nearest USING (query_id) WHERE coalesce(score, -1) <= 0.25)
 SELECT query_id, category, pos FROM picked WHERE pos <= 4"""))
 def novel_examples(spark, sf):
     log = derived.query_log(spark, sf).select("query_id", (F.col("session_id") % 10).cast("int").alias("category"))

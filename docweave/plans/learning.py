@@ -10,6 +10,7 @@ from docweave.operators.prototypes import nearest_example
 from docweave.plans import derived
 from docweave.plans.derived import with_inputs
 from docweave.plans.intents import NEAREST, PATTERN
+from docweave.plans.intents import QKEY
 from docweave.plans.registry import query, s_count
 from docweave.sources.tables import table
 
@@ -57,7 +58,8 @@ nearest AS (SELECT c.query_id, max(coalesce(round(list_dot_product(c.embedding,
     / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6), 0)) AS score
   FROM right_ones c JOIN embeddings e ON e.label = c.category GROUP BY 1)
 SELECT query_id, category, pos FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY query_id) AS pos
-  FROM right_ones JOIN nearest USING (query_id) WHERE score <= 0.35) WHERE pos <= 4"""))
+  FROM (SELECT * FROM right_ones QUALIFY row_number() OVER (PARTITION BY category, {QKEY} ORDER BY query_id) = 1)
+  JOIN nearest USING (query_id) WHERE score <= 0.35) WHERE pos <= 4"""))
 def train_from_feedback(spark, sf):
     """Queries whose nearest category was confirmed become descriptions of it, if they are novel."""
     vectors, log = derived.query_vectors(spark, sf), derived.query_log(spark, sf)

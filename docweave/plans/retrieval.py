@@ -216,7 +216,8 @@ def rank_scores(spark, sf):
         F.round(scores.positional_score(F.col("rank")), 6).alias("fallback"))
 
 
-FUSED = f"""
+def fused_rows(dense: float, sparse: float) -> str:
+    return f"""
 {POSTINGS}, {QTERMS}, {bm25_rows(20)}, {DENSE}, {dense_rows(20)},
 merged AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.doc_id, b.doc_id) AS doc_id,
     d.rank AS dr, b.rank AS br,
@@ -224,12 +225,15 @@ merged AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.doc_i
       WHEN d.score < 0 THEN greatest(0, (d.score + 1) / 2) ELSE d.score END, 0) AS ds,
     CASE WHEN b.rank IS NULL THEN 0 ELSE greatest(0.2, 1 - 0.1 * (b.rank - 1)) END AS bs
   FROM dense_top d FULL JOIN bm25_top b ON d.query_id = b.query_id AND d.doc_id = b.doc_id),
-fused AS (SELECT query_id, doc_id, round(0.7 * ds + 0.3 * bs, 7)::DOUBLE AS score,
-    round(coalesce(0.7 / (dr + 60), 0) + coalesce(0.3 / (br + 60), 0), 9)::DOUBLE AS rrf FROM merged),
+fused AS (SELECT query_id, doc_id, round({dense} * ds + {sparse} * bs, 7)::DOUBLE AS score,
+    round(coalesce({dense} / (dr + 60), 0) + coalesce({sparse} / (br + 60), 0), 9)::DOUBLE AS rrf FROM merged),
 rrf_top AS (SELECT * FROM (SELECT *, row_number() OVER (
     PARTITION BY query_id ORDER BY rrf DESC, score DESC, doc_id) AS rank FROM fused) WHERE rank <= 4)"""
 
 
+FUSED = fused_rows(0.7, 0.3)
+
+
 def _both(spark, sf):
     q, d = (written(_embedded(t).drop("text")) for t in (_items(spark, sf), _docs(spark, sf)))
     return (vector_topk(q, d, fusion.FETCH_K),
@@ -248,6 +252,14 @@ def weighted_fusion(spark, sf):
     return fusion.fuse(*_both(spark, sf), 4, method="weighted")
 
 
+@query("weighted_fusion_lexical", f"""
+WITH {fused_rows(0.2, 0.8)} SELECT query_id, doc_id, rank, score, rrf FROM (SELECT *, row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 4""")
+def weighted_fusion_lexical(spark, sf):
+    """Fusion with other weights: mostly the lexical side."""
+    return fusion.fuse(*_both(spark, sf), 4, method="weighted", weights=(1.0, 4.0))
+
+
 @query("hybrid_topk", f"""
 WITH {FUSED} SELECT query_id, doc_id, rank, score, rrf FROM rrf_top WHERE score >= 0.25""")
 def hybrid_topk(spark, sf):
