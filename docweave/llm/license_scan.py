@@ -16,6 +16,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.operators.tables import written
+
 THRESHOLD = 0.6
 WORD = "[0-9a-z]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,11 +54,13 @@ def _terms(text):
 
 
 def passages(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
-    """``(key, path, at, passage)``: lines with a licensing word, and whole licence files at place -1."""
+    """``(key, path, at, passage)``: lines with a licensing word, then the whole of a licence file."""
     lower = lambda c: F.translate(c, UPPER, LOWER)
-    lines = files.select(key, path, F.posexplode(F.filter(F.split(text, "\n"), lambda x: lower(x).rlike(CUE))).alias("at", "passage"))
-    whole = files.filter(lower(F.col(path)).rlike(LICENSE_FILE)).select(key, path, F.lit(-1).alias("at"), F.col(text).alias("passage"))
-    return lines.unionByName(whole)
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: lower(x).rlike(CUE))
+    whole = F.when(lower(F.col(path)).rlike(LICENSE_FILE) & F.col(text).isNotNull(), F.array(F.col(text))).otherwise(
+        F.array().cast("array<string>"))
+    # one pass over the texts; the last passage of a licence file is all of it
+    return files.select(key, path, F.posexplode(F.concat(lines, whole)).alias("at", "passage"))
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: str = "doc_id", path: str = "path",
@@ -86,19 +90,20 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: st
     rarities = spark.createDataFrame([(w, rarity(w)) for w in vocabulary], "term string, rarity double")
 
     found = passages(rows, key, path, text)
-    terms = found.select(key, path, "at", F.explode(_terms("passage")).alias("term")).groupBy(key, path, "at", "term").agg(F.count("*").alias("n"))
+    # few rows, read three times
+    terms = written(found.select(key, path, "at", F.explode(_terms("passage")).alias("term")).groupBy(key, path, "at", "term").agg(F.count("*").alias("n")))
     weighed = terms.join(F.broadcast(rarities), "term", "left").withColumn(
         "w", F.col("n") * F.coalesce("rarity", F.lit(math.log(1 + total) + 1)))
     norms = weighed.groupBy(key, path, "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(F.broadcast(weights), "term").groupBy(key, path, "at", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scores = dots.join(norms, [key, path, "at"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
-    best = scores.filter(F.col("score") >= threshold).groupBy(key, path).agg(
-        F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license"))
+    best = written(scores.filter(F.col("score") >= threshold).groupBy(key, path).agg(
+        F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license")))
 
     parent = lambda c: F.regexp_extract(c, r"\A(.*)/[^/]*\z", 1)
     by_dir = best.filter(F.translate(path, UPPER, LOWER).rlike(LICENSE_FILE)).withColumn("from_dir", parent(path)).groupBy("from_dir").agg(
         F.max("score").alias("dir_score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("dir_license"))
-    placed = rows.select(key, path, parent(path).alias("_dir"))
+    placed = written(rows.select(key, path, parent(path).alias("_dir")))
     part = F.split("_dir", "/")
     above = placed.select("_dir").distinct().select("_dir", F.explode(F.transform(
         F.sequence(F.lit(0), F.size(part)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(part, F.lit(1), i), "/").alias("dir")))).alias("e")
