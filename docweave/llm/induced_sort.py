@@ -76,7 +76,7 @@ class BlockQueues:
 def _runs(text: np.ndarray) -> np.ndarray:
     """For each place, how many equal letters start there."""
     ends = np.append(np.flatnonzero(text[1:] != text[:-1]), len(text) - 1)
-    return ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text)) + 1
+    return np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(text)) + 1
 
 
 def _push(queues: BlockQueues, text: np.ndarray, suffix: np.ndarray, common: np.ndarray, wanted: np.ndarray,
@@ -205,7 +205,7 @@ def _types(text: np.ndarray) -> np.ndarray:
     n = len(text)
     ends = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
     rising = np.append(text[ends[:-1]] < text[ends[:-1] + 1], True)
-    small = rising[np.searchsorted(ends, np.arange(n))]
+    small = np.repeat(rising, np.diff(ends, prepend=-1))
     return np.flatnonzero(small[1:] & ~small[:-1]) + 1
 
 

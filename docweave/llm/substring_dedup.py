@@ -4,10 +4,11 @@
    ``REACHES`` ones, whose 16 bytes have the smallest hash. The anchor depends on the string alone, so equal
    strings have anchors at equal distances. Runs of starts with one anchor make a record; its
    core, the bytes that all its strings share, names the record.
-2. Records whose core is found once have no string that repeats. The others carry their
-   bytes, a few more than ``LENGTH``, to the shard of their core; equal ones meet there as one with a count.
-3. A shard sorts the suffixes of its records (``induced_sort``). A string is repeated if its record came more than
-   once, or if the suffix that starts there has ``LENGTH`` bytes in common with that of another record.
+2. Records whose core is found once have no string that repeats. Equal records become one with a count;
+   all strings of one that came more than once are repeated. Where a core has a record that came
+   once, its distinct records carry their bytes, a few more than ``LENGTH``, to the shard of the core.
+3. A shard sorts the suffixes of its records (``induced_sort``). A string is repeated if the suffix that
+   starts there has ``LENGTH`` bytes in common with that of another record.
 4. Runs of removed bytes go back to the documents.
 
 Rows of one core meet in one shard, and only distinct records do: a group of copies costs one
@@ -40,39 +41,54 @@ SLICE = 2 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
 
+_LETTER = mix(np.arange(256))
+
+
 def _records(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of starts with one anchor: document, first and last start, and where the core begins (all in the slice)."""
     n = len(flat)
-    none = (np.zeros(0, np.int64),) * 4
     if n < length:
-        return none
+        return (np.zeros(0, np.int64),) * 4
+    h = _LETTER[flat]
+    k = 1
     with np.errstate(over="ignore"):
-        h = mix(flat.astype(np.uint64))
-        for k in (1, 2, 4, 8):
-            h[:-k] = h[:-k] * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -k)[:-k] * np.uint64(2 * k + 1)
-            h ^= h >> np.uint64(29)
+        while k < GRAM:
+            more = h[k:] * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+            h[:-k] *= np.uint64(0x9E3779B97F4A7C15)
+            h[:-k] += more
+            k *= 2
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
     # rightmost of the smallest: a smaller complement is further right
     best = (h & ~_PLACE) | (_PLACE - np.arange(n, dtype=np.uint64))
-    k = 1
+    k, other = 1, h
     while k < REACHES:
-        best[:-k] = np.minimum(best[:-k], best[k:])
+        np.minimum(best[:-k], best[k:], out=other[:-k])
+        other[-k:] = best[-k:]
+        best, other = other, best
         k *= 2
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    start = np.flatnonzero(np.arange(n) + length <= offsets[1:][doc])
-    if not len(start):
-        return none
-    anchor = (_PLACE - (best[start] & _PLACE)).astype(np.int64)
-    step = (anchor - start) // STEP
-    new = np.ones(len(start), bool)
-    new[1:] = (np.diff(start) != 1) | (np.diff(anchor) != 0) | (np.diff(step) != 0) | (doc[start[1:]] != doc[start[:-1]])
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(start)) - 1
-    # strings of the record start STEP * step to STEP * step + STEP - 1 bytes before the anchor
-    return doc[start[head]], start[head], start[tail], anchor[head] - STEP * step[head]
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(best[1:], best[:-1], out=new[1:])
+    new[offsets[:-1][offsets[:-1] < n]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], n) - 1
+    doc = np.searchsorted(offsets, first, "right") - 1
+    anchor = (_PLACE - (best[first] & _PLACE)).astype(np.int64)
+    # only starts whose string ends inside the document
+    last = np.minimum(last, offsets[doc + 1] - length)
+    # strings of a record start STEP * step to STEP * step + STEP - 1 bytes before the anchor
+    parts = [(doc, np.maximum(first, anchor - STEP * step - STEP + 1), np.minimum(last, anchor - STEP * step), anchor - STEP * step)
+             for step in range(REACHES // STEP)]
+    doc, first, last, core = (np.concatenate(x) for x in zip(*parts))
+    some = first <= last
+    doc, first, last, core = doc[some], first[some], last[some], core[some]
+    order = np.argsort(first, kind="stable")
+    return doc[order], first[order], last[order], core[order]
 
 
 def _cores(documents: DataFrame, kind: str, length: int) -> DataFrame:
-    """``(id, mark, core, at, starts)`` of all records of ``documents(id, mark, text)``."""
+    """``(id, mark, core, context, at, starts)`` of all records of ``documents(id, mark, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
@@ -81,13 +97,14 @@ def _cores(documents: DataFrame, kind: str, length: int) -> DataFrame:
                 raw = flat.tobytes()
                 size = length - STEP + 1
                 names = np.fromiter((xxhash.xxh3_64_intdigest(raw[c:c + size]) for c in core.tolist()), np.uint64, len(core))
+                whole = np.fromiter((xxhash.xxh3_64_intdigest(raw[f:e]) for f, e in zip(first.tolist(), (last + length).tolist())), np.uint64, len(core))
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).take(at), part.column(1).take(at), pa.array(names.view(np.int64)),
-                    pa.array((first - offsets[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int16))],
-                    names=["id", "mark", "core", "at", "starts"])
+                    pa.array(whole.view(np.int64)), pa.array((first - offsets[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int16))],
+                    names=["id", "mark", "core", "context", "at", "starts"])
 
-    return documents.mapInArrow(run, f"id {kind}, mark bigint, core bigint, at int, starts smallint")
+    return documents.mapInArrow(run, f"id {kind}, mark bigint, core bigint, context bigint, at int, starts smallint")
 
 
 def _repeated_starts(contexts: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
@@ -122,13 +139,13 @@ def _runs(flags: np.ndarray) -> list[int]:
 
 
 def _shards(records: DataFrame, length: int) -> DataFrame:
-    """``(core, context, repeated)`` from distinct ``records(core, context, bytes, n)``, sorted by core within partitions."""
+    """``(core, context, repeated)`` of single records among distinct ``records(core, context, bytes, n)``, sorted by core."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
 
         def sort() -> pa.RecordBatch:
             flags = _repeated_starts([r[2] for r in held], np.array([r[3] for r in held]), length)
-            found = [(r[0], r[1], _runs(f)) for r, f in zip(held, flags) if f.any()]
+            found = [(r[0], r[1], _runs(f)) for r, f in zip(held, flags) if r[3] == 1 and f.any()]
             return pa.RecordBatch.from_arrays([
                 pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()),
                 pa.array([x[2] for x in found], pa.list_(pa.int32()))], names=["core", "context", "repeated"])
@@ -147,41 +164,38 @@ def _shards(records: DataFrame, length: int) -> DataFrame:
         run, "core bigint, context bigint, repeated array<int>")
 
 
-def _contexts(holders: DataFrame, length: int) -> DataFrame:
-    """``(core, context, bytes)`` of the records ``found`` of ``holders(text, found)``."""
+def _contexts(chosen: DataFrame, length: int) -> DataFrame:
+    """``(core, context, n, bytes)`` of the records ``chosen`` of each row ``(text, chosen)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, found in zip(batch.column(0), batch.column(1)):
-                raw = text.as_py().encode()
-                rows = found.as_py()
-                parts = [raw[r["at"]:r["at"] + r["starts"] + length - 1] for r in rows]
+            for text, chosen in zip(batch.column(0), batch.column(1)):
+                raw, rows = text.as_py().encode(), chosen.as_py()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([r["core"] for r in rows], pa.int64()), pa.array([_context(p) for p in parts], pa.int64()),
-                    pa.array(parts, pa.binary())], names=["core", "context", "bytes"])
+                    *(pa.array([r[c] for r in rows], pa.int64()) for c in ("core", "context", "n")),
+                    pa.array([raw[r["at"]:r["at"] + r["starts"] + length - 1] for r in rows], pa.binary())],
+                    names=["core", "context", "n", "bytes"])
 
-    return holders.select("text", "found").mapInArrow(run, "core bigint, context bigint, bytes binary")
+    return chosen.select("text", "chosen").mapInArrow(run, "core bigint, context bigint, n bigint, bytes binary")
 
 
-def _context(part: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(part) - (1 << 63)
+def _settled(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows(id, mark, text, found)``; texts without found records are replaced by their size and digest."""
+    inner = rows.schema["found"].dataType.simpleString()
 
-
-def _named(holders: DataFrame, kind: str, length: int) -> DataFrame:
-    """``(id, mark, at, core, context)`` of the records of ``holders``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = batch.column(2)[i].as_py().encode()
-                rows = batch.column(3)[i].as_py()
-                same = pa.array(np.zeros(len(rows), np.int64))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, 1).take(same), batch.column(1).slice(i, 1).take(same),
-                    pa.array([r["at"] for r in rows], pa.int32()), pa.array([r["core"] for r in rows], pa.int64()),
-                    pa.array([_context(raw[r["at"]:r["at"] + r["starts"] + length - 1]) for r in rows], pa.int64())],
-                    names=["id", "mark", "at", "core", "context"])
+            clean = np.asarray(batch.column(3).is_null())
+            texts, sizes, digests = [], [], []
+            for text, done in zip(batch.column(2).to_pylist(), clean.tolist()):
+                raw = (text or "").encode() if done else b""
+                texts.append(None if done else text)
+                sizes.append(len(raw))
+                digests.append(hashlib.sha256(raw).hexdigest() if done else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(3), pa.array(sizes, pa.int64()),
+                 pa.array(digests, pa.string())], names=["id", "mark", "text", "found", "n_bytes", "kept_sha256"])
 
-    return holders.select("id", "mark", "text", "found").mapInArrow(
-        run, f"id {kind}, mark bigint, at int, core bigint, context bigint")
+    return rows.mapInArrow(run, f"id {kind}, mark bigint, text string, found {inner}, n_bytes bigint, kept_sha256 string")
 
 
 def _cut(rows: DataFrame, length: int, kind: str) -> DataFrame:
@@ -233,19 +247,28 @@ def repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text"
     cores = _cores(rows, kind, length)
     often = cores.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
     found = cores.join(often, "core").groupBy("id", "mark").agg(
-        F.collect_set(F.struct("at", "starts", "core")).alias("found")).withColumnsRenamed({"id": "_id", "mark": "_mark"})
+        F.collect_set(F.struct("at", "starts", "core", "context")).alias("found")).withColumnsRenamed({"id": "_id", "mark": "_mark"})
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
-    held = written(rows.join(found, same, "left").select(
-        "id", "mark", "text", "found"))
-    holders = held.filter("found is not null")
-    distinct = _contexts(holders, length).groupBy("core", "context").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
-    shards = _shards(distinct.repartition("core").sortWithinPartitions("core"), length)
-    named = _named(holders, kind, length)
-    spans = named.join(shards, ["core", "context"]).select(
+    held = written(_settled(rows.join(found, same, "left").select("id", "mark", "text", "found"), kind))
+    holders = held.filter("found is not null").select("id", "mark", "text", "found")
+    named = holders.select("id", "mark", F.explode("found").alias("r")).select("id", "mark", "r.*")
+    records = written(named.groupBy("core", "context").agg(
+        F.count("*").alias("n"), F.min(F.struct("id", "mark", "at")).alias("first"), F.first("starts").alias("starts")))
+    # a core whose records all came more than once has nothing left to sort
+    mixed = records.groupBy("core").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).filter("least = 1 and kinds > 1")
+    chosen = records.join(mixed.select("core"), "core").groupBy("first.id", "first.mark").agg(
+        F.collect_list(F.struct("core", "context", "n", "first.at", "starts")).alias("chosen")).withColumnsRenamed({"id": "_id", "mark": "_mark"})
+    # rows with one key and text are equal: their records are taken from one of them
+    once = holders.select("id", "mark", "text").dropDuplicates(["id", "mark"])
+    contexts = _contexts(once.join(chosen, same), length)
+    sorted_out = _shards(contexts.repartition("core").sortWithinPartitions("core"), length)
+    status = records.filter("n > 1").select("core", "context", F.array(F.lit(0), F.col("starts").cast("int")).alias("repeated")).unionByName(sorted_out)
+    spans = named.select("id", "mark", "at", "core", "context").join(status, ["core", "context"]).select(
         "id", "mark", F.transform("repeated", lambda x: x + F.col("at")).alias("repeated")).groupBy("id", "mark").agg(
-        F.flatten(F.collect_set("repeated")).alias("repeated")).select(
-        F.col("id").alias("_id"), F.col("mark").alias("_mark"), "repeated")
+        F.flatten(F.collect_set("repeated")).alias("repeated")).withColumnsRenamed({"id": "_id", "mark": "_mark"})
     touched = holders.select("id", "mark", "text").join(spans, same, "left")
-    clean = held.filter("found is null").select("id", "mark", "text").withColumn("repeated", F.lit(None).cast("array<int>"))
-    out = _cut(touched.select("id", "text", "repeated"), length, kind).unionByName(_cut(clean.select("id", "text", "repeated"), length, kind))
+    clean = held.filter("found is null").select(
+        "id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"),
+        F.array().cast("array<bigint>").alias("removed"), "kept_sha256")
+    out = _cut(touched.select("id", "text", "repeated"), length, kind).unionByName(clean)
     return out.withColumnRenamed("id", key)
