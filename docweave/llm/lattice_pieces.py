@@ -27,7 +27,7 @@ from docweave.llm.words import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.5
-SLICE = 4 << 20
+SLICE = 1 << 20
 BLANK = "▁"
 
 

@@ -139,29 +139,34 @@ def _em(patterns: list[str], counts: np.ndarray, columns: list[int]) -> dict[str
     return dict(zip(patterns, belief.tolist()))
 
 
-def _fit(rows: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on hashed features by adaptive gradient steps, small weights set to nothing.
+def _usual(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows of features without those of fewer than three rows, the value of a row's words, and its number of shapes.
 
     The last ``SHAPES`` features of a row are those of shape and count 1, the words before them
     one over the root of their number.
     """
+    often = np.zeros(DIMENSIONS, np.int32)
+    for r in rows:
+        often[np.unique(r)] += 1
+    scale = np.array([1 / np.sqrt(max(len(r) - SHAPES, 1) / 3) for r in rows])
+    shapes = np.array([(often[r[-SHAPES:]] >= 3).sum() for r in rows])
+    return [r[often[r] >= 3] for r in rows], scale, shapes
+
+
+def _fit(rows: list[np.ndarray], scale: np.ndarray, shapes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression on hashed features by adaptive gradient steps, small weights set to nothing."""
     weight, bias = np.zeros(DIMENSIONS), 0.0
     if not len(rows):
         return weight, -1.0
     power, bias_power = np.full(DIMENSIONS, 1e-6), 1e-6
-    often = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=DIMENSIONS)
-    values = []
-    for i, r in enumerate(rows):
-        value = np.full(len(r), 1.0)
-        value[:-SHAPES] = 1 / np.sqrt(max(len(r) - SHAPES, 1) / 3)
-        keep = often[r] >= 3
-        rows[i], value = r[keep], value[keep]
-        values.append(value)
     order = np.random.default_rng(5)
     for epoch in range(EPOCHS):
         for part in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 32)):
-            flat, value = np.concatenate([rows[i] for i in part]), np.concatenate([values[i] for i in part])
-            doc = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+            flat = np.concatenate([rows[i] for i in part])
+            size = np.array([len(rows[i]) for i in part])
+            doc = np.repeat(np.arange(len(part)), size)
+            behind = np.repeat(np.cumsum(size), size) - np.arange(len(flat))
+            value = np.where(behind <= shapes[part][doc], 1.0, scale[part][doc])
             margin = np.bincount(doc, weight[flat] * value, len(part)) + bias
             error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target[part]) / len(part)
             error *= 1 + (POSITIVE - 1) * target[part]
@@ -196,6 +201,9 @@ class Scorer:
         return {"pattern": _patterns(_votes(m)), "low_score": pa.array(chance[:, 0]), "toxic_score": pa.array(chance[:, 1])}
 
 
+SLICE = 4 << 20
+
+
 def _vote_patterns(column: pa.Array) -> dict[str, list]:
     return {"pattern": _patterns(_votes(_shares(column)))}
 
@@ -224,7 +232,7 @@ def train(documents: DataFrame, labels: DataFrame | None, key: str = "doc_id", t
           sample: int = SAMPLE) -> tuple[Scorer, dict[str, float], dict[str, float]]:
     """The scorer, and the posteriors of low quality and of toxicity by vote pattern."""
     rows = documents.select(F.col(key), F.col(text).alias("_text"))
-    found = _given(add_columns(rows, "_text", "pattern string", _vote_patterns, drop=("_text",)), labels, key)
+    found = _given(add_columns(rows, "_text", "pattern string", _vote_patterns, drop=("_text",), limit=SLICE), labels, key)
     counted = found.groupBy("pattern").count().collect()
     patterns, counts = [r[0] for r in counted], np.array([r[1] for r in counted], float)
     given = len(LOW) + len(TOXIC)
@@ -236,13 +244,15 @@ def train(documents: DataFrame, labels: DataFrame | None, key: str = "doc_id", t
     usable = sum(c for p, c in zip(patterns, counts) if labels is None or p[given] != "0" or p[given + 1] != "0")
     part = min(1.0, sample / max(usable, 1))
     drawn = rows.filter(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < int(part * 1_000_003) + 1)
-    drawn = _given(add_columns(drawn, "_text", "pattern string, features binary", _features, drop=("_text",)), labels, key)
+    drawn = _given(add_columns(drawn, "_text", "pattern string, features binary", _features, drop=("_text",), limit=SLICE), labels, key)
     if labels is not None and usable:
         drawn = drawn.filter(F.substring("pattern", given + 1, 2) != "00")
-    used = drawn.select("pattern", "features").collect()
-    rows = [np.frombuffer(r[1], np.int32) for r in used]
-    return (Scorer(_fit(rows, np.array([low.get(r[0], 0.5) for r in used])),
-                   _fit(rows, np.array([toxic.get(r[0], 0.5) for r in used]))), low, toxic)
+    used = drawn.select("pattern", "features").toArrow()
+    names = used.column("pattern").to_pylist()
+    fitted = _usual([np.frombuffer(r.as_buffer(), np.int32) for r in used.column("features")])
+    del used
+    return (Scorer(_fit(*fitted, np.array([low.get(p, 0.5) for p in names])),
+                   _fit(*fitted, np.array([toxic.get(p, 0.5) for p in names]))), low, toxic)
 
 
 SCORES = "pattern string, low_score double, toxic_score double"
@@ -259,7 +269,7 @@ def classify(documents: DataFrame, labels: DataFrame | None = None, key: str = "
     """
     scorer, low, toxic = train(documents, labels, key, text)
     rows = documents.select(F.col(key), F.col(text).alias("_text"))
-    scored = _given(add_columns(rows, "_text", SCORES, scorer, drop=("_text",)), labels, key)
+    scored = _given(add_columns(rows, "_text", SCORES, scorer, drop=("_text",), limit=SLICE), labels, key)
     spark = documents.sparkSession
     # one row per vote pattern
     known = spark.createDataFrame(
@@ -278,5 +288,5 @@ def accepted(documents: DataFrame, labels: DataFrame | None = None, key: str = "
     def scores(column: pa.Array) -> dict:
         return {names[k]: v for k, v in scorer(column).items()}
 
-    judged = add_columns(documents, text, "_pattern string, _low_score double, _toxic_score double", scores)
+    judged = add_columns(documents, text, "_pattern string, _low_score double, _toxic_score double", scores, limit=SLICE)
     return judged.filter((F.col("_low_score") < threshold) & (F.col("_toxic_score") < threshold)).select(documents.columns)
