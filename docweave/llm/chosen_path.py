@@ -35,7 +35,7 @@ TOKENS = 64
 TREES = 32
 #: Levels that are walked before nodes are looked at, and between two looks.
 STEP = 4
-LOOKS = 3
+LOOKS = 2
 #: Nodes of up to so many sets are compared exhaustively.
 SMALL = 24
 #: Pairs need this share of equal minwise tokens to be confirmed on full sets: at similarity
