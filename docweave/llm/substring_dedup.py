@@ -1,4 +1,4 @@
-"""Exact removal of long repeated byte strings, by external induced sorting of the suffixes that can repeat.
+"""Exact removal of long repeated byte strings, by induced sorting of the suffixes that can repeat.
 
 1. Every place where a string of ``LENGTH`` bytes starts has an anchor: the place, among the next
    ``REACHES`` ones, whose 16 bytes have the smallest hash. The anchor depends on the string alone, so equal
@@ -9,11 +9,13 @@
    once, its distinct records carry their bytes, a few more than ``LENGTH``, to the shard of the core.
 3. A shard sorts the suffixes of its records (``induced_sort``). A string is repeated if the suffix that
    starts there has ``LENGTH`` bytes in common with that of another record.
-4. Runs of removed bytes go back to the documents.
+4. A core whose distinct records have more than ``CORE_BYTES`` is no shard's: each of its strings is named by a
+   digest, and the digests are counted over the whole cluster.
+5. Runs of removed bytes go back to the documents.
 
 Rows of one core meet in one shard, and only distinct records do: a group of copies costs one
-record there. A shard is cut at cores, so its memory is bounded by ``SHARD_BYTES`` and the records of one core;
-the sort's queues go to disk when they outgrow their memory.
+record there. A shard is cut at cores, so it has at most ``SHARD_BYTES + CORE_BYTES`` and a record, and is sorted in
+memory; the sort's queues would go to disk only beyond that size.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.induced_sort import suffix_order
 from docweave.llm.words import mix, slices, text_buffer
+from docweave.operators.skew import hot_keys, salted_join
 from docweave.operators.tables import written
 
 LENGTH = 400
@@ -37,6 +40,8 @@ REACHES = 256
 STEP = 128
 GRAM = 16
 SHARD_BYTES = 2 << 20
+#: Cores with more bytes of distinct records are not sorted in one shard.
+CORE_BYTES = 2 << 20
 SLICE = 2 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -164,6 +169,33 @@ def _shards(records: DataFrame, length: int) -> DataFrame:
         run, "core bigint, context bigint, repeated array<int>")
 
 
+def _counted(contexts: DataFrame, length: int) -> DataFrame:
+    """``(core, context, repeated)`` of single records, by counts of all strings of ``contexts(core, context, n, bytes)``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a record has at most STEP strings of 16 bytes each
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                rows, places, names = [], [], []
+                for i, raw in enumerate(part.column(3).to_pylist()):
+                    starts = range(len(raw) - length + 1)
+                    rows += [i] * len(starts)
+                    places += starts
+                    names += [xxhash.xxh3_128_digest(raw[s:s + length]) for s in starts]
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(at) for c in range(3)), pa.array(places, pa.int32()), pa.array(names, pa.binary())],
+                    names=["core", "context", "n", "place", "string"])
+
+    strings = written(contexts.mapInArrow(run, "core bigint, context bigint, n bigint, place int, string binary"))
+    single = strings.filter("n = 1")
+    again = written(strings.groupBy("string").agg(F.sum("n").alias("total"), F.count(F.when(F.col("n") == 1, 1)).alias("n")).filter(
+        "total > 1 and n > 0").select("string", "n"))
+    found = salted_join(single.select("core", "context", "place", "string"), again.select("string"), "string", hot_keys(again, "string"), "context")
+    return found.groupBy("core", "context").agg(
+        F.flatten(F.collect_list(F.array(F.col("place"), F.col("place") + 1))).alias("repeated"))
+
+
 def _contexts(chosen: DataFrame, length: int) -> DataFrame:
     """``(core, context, n, bytes)`` of the records ``chosen`` of each row ``(text, chosen)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +277,8 @@ def repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text"
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     cores = _cores(rows, kind, length)
-    often = cores.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    found = cores.join(often, "core").groupBy("id", "mark").agg(
+    often = written(cores.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"))
+    found = salted_join(cores, often.select("core"), "core", hot_keys(often, "core"), "id").groupBy("id", "mark").agg(
         F.collect_set(F.struct("at", "starts", "core", "context")).alias("found")).withColumnsRenamed({"id": "_id", "mark": "_mark"})
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
     held = written(_settled(rows.join(found, same, "left").select("id", "mark", "text", "found"), kind))
@@ -255,13 +287,21 @@ def repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text"
     records = written(named.groupBy("core", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("id", "mark", "at")).alias("first"), F.first("starts").alias("starts")))
     # a core whose records all came more than once has nothing left to sort
-    mixed = records.groupBy("core").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).filter("least = 1 and kinds > 1")
-    chosen = records.join(mixed.select("core"), "core").groupBy("first.id", "first.mark").agg(
-        F.collect_list(F.struct("core", "context", "n", "first.at", "starts")).alias("chosen")).withColumnsRenamed({"id": "_id", "mark": "_mark"})
+    mixed = written(records.groupBy("core").agg(
+        F.min("n").alias("least"), F.count("*").alias("kinds"), F.sum(F.col("starts") + F.lit(length - 1)).alias("size")).filter(
+        "least = 1 and kinds > 1").select("core", (F.col("size") > CORE_BYTES).alias("large")))
     # rows with one key and text are equal: their records are taken from one of them
     once = holders.select("id", "mark", "text").dropDuplicates(["id", "mark"])
-    contexts = _contexts(once.join(chosen, same), length)
-    sorted_out = _shards(contexts.repartition("core").sortWithinPartitions("core"), length)
+
+    def contexts(cores: DataFrame) -> DataFrame:
+        chosen = records.join(cores.select("core"), "core").groupBy("first.id", "first.mark").agg(
+            F.collect_list(F.struct("core", "context", "n", "first.at", "starts")).alias("chosen")).withColumnsRenamed({"id": "_id", "mark": "_mark"})
+        return _contexts(once.join(chosen, same), length)
+
+    sorted_out = _shards(contexts(mixed.filter("not large")).repartition("core").sortWithinPartitions("core"), length)
+    large = mixed.filter("large")
+    if not large.isEmpty():
+        sorted_out = sorted_out.unionByName(_counted(contexts(large), length))
     status = records.filter("n > 1").select("core", "context", F.array(F.lit(0), F.col("starts").cast("int")).alias("repeated")).unionByName(sorted_out)
     spans = named.select("id", "mark", "at", "core", "context").join(status, ["core", "context"]).select(
         "id", "mark", F.transform("repeated", lambda x: x + F.col("at")).alias("repeated")).groupBy("id", "mark").agg(

@@ -174,6 +174,28 @@ def test_repeated_bytes_odd(spark, odd):
     assert all(r == n for i, n, r in got if i in (1, 2, None)) and substring_dedup.repeated_bytes(odd.limit(0)).count() == 0
 
 
+def test_repeated_bytes_of_a_common_passage(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    fresh = lambda n: "".join(rng.choice(list("abcdefg \n"), n))
+    # each with surroundings of its own, some of which come twice
+    passage, edges = fresh(300), [(fresh(200), fresh(200)) for _ in range(60)]
+    texts = [a + passage + b for a, b in edges] + [edges[0][0] + passage + edges[1][1], edges[2][0] + passage + edges[2][1]]
+    longer = fresh(500)
+    texts += [fresh(150) + longer + fresh(150) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    want = brute_repeats(texts, 400)
+    for limit in (4000, 1 << 20):
+        monkeypatch.setattr(substring_dedup, "CORE_BYTES", limit)
+        counted = []
+        plain = substring_dedup._counted
+        monkeypatch.setattr(substring_dedup, "_counted", lambda c, n: counted.append(c.count()) or plain(c, n))
+        got = sorted(rows(substring_dedup.repeated_bytes(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+        monkeypatch.setattr(substring_dedup, "_counted", plain)
+        assert [g[1:] for g in got] == want
+        # beyond the limit the records of the passage's cores lie in no shard
+        assert sum(counted) > 50 if limit == 4000 else not counted
+
+
 # benchmark passages
 
 
