@@ -393,6 +393,20 @@ def test_lines(spark, odd):
     assert rows(line_templates.drop_recurring(odd).filter("doc_id = 4"), "text", "n_lines") == [(None, 0)]
 
 
+def test_lines_with_equal_surroundings(spark):
+    block = ["Terms of this site", "all pages are given as they are", "no part of them may be sold", "write to us for more", "End of the terms"]
+    own = [f"Only {chr(97 + i)}{chr(97 + i)} has this" for i in range(12)]
+    docs = [(i, "\n".join([o, "", "Sign up for our letter", "", f"{o} too"])) for i, o in enumerate(own)]
+    docs += [(100 + i, "\n".join([f"x {o}", *block, f"y {o}"])) for i, o in enumerate(own)]
+    docs += [(200 + i, f"This page was moved by its old owner to the place {o}") for i, o in enumerate(own)]
+    docs += [(300 + i, "one\nold\ntext\nof five\nlines") for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r[0]: r[1:] for r in rows(line_templates.drop_recurring(df, min_docs=10), "doc_id", "n_dropped", "text")}
+    for i, o in enumerate(own[1:], 1):
+        assert got[i] == (1, f"{o}\n\n\n{o} too") and got[100 + i] == (5, f"x {o}\ny {o}") and got[200 + i] == (1, "")
+    assert all(got[k][0] == 0 for k in (0, 100, 200)) and all(got[300 + i][0] == 0 for i in range(20))
+
+
 def test_hosts(spark):
     rules = [host_trust.Rule("allow", "good.test", "/"), host_trust.Rule("block", "bad.test", "/"), host_trust.Rule("block", "good.test", "/ads/")]
     pages = [
