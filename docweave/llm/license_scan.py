@@ -1,6 +1,7 @@
 """Licences of files: TF-IDF cosine of notices to templates, and inheritance along directories.
 
-A passage is a line with a licensing word, or the whole of a licence file. Passages become
+A passage is a line with a licensing word, the whole of a licence file, or any run of neighbouring lines, as
+notices are wrapped; runs go up to ``WIDEST`` times the words of the template that they are compared with. Passages become
 sparse vectors: words count by frequency times ``ln((1 + files) / (1 + files with the word)) + 1``. Only
 the words of the templates need file counts; these are taken over all files. Words outside the templates weigh as
 if no file had them. A file has the licence of its most similar passage, if similar enough; a
@@ -12,7 +13,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from docweave.operators.tables import written
 
 THRESHOLD = 0.6
 WORD = "[0-9a-z]+"
+#: Wider runs of lines have too many other words to be like a template.
+WIDEST = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CUE = r"licen[sc]e|copyright|all rights reserved|permission is hereby granted|without warrant"
 LICENSE_FILE = r"(?:\A|/)(?:licen[sc]e|copying)[^/]*\z"
@@ -63,6 +68,68 @@ def passages(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     return files.select(key, path, F.posexplode(F.concat(lines, whole)).alias("at", "passage"))
 
 
+def _run_scores(lines: list[list[str]], template: dict[str, float], size: int, rarity: dict[str, float], other: float, threshold: float) -> float:
+    """The best cosine of a run of ``lines`` and a template of ``size`` words, 0 if all are below the threshold."""
+    least, best = threshold * threshold - 1e-5, 0.0
+    # a run's cosine is at most the root of the template's weight in it, which is at most the sum over its lines
+    inside = [sum(template[w] ** 2 for w in set(line) if w in template) for line in lines]
+    for i, line in enumerate(lines):
+        if not inside[i]:
+            continue  # without this line the run is no less like the template
+        weight, n = 0.0, 0
+        for j in range(i, len(lines)):
+            weight, n = weight + inside[j], n + len(lines[j])
+            if j > i and n > WIDEST * size:
+                break
+            if inside[j] and weight >= least:
+                counts = Counter(w for k in range(i, j + 1) for w in lines[k])
+                dot = sum(c * rarity[w] * template[w] for w, c in counts.items() if w in template)
+                norm = math.sqrt(sum((c * rarity.get(w, other)) ** 2 for w, c in counts.items()))
+                best = max(best, round(dot / norm, 6))
+    return best if best >= threshold else 0.0
+
+
+def _runs(files: DataFrame, key: str, path: str, text: str, vectors: list[tuple[str, Counter]], rarity: dict[str, float],
+          other: float, threshold: float) -> DataFrame:
+    """``(key, path, license, score)`` of the templates that runs of neighbouring lines are like."""
+    templates = []
+    for name, v in vectors:
+        length = math.sqrt(sum((n * rarity[w]) ** 2 for w, n in v.items()))
+        if length:
+            templates.append((name, {w: n * rarity[w] / length for w, n in v.items()}, sum(v.values())))
+    vocabulary = set(rarity)
+    word = re.compile(WORD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, names, scores = [], [], []
+            for i in range(batch.num_rows):
+                raw = batch.column(2)[i].as_py()
+                if raw is None:
+                    continue
+                # lowers A to Z only
+                raw = raw.encode().lower().decode()
+                known = vocabulary.intersection(word.findall(raw))
+                likely = [t for t in templates if sum(x * x for w, x in t[1].items() if w in known) >= threshold * threshold - 1e-5]
+                if not likely:
+                    continue
+                lines = [found for line in raw.split("\n") if (found := word.findall(line))]
+                for name, template, size in likely:
+                    score = _run_scores(lines, template, size, rarity, other, threshold)
+                    if score:
+                        rows.append(i)
+                        names.append(name)
+                        scores.append(score)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                names=["key", "path", "license", "score"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, path, text).mapInArrow(run, f"key {kind}, path string, license string, score double").toDF(
+        key, path, "license", "score")
+
+
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: str = "doc_id", path: str = "path",
          text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``(key, path, license, score, origin, from_dir)`` for every row of ``files``.
@@ -97,7 +164,9 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: st
     norms = weighed.groupBy(key, path, "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(F.broadcast(weights), "term").groupBy(key, path, "at", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scores = dots.join(norms, [key, path, "at"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
-    best = written(scores.filter(F.col("score") >= threshold).groupBy(key, path).agg(
+    runs = _runs(rows, key, path, text, vectors, {w: rarity(w) for w in vocabulary}, math.log(1 + total) + 1, threshold)
+    alike = scores.filter(F.col("score") >= threshold).select(key, path, "license", "score").unionByName(runs)
+    best = written(alike.groupBy(key, path).agg(
         F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license")))
 
     parent = lambda c: F.regexp_extract(c, r"\A(.*)/[^/]*\z", 1)

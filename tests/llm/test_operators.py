@@ -437,6 +437,22 @@ def test_licences(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    files = [(999, "src/LICENSE", "Released under the MIT License.")]
+    for i, (_, t) in enumerate(license_scan.TEMPLATES):
+        for k, (width, mark) in enumerate(((72, "# "), (40, " * "), (1000, ""))):
+            notice = "\n".join(mark + x for x in textwrap.wrap(t, width))
+            files.append((10 * i + k, f"src/f{i}_{k}.py", f"#!/bin/run\n{mark}\n{notice}\n{mark}\nvalue = {i}\nother = value + {k}\n"))
+    files += [(1000, "src/plain.py", "first = 1\nsecond = first\n")]
+    df = spark.createDataFrame(files, "doc_id bigint, path string, text string")
+    got = {r[0]: r[1:] for r in rows(license_scan.scan(df), "doc_id", "license", "origin")}
+    assert got[1000] == ("MIT", "inherited")
+    for i, (name, _) in enumerate(license_scan.TEMPLATES):
+        assert [got[10 * i + k] for k in range(3)] == [(name, "own")] * 3
+
+
 # fingerprints
 
 
