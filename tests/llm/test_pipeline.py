@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from oracle import DATA
 from pyspark.sql import functions as F
-from test_operators import brute_contamination, classes
+from test_llm_operators import brute_contamination, classes
 
 import corpus_pipeline
 from docweave.llm import lattice_pieces
