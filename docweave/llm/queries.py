@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import (
     chosen_path, decontaminate, edit_fingerprints, hidden_markov, host_trust, lattice_pieces, license_scan, line_templates, substring_dedup,
-    weak_labels,
+    weak_labels, whitening,
 )
 from docweave.sources.tables import table
 
@@ -268,3 +268,9 @@ def op4_induced_sort(spark: SparkSession, sf: str) -> DataFrame:
 def op1_edit_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how like they are."""
     return edit_fingerprints.fingerprints(table(spark, sf, "documents"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings on the four leading components of their distinct vectors, with unit deviations."""
+    return whitening.whiten(table(spark, sf, "embeddings"))
