@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import (
     chosen_path, decontaminate, edit_fingerprints, hidden_markov, host_trust, lattice_pieces, license_scan, line_templates, substring_dedup,
-    weak_labels, whitening,
+    threshold_search, weak_labels, whitening,
 )
 from docweave.sources.tables import table
 
@@ -274,3 +274,19 @@ def op1_edit_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
     """All embeddings on the four leading components of their distinct vectors, with unit deviations."""
     return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query("op12_threshold_search", sql="""
+    WITH x AS (
+      SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+      FROM (SELECT DISTINCT * FROM x WHERE vec_id % 100 = 0) q JOIN x c ON c.vec_id IS DISTINCT FROM q.vec_id),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""")
+def op12_threshold_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of all embeddings by inner product for every hundredth."""
+    vectors = table(spark, sf, "embeddings")
+    return threshold_search.threshold_topk(vectors.filter("vec_id % 100 = 0"), vectors)
