@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import (
     chosen_path, decontaminate, edit_fingerprints, hidden_markov, host_trust, lattice_pieces, license_scan, line_templates, substring_dedup,
-    threshold_search, weak_labels, whitening,
+    threshold_search, turn_repair, weak_labels, whitening,
 )
 from docweave.sources.tables import table
 
@@ -290,3 +290,89 @@ def op12_threshold_search(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest of all embeddings by inner product for every hundredth."""
     vectors = table(spark, sf, "embeddings")
     return threshold_search.threshold_topk(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, stripped of sentence ends, repeated or given to the user by the checksum of their place."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", known("conv_id"), known("turn"))) % 20
+    text = F.when(F.col("_kind") == 1, "").when(F.col("_kind") == 2, F.translate(known("text"), ".!?", "")).otherwise(known("text"))
+    times = F.when(F.col("_kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return conversations.withColumn("_kind", kind).filter("_kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("_kind") == 4, "user").otherwise(known("role")).alias("role"), text.alias("text"),
+        F.explode(times).alias("_copy")).drop("_copy")
+
+
+def _repair_sql() -> str:
+    """A dynamic program over places and states that carries the least letters of each state along."""
+    after, moves = {"": ("u", "U"), "S": ("u", "U"), "U": ("a", "A"), "A": ("u", "U")}, []
+    final = {"": 0, "A": 0}
+    tails = []
+    for start in after:
+        state, letters, lines, cost = start, "", "", 0
+        for inserted in range(3):
+            if inserted:
+                who, state = after[state]
+                letters, cost = letters + "I", cost + 2
+                lines += ("user:" if who == "u" else "assistant:") + "\n"
+            who, to = after[state]
+            moves.append((start, letters + "D", cost + 3, lines, "", state, "drop"))
+            moves.append((start, letters + "R", cost + 2, lines, "user" if who == "u" else "assistant", to, "rerole"))
+            moves.append((start, letters + "K", cost, lines, who, to, "keep"))
+            if state == "":
+                moves.append((start, letters + "K", cost, lines, "s", "S", "keep"))
+            if state in final:
+                tails.append((start, letters, cost, lines))
+    values = lambda rows: ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+    text = r"[^\x20\x09-\x0D]"
+    return rf"""
+    WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i::BIGINT)) AS t),
+    given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+    kinds AS (SELECT given.*, xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: unicode(s[i])::BIGINT),
+        lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind FROM given, crc),
+    damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds) WHERE kind <> 0),
+    names AS (SELECT DISTINCT conv_id FROM conversations),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || ':' || text)) AS pos,
+        regexp_extract(text, '({text})[\x20\x09-\x0D]*\z', 1) AS final, substr(role, 1, 1) AS initial FROM damaged),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS prev FROM placed),
+    judged AS (SELECT *, final = '' AS blank, final <> '' AND again AS duplicate, final NOT IN ('', '.', '!', '?') AND NOT again AS truncated FROM seen),
+    faults AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+        count(*) FILTER (prev || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1),
+    moves AS (SELECT * FROM (VALUES {values(moves)}) t(state, letters, price, lines, who, target, kind)),
+    walk AS (
+      SELECT conv_id, 0::BIGINT AS pos, '' AS state, 0::BIGINT AS cost, '' AS audit, '' AS lines FROM names
+      UNION ALL
+      SELECT conv_id, pos, state, (best).cost, (best).audit, (best).lines FROM (
+        SELECT w.conv_id, w.pos + 1 AS pos, m.target AS state, min({{'cost': w.cost + m.price + CASE WHEN j.truncated AND m.kind <> 'drop' THEN 1 ELSE 0 END,
+            'audit': w.audit || m.letters, 'lines': w.lines || m.lines || CASE m.kind WHEN 'drop' THEN ''
+              WHEN 'keep' THEN j.role || ':' || j.text || chr(10) ELSE m.who || ':' || j.text || chr(10) END}}) AS best
+        FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.pos = w.pos + 1
+        JOIN moves m ON m.state = w.state AND (m.kind = 'drop' OR NOT (j.blank OR j.duplicate)) AND (m.kind <> 'keep' OR m.who = j.initial)
+        GROUP BY 1, 2, 3)),
+    ended AS (
+      SELECT w.conv_id, arg_max(best, w.pos) AS best FROM (
+        SELECT w.conv_id, w.pos, min({{'cost': w.cost + t.price, 'audit': w.audit || t.letters, 'lines': w.lines || t.lines}}) AS best
+        FROM walk w JOIN (VALUES {values(tails)}) t(state, letters, price, lines) ON t.state = w.state GROUP BY 1, 2) w GROUP BY 1)
+    SELECT n.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+      coalesce(illegal, 0) AS illegal, (best).cost AS cost, (best).audit AS audit,
+      sha256(CASE WHEN (best).lines = '' THEN '' ELSE left((best).lines, length((best).lines) - 1) END) AS repaired_sha256
+    FROM names n LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM n.conv_id JOIN ended e ON e.conv_id IS NOT DISTINCT FROM n.conv_id"""
+
+
+@query("op13_turn_repair", sql=_repair_sql())
+def op13_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations after damage."""
+    given = table(spark, sf, "conversations")
+    faults, repaired = turn_repair.repair(damaged_turns(given))
+    named = lambda df: df.withColumn("_c", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
+    found = named(given.select("conv_id").distinct()).join(named(faults).drop("conv_id"), "_c", "left").join(
+        named(turn_repair.digests(repaired)).drop("conv_id"), "_c", "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
