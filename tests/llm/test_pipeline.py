@@ -17,14 +17,13 @@ def plain_lines(documents, min_docs=10):
         t = [x for x in re.split(r"[ \t\r]+", re.sub("[0-9]+", "<*>", line)) if x]
         return " ".join([str(len(t)), *t[:max(-(-len(t) // 2), min(len(t), 6))]]) if t else ""
 
-    first = defaultdict(dict)
-    for i, text in sorted(documents):
-        leaves = [leaf(x) for x in text.split("\n")]
-        for a, here, b in zip(["", *leaves], leaves, [*leaves[1:], ""]):
-            if here:
-                first[here].setdefault((a, b), i)
-    keeper = {k: min(v.values()) for k, v in first.items() if len(set(v.values())) >= min_docs}
-    return {i: "\n".join(x for x in text.split("\n") if keeper.get(leaf(x), i) == i) for i, text in documents}
+    texts, keeper = defaultdict(set), {}
+    for i, text in documents:
+        for here in {leaf(x) for x in text.split("\n")} - {""}:
+            texts[here].add(text)
+            keeper[here] = min(i, keeper.get(here, i))
+    dropped = {k for k in texts if len(texts[k]) >= min_docs}
+    return {i: "\n".join(x for x in text.split("\n") if leaf(x) not in dropped or keeper[leaf(x)] == i) for i, text in documents}
 
 
 def pairs(df):
