@@ -3,17 +3,19 @@
 Equal sets are one set from the start. Every distinct set is carried by a signature of minwise
 tokens. In each of ``TREES`` independent trees a set walks down a path: the node it is in
 picks, by its own hash, the minwise token that decides the child. Two sets of similarity s stay
-together for ``STEP`` levels with chance s ** STEP; at 0.8 all trees lose a pair about once in
+together for ``STEP`` levels with chance s ** STEP; at 0.8 all trees lose a pair about three times in
 100,000.
 
-Nodes are treated by what they hold, not cut to a size:
-
-1. every member is compared with one member of its node drawn at random (a star). Links confirmed on
-   the full sets join the members of a family, however large, with one row per member and node;
-2. small nodes compare all members that are not joined yet, exhaustively;
-3. large nodes branch on further tokens. One whose members mostly form one family would not
-   get smaller by branching: there, those outside the family are compared with all in blocks of
-   bounded size, once for all trees. So are the members of large nodes after the last branching.
+1. In the first few trees every member of a node is compared with one member drawn at random (a star). Links
+   confirmed on the full sets join the members of a family, however large, with one row per member and tree.
+2. In all trees, only nodes are looked at whose members are not one class yet. Their stars compare the
+   members outside the class of the one drawn, so a family costs nothing more in the trees that follow.
+3. Small nodes compare all members that are not joined yet, exhaustively. A large node that is mostly one family
+   would not get smaller by branching: there, those outside the family are compared with all in blocks
+   of bounded size, once for all trees.
+4. Other large nodes branch on. Each is continued ``BRANCHES`` times, by different tokens, so that a pair which
+   met in a node meets again below in one of them: over all trees, a pair at 0.8 is lost less than once in 100,000 there. Members of
+   nodes that are still large after the last look are compared in blocks.
 
 Signatures only select; each link is confirmed on full sets.
 """
@@ -35,7 +37,10 @@ TOKENS = 64
 TREES = 32
 #: Levels that are walked before nodes are looked at, and between two looks.
 STEP = 4
-LOOKS = 2
+LOOKS = 3
+#: Trees of the first stars; continuations of a large node.
+OPENING = 4
+BRANCHES = 4
 #: Nodes of up to so many sets are compared exhaustively.
 SMALL = 24
 #: Pairs need this share of equal minwise tokens to be confirmed on full sets: at similarity
@@ -140,29 +145,44 @@ def _walk(tokens: np.ndarray, path: np.ndarray) -> np.ndarray:
 
 
 def _descend(sets: DataFrame, kind: str, start: bool) -> DataFrame:
-    """``(id, path)``: the nodes of ``sets(id, signature[, path])`` ``STEP`` levels further down."""
+    """``(id, path, opening)``: the nodes of ``sets(id, signature[, path])`` ``STEP`` levels further down.
+
+    From the roots of all trees, or from each path ``BRANCHES`` times.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            if start:
-                roots = mix(np.arange(1, TREES + 1, dtype=np.uint64))
-                for root in roots:
-                    path = _walk(flat, np.full(len(flat), root))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(path.view(np.int64))], names=["id", "path"])
-            else:
-                path = _walk(flat, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(path.view(np.int64))], names=["id", "path"])
+            above = None if start else batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k, salt in enumerate(mix(np.arange(1, (TREES if start else BRANCHES) + 1, dtype=np.uint64))):
+                path = _walk(flat, np.full(len(flat), salt) if start else mix(above ^ salt))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(path.view(np.int64)), pa.array(np.full(len(path), start and k < OPENING))],
+                    names=["id", "path", "opening"])
 
-    return sets.mapInArrow(run, f"id {kind}, path bigint")
+    return sets.mapInArrow(run, f"id {kind}, path bigint, opening boolean")
 
 
 def _nodes(members: DataFrame) -> DataFrame:
-    """``(id, path, size, pivot)`` of the nodes with company; the pivot is drawn by a hash of node and id."""
-    drawn = members.groupBy("path").agg(
-        F.count("*").alias("size"), F.min(F.struct(F.xxhash64("path", "id").alias("h"), "id"))["id"].alias("pivot"))
-    return written(members.join(drawn.filter("size > 1"), "path"))
+    """``(id, path, opening, size, pivot)`` of the nodes with company; the pivot is drawn by a hash of node and id."""
+    drawn = written(members.groupBy("path").agg(
+        F.count("*").alias("size"), F.min(F.struct(F.xxhash64("path", "id").alias("h"), "id"))["id"].alias("pivot")).filter("size > 1"))
+    return written(members.join(drawn, "path"))
+
+
+def _placed(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(id, path, class, size, pivot_class, pivot, most, family)`` of the nodes that hold more than one class.
+
+    ``family`` is the class with the ``most`` members of a node, ids without a link are their own class.
+    """
+    placed = nodes.select("id", "path", "size", "pivot").join(classes, "id", "left").select(
+        "id", "path", "size", "pivot", F.coalesce("component", "id").alias("class"))
+    counts = placed.groupBy("path", "class").agg(F.count("*").alias("n"), F.max(F.col("id") == F.col("pivot")).alias("drawn"))
+    held = written(counts.groupBy("path").agg(
+        F.max_by("class", F.struct("n", "class")).alias("family"), F.max("n").alias("most"), F.max_by("class", "drawn").alias("pivot_class"),
+        F.count("*").alias("classes")).filter("classes > 1").drop("classes"))
+    return written(placed.join(held, "path"))
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -277,26 +297,11 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     first = written(full.groupBy("set").agg(F.min("id").alias("id"), F.first("signature").alias("signature")))
     sets = first.select("id", "signature")
 
-    looks, members = [], _descend(sets, kind, True)
-    for look in range(LOOKS):
-        nodes = _nodes(members)
-        looks.append(nodes)
-        if look + 1 < LOOKS:
-            large = nodes.filter(F.col("size") > SMALL).select("id", "path")
-            members = _descend(sets.join(large, "id"), kind, False)
-    inside = looks[0].select("id").distinct()
+    nodes = _nodes(_descend(sets, kind, True))
+    inside = nodes.select("id").distinct()
     items = written(_items(
         documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(inside, "id"), kind, shingle).distinct())
 
-    stars = looks[0].select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    for nodes in looks[1:]:
-        stars = stars.unionByName(nodes.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-    near = written(_agreeing(stars.filter("a <> b"), sets))
-    best = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree")).groupBy("a").agg(
-        F.max_by("b", F.struct("agree", F.xxhash64("a", "b"))).alias("b"))
-    links = written(_confirmed(
-        best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), items, percent))
-
     def labelled(edges: DataFrame) -> DataFrame:
         # ids without a link are their own class
         return written(components(edges))
@@ -305,31 +310,40 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         named = pairs.join(classes.toDF("a", "class_a"), "a", "left").join(classes.toDF("b", "class_b"), "b", "left")
         return named.filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
 
+    stars = nodes.filter("opening and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    near = written(_agreeing(stars, sets))
+    best = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree")).groupBy("a").agg(
+        F.max_by("b", F.struct("agree", F.xxhash64("a", "b"))).alias("b"))
+    links = written(_confirmed(
+        best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), items, percent))
     classes = labelled(links)
     links = written(links.unionByName(_confirmed(crossing(near.select("a", "b"), classes), items, percent)))
     classes = labelled(links)
 
-    found, rest = links, None
-    for look, nodes in enumerate(looks):
-        placed = nodes.filter("size > 2").join(classes, "id", "left").withColumn("class", F.coalesce("component", "id"))
-        counts = placed.groupBy("path", "class").agg(F.count("*").alias("n"))
-        largest = counts.groupBy("path").agg(F.max_by("class", F.struct("n", "class")).alias("family"),
-                                             F.max("n").alias("most"), F.count("*").alias("classes")).filter("classes > 1")
-        open_nodes = written(placed.join(largest, "path").select("path", "id", "class", "size", "most", "family"))
-        one = open_nodes.filter(F.col("size") <= SMALL)
+    groups = None
+    for look in range(LOOKS):
+        there = _placed(nodes, classes)
+        stars = there.filter(F.col("class") != F.col("pivot_class")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        links = written(links.unionByName(_confirmed(_agreeing(stars, sets).select("a", "b"), items, percent)))
+        classes = labelled(links)
+        there = _placed(there, classes)
+        one = there.filter(F.col("size") <= SMALL)
         left, right = (one.select("path", F.col("id").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
         pairs = left.join(right, "path").filter("class_a <> class_b and a < b").select("a", "b")
-        found = found.unionByName(_confirmed(_agreeing(pairs, sets).select("a", "b"), items, percent))
+        links = written(links.unionByName(_confirmed(_agreeing(pairs, sets).select("a", "b"), items, percent)))
         # nodes of one family in all trees make one group
-        dense = F.col("most") * 2 >= F.col("size")
-        group = F.when(dense, F.xxhash64(F.lit("family"), "family"))
+        large = there.filter(F.col("size") > SMALL).withColumn("dense", F.col("most") * 2 >= F.col("size"))
+        group = F.when(F.col("dense"), F.xxhash64(F.lit("family"), "family"))
         if look + 1 == LOOKS:
             group = F.coalesce(group, "path")
-        large = open_nodes.filter(F.col("size") > SMALL).select(
-            group.alias("group"), "id", (F.col("class") != F.col("family")).alias("outside")).filter("group is not null")
-        rest = large if rest is None else rest.unionByName(large)
-    found = found.unionByName(_block_links(written(rest.distinct()), items, percent))
-    classes = labelled(written(found))
+        more = large.select(group.alias("group"), "id", (F.col("class") != F.col("family")).alias("outside")).filter("group is not null")
+        groups = more if groups is None else groups.unionByName(more)
+        if look + 1 < LOOKS:
+            classes = labelled(links)
+            nodes = _nodes(_descend(sets.join(large.filter("not dense").select("id", "path"), "id"), kind, False))
+            if nodes.isEmpty():
+                break
+    classes = labelled(written(links.unionByName(_block_links(written(groups.distinct()), items, percent))))
 
     named = first.select("set", F.col("id").alias("first")).join(classes.withColumnRenamed("id", "first"), "first", "left").select(
         "set", F.coalesce("component", "first").alias("component_id"))

@@ -514,3 +514,21 @@ def test_near_links(spark):
     got = {r[0]: r[1:] for r in rows(edit_fingerprints.near_links(prints), "doc_id", "near_id", "likeness")}
     # bands may miss a copy near the threshold, but never join different texts
     assert set(got) <= set(range(5, 40)) and len(got) >= 32 and all(n % 5 == i % 5 and x >= 0.8 for i, (n, x) in got.items())
+
+
+def test_planted_pairs_among_half_alike_sets(spark, monkeypatch):
+    """Sets that share boilerplate (0.6 alike) fill large nodes without being linked; pairs at 0.8 among them are found."""
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(150)]
+    docs = []
+    for i in range(150):
+        own = [f"d{i}x{j}" for j in range(50)]
+        docs.append((2 * i, " ".join(common + own)))
+        # 21 of 199 shingles differ on each side: 178 of 220
+        docs.append((2 * i + 1, " ".join(common + own[:29] + [f"e{i}x{j}" for j in range(21)])))
+    order = rng.permutation(len(docs))
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    monkeypatch.setattr(chosen_path, "BLOCK", 64)
+    df = spark.createDataFrame([docs[i] for i in order], "doc_id bigint, text string")
+    got = dict(rows(chosen_path.near_duplicates(df, shingle=2), "doc_id", "component_id"))
+    assert got == classes(docs, 2) and all(got[2 * i + 1] == 2 * i for i in range(150))
