@@ -279,6 +279,17 @@ def _block_links(groups: DataFrame, items: DataFrame, percent: int) -> DataFrame
         run, f"a {kind}, b {kind}").filter("a <> b")
 
 
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes(id, component)`` with further ``links(a, b)``: only the classes that these join are named anew."""
+    new = written(links)
+    if new.isEmpty():
+        return classes
+    ends = new.join(classes.toDF("a", "class_a"), "a", "left").join(classes.toDF("b", "class_b"), "b", "left")
+    joined = written(components(ends.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).distinct()))
+    named = classes.join(joined.toDF("component", "_to"), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    return written(named.unionByName(joined.join(classes, "id", "left_anti")))
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
                     percent: int = 80) -> DataFrame:
     """``(key, n_shingles, component_id)`` for every row of ``documents``.
@@ -302,10 +313,6 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     items = written(_items(
         documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(inside, "id"), kind, shingle).distinct())
 
-    def labelled(edges: DataFrame) -> DataFrame:
-        # ids without a link are their own class
-        return written(components(edges))
-
     def crossing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         named = pairs.join(classes.toDF("a", "class_a"), "a", "left").join(classes.toDF("b", "class_b"), "b", "left")
         return named.filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
@@ -314,23 +321,21 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     near = written(_agreeing(stars, sets))
     best = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree")).groupBy("a").agg(
         F.max_by("b", F.struct("agree", F.xxhash64("a", "b"))).alias("b"))
-    links = written(_confirmed(
-        best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), items, percent))
-    classes = labelled(links)
-    links = written(links.unionByName(_confirmed(crossing(near.select("a", "b"), classes), items, percent)))
-    classes = labelled(links)
+    classes = written(components(written(_confirmed(
+        best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), items, percent))))
+    classes = _merged(classes, _confirmed(crossing(near.select("a", "b"), classes), items, percent))
 
     groups = None
     for look in range(LOOKS):
         there = _placed(nodes, classes)
         stars = there.filter(F.col("class") != F.col("pivot_class")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        links = written(links.unionByName(_confirmed(_agreeing(stars, sets).select("a", "b"), items, percent)))
-        classes = labelled(links)
-        there = _placed(there, classes)
+        before, classes = classes, _merged(classes, _confirmed(_agreeing(stars, sets).select("a", "b"), items, percent))
+        if classes is not before:
+            there = _placed(there, classes)
         one = there.filter(F.col("size") <= SMALL)
         left, right = (one.select("path", F.col("id").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
         pairs = left.join(right, "path").filter("class_a <> class_b and a < b").select("a", "b")
-        links = written(links.unionByName(_confirmed(_agreeing(pairs, sets).select("a", "b"), items, percent)))
+        classes = _merged(classes, _confirmed(_agreeing(pairs, sets).select("a", "b"), items, percent))
         # nodes of one family in all trees make one group
         large = there.filter(F.col("size") > SMALL).withColumn("dense", F.col("most") * 2 >= F.col("size"))
         group = F.when(F.col("dense"), F.xxhash64(F.lit("family"), "family"))
@@ -339,11 +344,10 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         more = large.select(group.alias("group"), "id", (F.col("class") != F.col("family")).alias("outside")).filter("group is not null")
         groups = more if groups is None else groups.unionByName(more)
         if look + 1 < LOOKS:
-            classes = labelled(links)
             nodes = _nodes(_descend(sets.join(large.filter("not dense").select("id", "path"), "id"), kind, False))
             if nodes.isEmpty():
                 break
-    classes = labelled(written(links.unionByName(_block_links(written(groups.distinct()), items, percent))))
+    classes = _merged(classes, _block_links(written(groups.distinct()), items, percent))
 
     named = first.select("set", F.col("id").alias("first")).join(classes.withColumnRenamed("id", "first"), "first", "left").select(
         "set", F.coalesce("component", "first").alias("component_id"))
