@@ -8,15 +8,12 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
+from docweave.operators.postings import SHARD_DOCS, Postings, Store, blocked, inverse_frequency, saturation, search
 from docweave.operators.skew import hot_keys, salted_join
 from docweave.operators.tables import written
 
 K1 = 1.5
 B = 0.75
-SEED_TERMS = 4
-DIRECT_BELOW = 50_000_000
-SLACK = 1e-5  # scores are ranked at six digits; bounds keep this margin
-
 
 DOCUMENT = ""  # the term of the row that stands for the document itself
 
@@ -92,14 +89,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _idf(stats: Row):
-    df = F.col("df")
-    return F.log((stats.n_docs - df + 0.5) / (df + 0.5) + 1)
+    return inverse_frequency(F.col("df"), stats.n_docs)
 
 
 def _saturation(stats: Row, k1: float, b: float):
-    avgdl = stats.n_tokens / max(stats.n_docs, 1)
-    tf = F.col("tf")
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
+    return saturation(F.col("tf"), F.col("dl"), stats.n_tokens / max(stats.n_docs, 1), k1, b)
 
 
 def bm25_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame,
@@ -123,12 +117,6 @@ def bm25_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame,
     )
 
 
-def top_per_query(scored: DataFrame, k: int) -> DataFrame:
-    """First ``k`` of every query by score, then document id."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def _summed(g: DataFrame, weights: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Sum of weighted postings per (query, document); long posting lists are salted."""
     return (
@@ -137,69 +125,19 @@ def _summed(g: DataFrame, weights: DataFrame, hot: DataFrame | None) -> DataFram
     )
 
 
-def _looked_up(pairs: DataFrame, weights: DataFrame, g: DataFrame) -> DataFrame:
-    """Sum of weighted postings for given (query, document) pairs.
-
-    The lookups are written first: few of them are then broadcast to the postings.
-    """
-    return (
-        written(pairs.join(weights, "query_id")).join(g, ["doc_id", "term"])
-        .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("g")).alias("score"))
-    )
-
-
-def _kth(scored: DataFrame, k: int) -> DataFrame:
-    return top_per_query(scored, k).groupBy("query_id").agg(
-        F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("kth"))
-
-
-def _bounded_scores(g: DataFrame, weighted: DataFrame, hot: DataFrame | None, k: int) -> DataFrame:
-    """Full scores of all documents that can reach the top k of a query, and of few others.
-
-    The weightiest terms of a query pick k documents whose full scores give a lower bound
-    of its k-th score. Terms whose best possible contributions together stay under that
-    bound cannot bring a new document into the top k: they are not joined, only looked up
-    for documents that survive a second bound.
-    """
-    per_query = Window.partitionBy("query_id")
-    heaviest = per_query.orderBy(F.desc("bound"), "term")
-    ascending = per_query.orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    weighted = written(
-        weighted.withColumn("bound", F.col("w") * F.col("max_g"))
-        .withColumn("heavy", F.row_number().over(heaviest) <= SEED_TERMS)
-        .withColumn("upto", F.sum("bound").over(ascending))
-        .select("query_id", "term", "w", "df", "upto", "heavy")
-    )
-    by_term = weighted.select("query_id", "term", "w")
-    seeded = top_per_query(_summed(g, weighted.filter("heavy").select("query_id", "term", "w"), hot), k)
-    first = _kth(_looked_up(seeded.select("query_id", "doc_id"), by_term, g), k)
-    split = written(
-        weighted.join(first, "query_id", "left")
-        .withColumn("theta", F.coalesce("kth", F.lit(0.0)))
-        .withColumn("leads", F.col("heavy") | (F.col("upto") >= F.col("theta") - SLACK))
-        .withColumn("rest", F.coalesce(F.max(F.when(~F.col("leads"), F.col("upto"))).over(per_query), F.lit(0.0)))
-        .select("query_id", "term", "w", "df", "leads", "rest", "theta")
-    )
-    led_work, all_work = split.agg(F.sum(F.when(F.col("leads"), F.col("df"))), F.sum("df")).first()
-    if led_work is None or led_work * 4 > all_work:
-        return _summed(g, by_term, hot)  # hardly anything to leave out
-    led = _summed(g, split.filter("leads").select("query_id", "term", "w"), hot)
-    bound = split.select("query_id", "rest", "theta").distinct().join(_kth(led, k), "query_id").select(
-        "query_id", (F.greatest("theta", "kth") - F.col("rest") - SLACK).alias("need"))
-    alive = led.join(bound, "query_id").filter(F.col("score") >= F.col("need")).select("query_id", "doc_id", "score")
-    lookups = _looked_up(
-        alive.select("query_id", "doc_id"), split.filter(~F.col("leads")).select("query_id", "term", "w"), g)
-    return alive.unionByName(lookups).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+def _ranked(top: DataFrame) -> DataFrame:
+    best_score = F.max("score").over(Window.partitionBy("query_id"))
+    return top.withColumn(
+        "rel_score", F.round(F.when(best_score > 0, F.col("score") / best_score).otherwise(0.0), 6)
+    ).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), "score", "rel_score")
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
-              index: LexicalIndex | None = None, k1: float = K1, b: float = B,
-              direct_below: int = DIRECT_BELOW) -> DataFrame:
+              index: LexicalIndex | None = None, k1: float = K1, b: float = B, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Exact BM25 top-k of every query: ``(query_id, doc_id, rank, score, rel_score)``.
 
-    Scoring every document that shares any word with a query joins the longest posting
-    lists with nearly all queries. With more than ``direct_below`` such matches, score
-    bounds leave out those that cannot matter; the result is the same.
+    Postings of the queries' terms are laid in blocks; blocks whose bounds cannot bring a document into the top k are
+    not scored.
     """
     qt = written(query_terms(queries))
     wanted = qt.select("term").distinct()
@@ -209,24 +147,32 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
         index = LexicalIndex(index.rows.join(
             wanted.unionByName(wanted.limit(1).select(F.lit(DOCUMENT).alias("term"))), "term", "left_semi"))
     stats = index.stats.first()
-    g = index.postings.select("doc_id", "term", _saturation(stats, k1, b).alias("g"))
-    terms = written(g.groupBy("term").agg(F.count("*").alias("df"), F.max("g").alias("max_g")))
-    hot = hot_keys(terms.select("term", F.col("df").alias("n")), "term")
+    blocks, _ = blocked(index.postings, stats.n_docs, index.rows.count(), shard_docs=shard_docs)
+    return _ranked(search(qt, Postings(written(blocks), *stats), k, k1, b))
 
-    # written, so that its size is known and a small one is broadcast without shuffling postings
-    weighted = written(qt.join(terms, "term").select(
-        "query_id", "term", (F.col("qtf") * _idf(stats)).alias("w"), "df", "max_g"))
-    matches = weighted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    if matches <= direct_below:
-        sums = _summed(g, weighted.select("query_id", "term", "w"), hot)
-    else:
-        sums = _bounded_scores(g, weighted, hot, k)
-    per_query = Window.partitionBy("query_id")
-    top = top_per_query(sums.withColumn("score", F.round("score", 6)), k)
-    best_score = F.max("score").over(per_query)
-    return top.withColumn(
-        "rel_score", F.round(F.when(best_score > 0, F.col("score") / best_score).otherwise(0.0), 6)
-    ).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), "score", "rel_score")
+
+def store_index(corpus: DataFrame, path: str, shard_docs: int = SHARD_DOCS) -> Store:
+    """Write an index of ``corpus(doc_id, text)`` to ``path``, or add the documents that the one there does not know."""
+    spark = corpus.sparkSession
+    store = Store(spark, path)
+    first, fresh = 0, corpus
+    if _exists(spark, f"{path}/sizes"):
+        first = store.next_shard()
+        fresh = corpus.join(store.lengths().select("doc_id"), "doc_id", "left_anti")
+    index = LexicalIndex(written(build_index(fresh).rows))
+    store.add(index.postings, index.rows.filter(F.col("term") == DOCUMENT).select("doc_id", "dl"), first, shard_docs)
+    return store
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def search_store(queries: DataFrame, store: Store, k: int = 4, k1: float = K1, b: float = B) -> DataFrame:
+    """As ``bm25_topk``, over a stored index: texts are not read, only the blocks of the queries' terms."""
+    qt = written(query_terms(queries))
+    return _ranked(search(qt, store.postings(qt), k, k1, b))
 
 
 def bm25_all(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docweave.functions import scores, vectors
@@ -9,7 +11,7 @@ from docweave.functions import text as tx
 from docweave.operators import fusion, lexical
 from docweave.operators.ranks import global_rank, running
 from docweave.operators.context import search_report
-from docweave.operators.tables import written
+from docweave.operators.tables import shared_folder, written
 from docweave.operators.vector import vector_topk
 from docweave.plans import derived
 from docweave.plans.corpus import POSTINGS
@@ -88,19 +90,33 @@ def bm25_topk(spark, sf):
 WITH {POSTINGS}, {QTERMS}, {bm25_rows(4)}
 SELECT query_id, doc_id, rank, score, rel_score FROM bm25_top""")
 def bm25_topk_bounded(spark, sf):
-    """The same search along the path for large inputs: bounds, and salts for frequent terms."""
-    return lexical.bm25_topk(_items(spark, sf), _docs(spark, sf), 4, direct_below=0)
+    """The same search over many small shards, most of which their bounds exclude."""
+    return lexical.bm25_topk(_items(spark, sf), _docs(spark, sf), 4, shard_docs=64)
+
+
+@query("bm25_from_index", f"""
+WITH {POSTINGS}, {QTERMS}, {bm25_rows(4)}
+SELECT query_id, doc_id, rank, score, rel_score FROM bm25_top""")
+def bm25_from_index(spark, sf):
+    """The same search over a stored index that was written for two thirds of the documents and then extended."""
+    docs = _docs(spark, sf)
+    path = f"{shared_folder(spark)}/indexes/{uuid.uuid4().hex}"
+    lexical.store_index(docs.filter("doc_id % 3 <> 0"), path)
+    store = lexical.store_index(docs, path)
+    return lexical.search_store(_items(spark, sf), store, 4)
 
 
 @query("bm25_stats", f"""
 WITH {POSTINGS} SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM terms) AS vocabulary,
   1.5::DOUBLE AS k1, 0.75::DOUBLE AS b FROM stats""")
 def bm25_stats(spark, sf):
-    index = lexical.LexicalIndex(written(lexical.build_index(_docs(spark, sf)).rows))
-    return index.stats.select(
-        "n_docs", F.round(F.col("n_tokens") / F.col("n_docs"), 6).alias("avgdl"),
-        index.terms.agg(F.count("*").alias("n")).scalar().alias("vocabulary"),
-        F.lit(lexical.K1).alias("k1"), F.lit(lexical.B).alias("b"))
+    counts = lexical.build_index(_docs(spark, sf)).rows.groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"))
+    of_documents = F.col("term") == lexical.DOCUMENT
+    return counts.agg(
+        F.max(F.when(of_documents, F.col("n"))).alias("n_docs"),
+        F.round(F.max(F.when(of_documents, F.col("tokens") / F.col("n"))), 6).alias("avgdl"),
+        F.count(F.when(~of_documents, 1)).alias("vocabulary")).select(
+        "*", F.lit(lexical.K1).alias("k1"), F.lit(lexical.B).alias("b"))
 
 
 @query("bm25_incremental", f"""

@@ -16,7 +16,7 @@ from docweave.functions import intent as it
 from docweave.functions import quality as ql
 from docweave.functions import text as tx
 from docweave.operators import (
-    chunking, classifiers, context, fusion, incremental, lexical, prototypes, ranks, sessions, setsim, vector,
+    chunking, classifiers, context, fusion, incremental, lexical, postings, prototypes, ranks, sessions, setsim, vector,
 )
 
 
@@ -116,7 +116,7 @@ def brute_bm25(queries, docs, k):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_bm25_bounds_and_salts_equal_brute_force(spark, seed):
+def test_bm25_bounds_and_salts_equal_brute_force(spark, seed, tmp_path, monkeypatch):
     rnd = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
     weights = [1 / (i + 1) for i in range(60)]  # w0 is in nearly every text
@@ -126,9 +126,14 @@ def test_bm25_bounds_and_salts_equal_brute_force(spark, seed):
     q = spark.createDataFrame(queries, "query_id long, text string")
     d = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute_bm25(queries, docs, 4)
-    for kw in ({}, {"direct_below": 0}):
-        got = lexical.bm25_topk(q, d, 4, **kw).select("query_id", "doc_id", "rank", "score")
-        got = sorted(tuple(r) for r in got.collect())
+    monkeypatch.setattr(postings, "QUERIES", 7)
+    path = str(tmp_path / "store")
+    lexical.store_index(d.filter("doc_id % 3 = 0"), path, 20)
+    lexical.store_index(d.filter("doc_id < 250"), path, 50)
+    store = lexical.store_index(d, path)
+    found = [lexical.bm25_topk(q, d, 4), lexical.bm25_topk(q, d, 4, shard_docs=9), lexical.search_store(q, store, 4)]
+    for top in found:
+        got = sorted(tuple(r) for r in top.select("query_id", "doc_id", "rank", "score").collect())
         assert [g[:3] for g in got] == [w[:3] for w in want]
         assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-6)
 
@@ -143,6 +148,32 @@ def test_index_written_and_read(spark, tmp_path):
     assert rows(lexical.bm25_topk(q, None, 4, index=again)) == rows(lexical.bm25_topk(q, d, 4))
 
 
+def test_stored_index_is_pruned_and_grows(spark, tmp_path):
+    rnd = random.Random(4)
+    docs = [(i, " ".join(rnd.choices([f"w{j}" for j in range(400)], k=20)) + (f" rare{i // 10}" if i % 10 == 0 else "")) for i in range(500)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    path = str(tmp_path / "store")
+    store = lexical.store_index(d.filter("doc_id < 400"), path, 25)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    store = lexical.store_index(d, path, 25)
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    assert files.items() <= after.items() and len(after) > len(files)  # what was written stays as it is
+    assert lexical.store_index(d, path, 25).next_shard() == store.next_shard() == 20
+    q = spark.createDataFrame([(1, "rare7 w1"), (2, "rare3"), (3, "absent"), (4, "")], "query_id long, text string")
+    terms = lexical.query_terms(q)
+    held = store.postings(terms)
+    assert (held.n_docs, held.n_tokens) == (500, 500 * 20 + 50)
+    plan = held.blocks._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket#" in plan and "PartitionFilters: []" not in plan.split("bucket")[0]
+    # one block answers the second query; of the shards for the first, those without its rare term are left out
+    weights, bounds = postings.promised(terms, held, 1.5, 0.75)
+    assert bounds.filter("query_id = 2").count() == 1 and bounds.filter("query_id = 1").count() > 10
+    top = rows(lexical.search_store(q, store, 1).select("query_id", "doc_id"))
+    assert top == [(1, 70), (2, 30)]
+    floor = lexical.search_store(q, store, 1).filter("query_id = 1").first().score
+    assert bounds.filter("query_id = 1").filter(F.col("bound") >= floor - postings.SLACK).count() == 1
+
+
 # --- vectors ---
 
 @pytest.mark.parametrize("kw", [{}, {"broadcast_bytes": 0, "grid_rows": 17}])
