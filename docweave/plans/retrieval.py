@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docweave.functions import scores, vectors
 from docweave.functions import text as tx
 from docweave.operators import fusion, lexical
+from docweave.operators.cells import Cells
 from docweave.operators.ranks import global_rank, running
 from docweave.operators.context import search_report
 from docweave.operators.tables import shared_folder, written
@@ -207,6 +208,15 @@ def vector_topk_grid(spark, sf):
     return _vec_topk(spark, sf, 5, broadcast_bytes=0, grid_rows=1000)
 
 
+@query("vector_topk_ivf", f"WITH {VEC_SIMS} SELECT query_id, doc_id, rank, score FROM vec_top WHERE rank <= 5")
+def vector_topk_ivf(spark, sf):
+    """The same search over stored cells, learned from half of the vectors; rings that cannot reach the k-th best are not compared."""
+    v = derived.vectors(spark, sf)
+    store = Cells.learn(v.filter("doc_id % 2 = 0"), f"{shared_folder(spark)}/cells/{uuid.uuid4().hex}")
+    store.add(v.filter("doc_id % 2 <> 0"))
+    return store.topk(v.withColumnRenamed("doc_id", "query_id"), 5).select("query_id", "doc_id", "rank", "score")
+
+
 @query("normalize_score", """
 SELECT event_id, round(CASE WHEN value > 1 THEN greatest(0, 1 - least(1, value / 10))
   WHEN value < 0 THEN greatest(0, (value + 1) / 2) ELSE value END, 6)::DOUBLE AS score FROM events""")

@@ -16,7 +16,7 @@ from docweave.functions import intent as it
 from docweave.functions import quality as ql
 from docweave.functions import text as tx
 from docweave.operators import (
-    chunking, classifiers, context, fusion, incremental, lexical, postings, prototypes, ranks, sessions, setsim, vector,
+    cells, chunking, classifiers, context, fusion, incremental, lexical, postings, prototypes, ranks, sessions, setsim, vector,
 )
 
 
@@ -176,6 +176,40 @@ def test_stored_index_is_pruned_and_grows(spark, tmp_path):
 
 # --- vectors ---
 
+def plain_topk(queries, docs, k):
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-300)
+    out = []
+    for q, x in queries:
+        sims = sorted((-round(float(unit(np.array(x)) @ unit(np.array(y))), 6) + 0.0, d) for d, y in docs)[:k]
+        out += [(q, d, r + 1) for r, (_, d) in enumerate(sims)]
+    return out
+
+
+def test_cells_equal_brute_force_and_leave_rings_out(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((12, 8)) * 5
+    docs = [(i, (centres[i % 12] + rng.standard_normal(8) * 0.3).tolist()) for i in range(600)]
+    docs += [(700 + i, docs[3][1]) for i in range(200)] + [(990, [0.0] * 8)]  # a quarter is one vector; one has no direction
+    queries = [(i, docs[i * 17][1]) for i in range(30)] + [(40, [0.0] * 8), (41, (-centres[0]).tolist())]
+    d = spark.createDataFrame(docs + [(999, None)], "doc_id long, embedding array<double>")
+    q = spark.createDataFrame(queries + [(50, None)], "query_id long, embedding array<double>")
+    store = cells.Cells.learn(d.filter("doc_id % 3 = 0"), str(tmp_path / "c"), 12)
+    store.add(d.filter("doc_id % 3 <> 0"))
+    assert spark.read.parquet(str(tmp_path / "c" / "rows")).count() == len(docs)
+    top, searched = store.search(q, 5)
+    want = plain_topk(queries, docs, 5)
+    assert rows(top.select("query_id", "doc_id", "rank"), "query_id", "rank") == want
+    assert rows(store.topk(q, 5, prune=False).select("query_id", "doc_id", "rank"), "query_id", "rank") == want
+    share = searched.filter("query_id < 30").agg(F.sum("searched") / F.sum("rings")).first()[0]
+    assert 0 < share < 0.25, share
+
+
+def test_cells_without_rows(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert cells.Cells.learn(none, str(tmp_path / "c")).topk(q, 3).count() == 0
+
+
 @pytest.mark.parametrize("kw", [{}, {"broadcast_bytes": 0, "grid_rows": 17}])
 def test_vector_topk_equals_brute_force(spark, kw):
     rng = np.random.default_rng(0)
