@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators.setsim import jaccard_pairs, member_edges, set_groups, similar_sets
+from docweave.operators.setsim import jaccard_groups, member_edges, set_groups, similar_sets
 from docweave.operators.tables import written
 
 # Limits of the checks and the marks dropped before texts are compared.
@@ -15,6 +18,9 @@ NEAR_DUPLICATE = 0.85
 LARGE_BYTES = 30000
 MARKS = r"(?s)#+ |```.*?```|\*\*|\*|__|\[.*?\]\(.*?\)"
 
+#: Items of a group of documents that one task decides.
+IN_TASK = 4_000_000
+
 
 def is_placeholder(text: Column) -> Column:
     return F.length(tx.strip(text)) < MIN_CHARS
@@ -43,21 +49,64 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataF
     return similar_sets(word_sets(docs), threshold, strict=True)
 
 
-def drop_duplicates(docs: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
+    """``(group_id, doc_id)``: all documents that likenesses join with others, under the lowest id of their group.
+
+    One row per document, however many of a group are alike.
+    """
+    reps, members = set_groups(word_sets(docs))
+    groups = jaccard_groups(reps, threshold, strict=True)
+    same = member_edges(reps, members).join(groups.toDF("id_a", "group"), "id_a", "left").select(
+        F.coalesce("group", "id_a").alias("group_id"), "id_a", F.col("id_b").alias("doc_id"))
+    named = groups.select(F.col("group").alias("group_id"), F.col("id").alias("doc_id"))
+    return named.unionByName(same.select("group_id", "doc_id")).unionByName(same.select("group_id", F.col("id_a").alias("doc_id"))).distinct()
+
+
+def _kept_in_order(group: pa.Table, threshold: float) -> pa.Table:
+    """Ids of a group that are not like a kept lower one; a kept set is met through its items."""
+    group = group.sort_by("id")
+    items = group.column("items").combine_chunks()
+    begin = items.offsets.to_numpy() - items.offsets[0].as_py()
+    code = items.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    holders: list[list[int]] = [[] for _ in range(int(code.max(initial=-1)) + 1)]
+    kept, sizes = [], []
+    for row in range(len(group)):
+        own = code[begin[row]:begin[row + 1]].tolist()
+        common = Counter(h for c in own for h in holders[c])
+        if all(n / (len(own) + sizes[h] - n) <= threshold for h, n in common.items()):
+            for c in own:
+                holders[c].append(len(kept))
+            kept.append(row)
+            sizes.append(len(own))
+    return pa.table({"id": group.column("id").combine_chunks().take(pa.array(kept, pa.int64()))})
+
+
+def drop_duplicates(docs: DataFrame, threshold: float = NEAR_DUPLICATE, in_task: int = IN_TASK) -> DataFrame:
     """Documents without an equal or near-equal kept one of lower id.
 
     Ids are decided in order: in a chain of likenesses a document stays if all lower ones that are
-    like it go themselves.
+    like it go themselves. Documents of different groups cannot be alike, so each group is decided
+    for itself. One with up to ``in_task`` items is decided in one task; in a larger one the lowest open id stays, which removes
+    all that are like it, until what is open fits.
     """
     reps, members = set_groups(word_sets(docs))
     lost = member_edges(reps, members).select(F.col("id_b").alias("doc_id"))
-    open_edges = written(jaccard_pairs(reps, threshold, strict=True).select("id_a", "id_b"))
-    while not open_edges.isEmpty():
-        first = open_edges.select(F.col("id_a").alias("id")).distinct().join(
-            open_edges.select(F.col("id_b").alias("id")).distinct(), "id", "left_anti")
-        out = written(open_edges.join(first.withColumnRenamed("id", "id_a"), "id_a", "left_semi").select("id_b").distinct())
-        lost = lost.unionByName(out.select(F.col("id_b").alias("doc_id")))
-        open_edges = written(open_edges.join(out, "id_b", "left_anti").join(out.toDF("id_a"), "id_a", "left_anti"))
+    held = written(reps.select("id", "n", "items").join(jaccard_groups(reps, threshold, strict=True), "id"))
+    grouped, kept = held.select("id"), None
+    while True:
+        sizes = held.groupBy("group").agg(F.sum("n").alias("all_items"), F.min("id").alias("first"))
+        large = written(sizes.filter(F.col("all_items") > in_task))
+        fits = held.join(large, "group", "left_anti").groupBy("group").applyInArrow(
+            lambda t: _kept_in_order(t, threshold), f"id {held.schema['id'].dataType.simpleString()}")
+        kept = written(fits) if kept is None else kept.unionByName(written(fits))
+        if large.isEmpty():
+            break
+        firsts = large.join(held.select(F.col("id").alias("first"), F.col("items").alias("first_items")), "first").select(
+            "group", "first", "first_items")
+        kept = kept.unionByName(firsts.select(F.col("first").alias("id")))
+        alike = F.size(F.array_intersect("items", "first_items")) / F.size(F.array_union("items", "first_items")) > threshold
+        held = written(held.join(firsts, "group").filter((F.col("id") != F.col("first")) & ~alike).select(held.columns))
+    lost = lost.unionByName(grouped.join(kept, "id", "left_anti").select(F.col("id").alias("doc_id")))
     lost = lost.distinct()
     # texts without any word have no word set; equal ones still are duplicates
     wordless = docs.filter(tx.word_count(F.regexp_replace("text", MARKS, "")) == 0)

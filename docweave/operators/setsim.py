@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.operators.groups import connected
 from docweave.operators.skew import hot_keys, salted_join
 from docweave.operators.tables import written
 
@@ -44,36 +45,38 @@ def member_edges(reps: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool) -> DataFrame:
-    """Pairs of distinct sets with Jaccard above ``threshold``: ``(id_a, id_b, jaccard)``, a < b.
+def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
+    """``(id, n, pos, item)``: the rarest items of each set, enough to share one with any set that is similar.
 
-    Items are ordered rarest first; two sets this similar must share one of their
-    first ``n - ceil(t n) + 1`` items. Length and position bounds thin the candidates,
-    the remaining pairs are verified on the full sets.
+    Items are ordered rarest first; two sets with a Jaccard of ``threshold`` must share one of their
+    first ``n - ceil(t n) + 1`` items. Items of a single set are left out.
     """
     items = reps.select("id", "n", F.explode("items").alias("item"))
     freq = written(items.groupBy("item").agg(F.count("*").alias("n")))
     ranked = salted_join(items, freq.withColumnRenamed("n", "df"), "item",
                          hot_keys(freq, "item"), spread="id")
     prefix_len = F.col("n") - F.ceil(F.col("n") * threshold - EPS) + 1
-    prefixes = written(
+    return written(
         ranked.groupBy("id", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("by_rarity"))
         .select("id", "n", F.posexplode(F.slice("by_rarity", F.lit(1), prefix_len.cast("int"))).alias("pos", "e"))
         .filter(F.col("e.df") > 1)
         .select("id", "n", "pos", F.col("e.item").alias("item"))
     )
-    other = prefixes.select("item", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos")))
-    hot = hot_keys(prefixes.groupBy("item").agg(F.count("*").alias("n")), "item")
+
+
+def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of prefix rows that their lengths and the places of the shared item allow: ``(id_a, id_b)``, a < b."""
     need = F.ceil((F.col("n") + F.col("n_b")) * (threshold / (1 + threshold)) - EPS)
     reach = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
-    candidates = (
-        salted_join(prefixes, other, "item", hot, spread="id")
-        .filter(F.col("id") < F.col("id_b"))
-        .filter(F.least("n", "n_b") >= F.greatest("n", "n_b") * threshold - EPS)
+    return (
+        pairs.filter(F.least("n", "n_b") >= F.greatest("n", "n_b") * threshold - EPS)
         .filter(reach >= need)
-        .select(F.col("id").alias("id_a"), "id_b").distinct()
+        .select(F.least("id", "id_b").alias("id_a"), F.greatest("id", "id_b").alias("id_b")).distinct()
     )
+
+
+def _verified(candidates: DataFrame, reps: DataFrame, threshold: float, strict: bool) -> DataFrame:
     full = reps.select("id", "items")
     jac = F.size(F.array_intersect("items_a", "items_b")) / F.size(F.array_union("items_a", "items_b"))
     verified = (
@@ -85,6 +88,48 @@ def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool) -> DataFrame:
     return verified.filter(F.col("jaccard") > threshold if strict else F.col("jaccard") >= threshold)
 
 
+def _other(prefixes: DataFrame, *more: str) -> DataFrame:
+    return prefixes.select("item", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos", *more)))
+
+
+def jaccard_pairs(reps: DataFrame, threshold: float, strict: bool) -> DataFrame:
+    """Pairs of distinct sets with Jaccard above ``threshold``: ``(id_a, id_b, jaccard)``, a < b.
+
+    Length and position bounds thin the candidates of the prefix join, the remaining pairs are verified on the full sets.
+    """
+    prefixes = _prefixes(reps, threshold)
+    hot = hot_keys(prefixes.groupBy("item").agg(F.count("*").alias("n")), "item")
+    pairs = salted_join(prefixes, _other(prefixes), "item", hot, spread="id").filter(F.col("id") < F.col("id_b"))
+    return _verified(_possible(pairs, threshold), reps, threshold, strict)
+
+
+def jaccard_groups(reps: DataFrame, threshold: float, strict: bool) -> DataFrame:
+    """``(id, group)`` of the sets that links of this Jaccard reach: the lowest id of each connected group.
+
+    No family is compared pair by pair. Of the sets that share a prefix item and are of about one length, all are compared with the
+    lowest only; what these links join is one group. Then only items are looked at that still stand in
+    several groups, and there the members outside an item's largest group meet those of other groups.
+    """
+    prefixes = _prefixes(reps, threshold).withColumn("step", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)))
+    lowest = prefixes.groupBy("item", "step").agg(F.min(F.struct("id", "n", "pos")).alias("first"), F.count("*").alias("of")).filter("of > 1")
+    hot = hot_keys(lowest.groupBy("item").agg(F.sum("of").alias("n")), "item")
+    firsts = lowest.select("item", F.col("step").alias("step_b"), *(F.col(f"first.{c}").alias(f"{c}_b") for c in ("id", "n", "pos")))
+    stars = salted_join(prefixes, firsts, "item", hot, spread="id").filter("abs(step - step_b) <= 1 and id <> id_b")
+    links = written(_verified(_possible(stars, threshold), reps, threshold, strict).select("id_a", "id_b"))
+    known = connected(links)
+    placed = written(prefixes.join(known, "id", "left").withColumn("group", F.coalesce("group", "id")))
+    counts = placed.groupBy("item", "group").agg(F.count("*").alias("of"))
+    several = written(counts.groupBy("item").agg(
+        F.max_by("group", F.struct("of", "group")).alias("main"), F.count("*").alias("groups"), F.sum("of").alias("n")).filter("groups > 1"))
+    open_rows = salted_join(placed, several.select("item", "main"), "item", hot_keys(several.select("item", "n"), "item"), spread="id")
+    open_rows = written(open_rows)
+    outside = open_rows.filter(F.col("group") != F.col("main"))
+    hot = hot_keys(outside.groupBy("item").agg(F.count("*").alias("n")), "item")
+    crossing = salted_join(outside, _other(open_rows, "group"), "item", hot, spread="id").filter(F.col("group") != F.col("group_b"))
+    more = _verified(_possible(crossing, threshold), reps, threshold, strict).select("id_a", "id_b")
+    return connected(links.unionByName(written(more)))
+
+
 def similar_sets(sets: DataFrame, threshold: float, strict: bool) -> DataFrame:
     """Factored self-join of ``sets(id, items)``: ``(id_a, id_b, jaccard)``."""
     assert 0 < threshold < 1 and not math.isnan(threshold)

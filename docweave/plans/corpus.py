@@ -148,6 +148,16 @@ def near_duplicates(spark, sf):
     return hygiene.near_duplicates(_texts(spark, sf)).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("near_duplicate_groups", f"""
+WITH RECURSIVE {WORD_SETS},
+links AS (SELECT id_a AS a, id_b AS b FROM edges UNION SELECT id_b, id_a FROM edges),
+reach AS (SELECT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT doc_id, min(other) AS group_id FROM reach GROUP BY 1""")
+def near_duplicate_groups(spark, sf):
+    """Every near duplicate with the lowest id of its group."""
+    return hygiene.near_duplicate_groups(_texts(spark, sf)).select("doc_id", "group_id")
+
+
 def s_decided(rounds: int = 8) -> str:
     """Ids decided in order: the lowest of what is open stays, its neighbours go, and so on."""
     steps = ["open0 AS (SELECT id_a, id_b FROM edges WHERE id_a IN (SELECT doc_id FROM reps) AND id_b IN (SELECT doc_id FROM reps))"]
