@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,32 +61,54 @@ def chunk_paragraphs(df: DataFrame, size: int = 1000, separator: str = r"\n\s*\n
     return _exploded(df, F.aggregate(F.split("text", separator), empty, step, finish))
 
 
+def _starts(points: np.ndarray, separator: str) -> np.ndarray:
+    """Where ``separator`` occurs in a text of code points, from the left and without overlap."""
+    mark = np.frombuffer(separator.encode("utf-32-le"), np.uint32)
+    n = len(points) - len(mark) + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    here = np.ones(n, bool)
+    for i, c in enumerate(mark):
+        here &= points[i:i + n] == c
+    at = np.flatnonzero(here)
+    if len(mark) == 1 or not (np.diff(at) < len(mark)).any():
+        return at
+    taken, end = [], 0
+    for i in at:
+        if i >= end:
+            taken.append(i)
+            end = i + len(mark)
+    return np.array(taken)
+
+
+def _bounds(points: np.ndarray, size: int, separators: tuple[str, ...]) -> np.ndarray:
+    """Offsets at which a text may be cut: pieces over ``size`` are opened by ever finer separators, which begin the next piece."""
+    bounds = np.unique([0, len(points)])
+    for separator in separators:
+        long = np.flatnonzero(np.diff(bounds) > size)
+        if not len(long):
+            break
+        at = _starts(points, separator) if separator else np.arange(len(points))
+        piece = np.searchsorted(bounds, at, "right") - 1
+        bounds = np.union1d(bounds, at[np.isin(piece, long)])
+    return bounds
+
+
 def split_recursive(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
-    """Split at the coarsest separator that occurs, go finer inside long pieces, then pack."""
-    def atoms(part: str, level: int) -> list[str]:
-        if len(part) <= size:
-            return [part] if part else []
-        while separators[level] and separators[level] not in part:
-            level += 1
-        sep = separators[level]
-        if not sep:
-            return list(part)
-        cut = part.split(sep)
-        pieces = [cut[0]] + [sep + c for c in cut[1:]]  # the separator opens the next piece
-        return [a for p in pieces for a in atoms(p, level + 1)]
-
-    chunks: list[str] = []
-    held: list[str] = []
-    length = 0
-    for a in atoms(text, 0):
-        if held and length + len(a) > size:
-            chunks.append("".join(held))
-            while held and (length > overlap or length + len(a) > size):
-                length -= len(held.pop(0))
-        held.append(a)
-        length += len(a)
-    if held:
-        chunks.append("".join(held))
+    """Split at the coarsest separator that occurs, go finer inside long pieces, then pack.
+
+    A chunk takes all pieces that fit from its start. The next starts at the first cut that
+    repeats at most ``overlap`` characters and leaves room for one more piece.
+    """
+    bounds = _bounds(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), size, separators)
+    chunks, start = [], 0
+    while start < len(text):
+        last = max(int(np.searchsorted(bounds, start + size, "right")) - 1, int(np.searchsorted(bounds, start, "right")))
+        end = int(bounds[last])
+        chunks.append(text[start:end])
+        if end == len(text):
+            break
+        start = int(bounds[np.searchsorted(bounds, max(end - overlap, int(bounds[last + 1]) - size))])
     return [c for c in (c.strip() for c in chunks) if c]
 
 

@@ -51,12 +51,39 @@ def chunk_counts(spark, sf):
         F.count("*").alias("chunk_count"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("chunk_recursive")
+def s_recursive(size: int, overlap: int, separators: tuple[str, ...]) -> str:
+    """Pieces level by level, cuts as running sums of their lengths, and a chain of chunks from cut to cut."""
+    levels, pieces = [], "[text]"
+    for k, sep in enumerate(separators):
+        mark = " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in sep) or "''"
+        cut = (f"list_filter(list_transform(string_split(p, {mark}), lambda c, i: CASE WHEN i = 1 THEN c ELSE {mark} || c END), lambda c: c <> '')"
+               if sep else "regexp_extract_all(p, '(?s).')")
+        held = f"contains(p, {mark})" if sep else "true"
+        levels.append(f"level{k} AS (SELECT doc_id, text, flatten(list_transform({pieces}, lambda p: CASE WHEN length(p) > {size} AND {held} "
+                      f"THEN {cut} ELSE [p] END)) AS pieces FROM {'level' + str(k - 1) if k else 'documents'})")
+        pieces = "pieces"
+    return f"""
+WITH RECURSIVE {", ".join(levels)},
+ends AS (SELECT doc_id, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS b FROM (
+  SELECT doc_id, unnest(pieces) AS p, unnest(range(1, len(pieces) + 1)) AS i FROM level{len(separators) - 1})),
+cuts AS (SELECT doc_id, list_prepend(0::BIGINT, list(b ORDER BY b)) AS bs FROM ends WHERE b > 0 GROUP BY 1),
+chain AS (
+  SELECT doc_id, bs, 1::BIGINT AS i, 0::BIGINT AS s, list_max(list_filter(bs, lambda x: x <= {size})) AS e FROM cuts
+  UNION ALL
+  SELECT doc_id, bs, i + 1, s2, list_max(list_filter(bs, lambda x: x <= s2 + {size})) FROM (
+    SELECT *, list_min(list_filter(bs, lambda x: x >= greatest(e - {overlap}, list_min(list_filter(bs, lambda y: y > e)) - {size}))) AS s2
+    FROM chain WHERE e < list_max(bs))),
+chunks AS (SELECT doc_id, i, {s_strip("substr(text, s + 1, e - s)")} AS text FROM chain JOIN documents USING (doc_id))
+SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS total_chunks,
+  row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, text FROM chunks WHERE text <> ''"""
+
+
+@query("chunk_recursive", s_recursive(**chunking.PLAIN))
 def chunk_recursive(spark, sf):
     return chunking.chunk_recursive(_texts(spark, sf), **chunking.PLAIN)
 
 
-@query("chunk_sentences")
+@query("chunk_sentences", s_recursive(**chunking.SENTENCE))
 def chunk_sentences(spark, sf):
     return chunking.chunk_recursive(_texts(spark, sf), **chunking.SENTENCE)
 

@@ -54,6 +54,35 @@ def test_token_estimate(spark):
 
 # --- chunking ---
 
+def plain_chunks(text, size, overlap, separators):
+    """Recursion over pieces, and packing with a list of held pieces."""
+    def pieces(part, level):
+        if len(part) <= size:
+            return [part] if part else []
+        while separators[level] and separators[level] not in part:
+            level += 1
+        if not separators[level]:
+            return list(part)
+        first, *rest = part.split(separators[level])
+        return [a for p in [first, *(separators[level] + r for r in rest)] for a in pieces(p, level + 1)]
+
+    chunks, held = [], []
+    for a in pieces(text, 0):
+        if held and len("".join(held)) + len(a) > size:
+            chunks.append("".join(held))
+            while held and (len("".join(held)) > overlap or len("".join(held)) + len(a) > size):
+                held = held[1:]
+        held = [*held, a]
+    return [c.strip() for c in [*chunks, "".join(held)] if c.strip()]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab. \n\U0001F600é", max_size=300), st.integers(5, 60), st.integers(0, 4))
+def test_recursive_chunks_equal_plain_packing(text, size, overlap):
+    for separators in (chunking.PLAIN_SEPARATORS, chunking.SENTENCE_SEPARATORS):
+        assert chunking.split_recursive(text, size, overlap, separators) == plain_chunks(text, size, overlap, separators)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab. \n", max_size=400), st.integers(5, 60), st.integers(0, 4))
 def test_recursive_chunks(text, size, overlap):
