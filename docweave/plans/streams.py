@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from docweave.operators import chunking, intents
+from docweave.operators.ranks import global_rank
 from docweave.operators.tables import shared_folder, written
 from docweave.plans import derived
 from docweave.plans.corpus import CHUNKS
@@ -30,6 +31,18 @@ def _stream_of(df):
     return spark.readStream.schema(df.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
 
 
+def _in_parts(df, order: list[str], parts: int, run) -> None:
+    """``run(stream)`` again and again while ``df`` arrives in ``parts`` by its order; a run goes on from the last one's checkpoint."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}/in"
+    ranked = written(global_rank(df, order, "_pos"))
+    n = ranked.count()
+    for i in range(parts):
+        ranked.filter((F.col("_pos") > n * i // parts) & (F.col("_pos") <= n * (i + 1) // parts)).drop("_pos").write.mode(
+            "append").parquet(folder)
+        run(spark.readStream.schema(df.schema).parquet(folder))
+
+
 @query("feedback_stream", with_inputs("feedback", f"""
 SELECT predicted, {STATS} FROM (SELECT * REPLACE (coalesce(is_correct, predicted = correct) AS is_correct) FROM feedback)
 GROUP BY 1"""))
@@ -61,8 +74,10 @@ numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts, e
 SELECT user_id, event_id, back FROM numbered n WHERE back <= 10
   AND s = (SELECT max(s) FROM numbered m WHERE m.user_id = n.user_id)""")
 def history_stream(spark, sf):
+    """Current histories after the events have arrived in three parts; sessions that are over leave the state."""
     out, checkpoint = _folders(spark)
-    jobs.history_stream(jobs.table_stream(spark, sf, "events"), out, checkpoint).awaitTermination()
+    events = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    _in_parts(events, ["ts", "event_id"], 3, lambda stream: jobs.history_stream(stream, out, checkpoint).awaitTermination())
     return jobs.current_histories(spark, out)
 
 
@@ -77,17 +92,18 @@ def implicit_feedback_stream(spark, sf):
 
 
 @query("learning_stream", with_inputs("feedback", """--cte
-wrong AS (SELECT * FROM feedback WHERE NOT is_correct AND confidence >= 0.3 ORDER BY ts DESC, entry_id DESC LIMIT 100),
-fresh AS (SELECT query_id, correct AS category, row_number() OVER (PARTITION BY correct ORDER BY ts DESC, entry_id DESC) AS pos
-  FROM wrong)
-SELECT query_id, category, pos FROM fresh WHERE pos <= 30"""))
+numbered AS (SELECT *, row_number() OVER (ORDER BY ts, entry_id) AS n, count(*) OVER () AS total FROM feedback),
+updates AS (SELECT *, (n - 1) // 50 + 1 AS update_no FROM numbered WHERE n <= total // 50 * 50),
+fresh AS (SELECT query_id, correct AS category, update_no, ts, entry_id FROM updates WHERE NOT is_correct AND confidence >= 0.3
+  QUALIFY row_number() OVER (PARTITION BY query_id, correct ORDER BY update_no, ts, entry_id) = 1)
+SELECT * FROM (SELECT query_id, category, update_no,
+  row_number() OVER (PARTITION BY update_no, category ORDER BY ts DESC, entry_id DESC) AS pos FROM fresh) WHERE pos <= 30"""))
 def learning_stream(spark, sf):
-    """Examples learned after the log has come in as one batch."""
+    """Examples learned by update while the log arrives in ten parts by time."""
     out, checkpoint = _folders(spark)
-    log = written(derived.feedback(spark, sf).coalesce(1))
-    stream = spark.readStream.schema(log.schema).parquet(log.inputFiles()[0].rsplit("/", 1)[0])
-    jobs.learning_stream(stream, out, checkpoint, min_confidence=0.3).awaitTermination()
-    return spark.read.parquet(f"{out}/examples").select("query_id", "category", "pos")
+    _in_parts(derived.feedback(spark, sf), ["ts", "entry_id"], 10,
+              lambda stream: jobs.learning_stream(stream, out, checkpoint, min_confidence=0.3).awaitTermination())
+    return spark.read.parquet(f"{out}/examples").select("query_id", "category", "update_no", "pos")
 
 
 @query("corpus_stream", f"WITH {CHUNKS} SELECT doc_id, chunk_index, text FROM chunks")

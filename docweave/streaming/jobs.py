@@ -16,7 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docweave.operators import feedback as fb
+from docweave.operators.ranks import global_rank
 from docweave.operators.sessions import GAP_SECONDS, HISTORY
+from docweave.operators.tables import written
 
 AVAILABLE = {"availableNow": True}
 
@@ -79,29 +81,36 @@ def session_stream(events: DataFrame, out: str, checkpoint: str, delay: str = "1
 
 
 def history_stream(events: DataFrame, out: str, checkpoint: str, keep: int = HISTORY,
-                   gap_seconds: int = GAP_SECONDS, trigger: dict | None = None) -> StreamingQuery:
+                   gap_seconds: int = GAP_SECONDS, delay: str = "10 minutes", trigger: dict | None = None) -> StreamingQuery:
     """Last ``keep`` entries of every user's current session, after each batch.
 
-    The state holds at most ``keep`` entries per user. Rows arrive in pieces and in any
-    order: each piece is merged into the newest entries and dropped.
+    The state holds at most ``keep`` entries of a user, and goes once the watermark has passed the end of the
+    session: a later event begins a new one in any case. What was written stays. Rows arrive in pieces and in any
+    order: each piece is merged into the newest entries and dropped. Events later than ``delay`` are not taken.
     """
     def latest(key, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = pd.DataFrame({"micros": list(state.get[0]), "event_id": list(state.get[1])}) if state.exists else None
         for piece in pieces:
             piece = piece[["micros", "event_id"]]
             both = piece if kept is None else pd.concat([kept, piece])
             kept = both.sort_values(["micros", "event_id"]).tail(keep)
         state.update((kept["micros"].tolist(), kept["event_id"].tolist()))
+        over = int(kept["micros"].iloc[-1]) // 1000 + gap_seconds * 1000 + 1
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
         breaks = (kept["micros"].diff() > gap_seconds * 1_000_000).to_numpy()
         start = int(breaks.nonzero()[0][-1]) if breaks.any() else 0
         now = kept.iloc[start:]
         yield pd.DataFrame({
             "user_id": key[0], "event_id": now["event_id"].to_numpy(), "back": range(len(now), 0, -1)})
 
-    rows = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    timed = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    rows = timed.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("micros"))
     updates = rows.groupBy("user_id").applyInPandasWithState(
         latest, "user_id long, event_id long, back long", "micros array<long>, ids array<long>",
-        "update", GroupStateTimeout.NoTimeout)
+        "update", GroupStateTimeout.EventTimeTimeout)
 
     def save(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
@@ -132,30 +141,39 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def learning_stream(log: DataFrame, out: str, checkpoint: str, interval: int = 50,
-                    min_confidence: float = 0.75, trigger: dict | None = None) -> StreamingQuery:
-    """Learn examples each time ``interval`` new feedback entries have come in.
-
-    Folders: ``log`` the entries, ``counts`` entries per batch and whether it updated,
-    ``examples`` the learned ones. Every folder is keyed by batch, so a repeated batch
-    overwrites its own output only.
+                    min_confidence: float = 0.75, per_category: int = 30, trigger: dict | None = None) -> StreamingQuery:
+    """Learn examples each time ``interval`` feedback entries have come in, from these entries.
+
+    Entries are numbered in order of time within a batch, and batches in order of arrival; a batch may
+    complete any number of updates, all in one pass. An update learns confidently misclassified queries, the newest ``per_category`` of
+    each category; a query counts in the first update that sees it. Folders: ``pending`` the entries since
+    the last update, ``counts`` entries and updates so far, ``examples`` what was learned. Every folder is keyed by batch, so a
+    repeated batch overwrites its own output only, and no batch reads entries of finished updates.
     """
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/log/epoch={epoch}")
-        total, done = batch.count(), 0
-        if (counts := _read_or_none(spark, f"{out}/counts")) is not None:
-            before, done = counts.filter(F.col("epoch") < epoch).agg(
-                F.coalesce(F.max("total"), F.lit(0)),
-                F.coalesce(F.max(F.when(F.col("updated"), F.col("total"))), F.lit(0))).first()
-            total += before
-        due = total - done >= interval
-        if due:
-            entries = spark.read.parquet(f"{out}/log").filter(F.col("epoch") <= epoch).drop("epoch")
+        counts = _read_or_none(spark, f"{out}/counts")
+        last = None if counts is None else counts.filter(F.col("epoch") < epoch).orderBy(F.desc("epoch")).first()
+        before, done = (last.total, last.updates) if last else (0, 0)
+        numbered = global_rank(batch, ["ts", "entry_id"], "pos").withColumn("pos", F.col("pos") + before)
+        if last and (open_ones := _read_or_none(spark, f"{out}/pending/epoch={last.epoch}")) is not None:
+            numbered = open_ones.unionByName(numbered)
+        numbered = written(numbered)
+        total = before + batch.count()
+        updates = total // interval
+        if updates > done:
+            seen = numbered.filter(F.col("pos") <= updates * interval).withColumn(
+                "update_no", F.floor((F.col("pos") - 1) / interval).cast("bigint") + 1)
+            wrong = seen.filter(~F.col("is_correct") & (F.col("confidence") >= min_confidence)).groupBy(
+                "query_id", F.col("correct").alias("category")).agg(F.min(F.struct("update_no", "ts", "entry_id")).alias("e")).select(
+                "query_id", "category", "e.*")
             known = _read_or_none(spark, f"{out}/examples")
-            known = (spark.createDataFrame([], "query_id long, category int") if known is None
-                     else known.filter(F.col("epoch") < epoch).select("query_id", "category"))
-            fb.learn_examples(entries, known, min_confidence).write.mode("overwrite").parquet(f"{out}/examples/epoch={epoch}")
-        spark.createDataFrame([(total, due)], "total long, updated boolean").write.mode("overwrite").parquet(
+            if known is not None:
+                wrong = wrong.join(known.filter(F.col("epoch") < epoch).select("query_id", "category"), ["query_id", "category"], "left_anti")
+            fb.newest_per(wrong, per_category, "update_no", "category").select("query_id", "category", "update_no", "pos").write.mode(
+                "overwrite").parquet(f"{out}/examples/epoch={epoch}")
+        numbered.filter(F.col("pos") > updates * interval).write.mode("overwrite").parquet(f"{out}/pending/epoch={epoch}")
+        spark.createDataFrame([(total, updates)], "total long, updates long").write.mode("overwrite").parquet(
             f"{out}/counts/epoch={epoch}")
 
     return _each_batch(log, step, checkpoint, "append", trigger)

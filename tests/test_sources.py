@@ -82,13 +82,18 @@ def _entries(spark, first, last):
 def test_learning_stream_updates_every_interval(spark, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     schema = _entries(spark, 0, 1).schema
-    for at in (0, 30, 60, 90):
-        _entries(spark, at, at + 30).coalesce(1).write.mode("append").parquet(src)
-        jobs.learning_stream(spark.readStream.schema(schema).parquet(src), out, cp).awaitTermination()
-    counts = [(r.total, r.updated) for r in spark.read.parquet(f"{out}/counts").orderBy("epoch").collect()]
-    assert counts == [(30, False), (60, True), (90, False), (120, True)]
-    learned = spark.read.parquet(f"{out}/examples")
-    assert learned.count() == learned.select("query_id", "category").distinct().count() > 0
+    for at, to in ((0, 30), (30, 60), (60, 62), (62, 230)):
+        _entries(spark, at, to).repartition(3).write.mode("append").parquet(src)
+        jobs.learning_stream(spark.readStream.schema(schema).parquet(src), out, cp, per_category=7).awaitTermination()
+    counts = [(r.total, r.updates) for r in spark.read.parquet(f"{out}/counts").orderBy("epoch").collect()]
+    assert counts == [(30, 0), (60, 1), (62, 1), (230, 4)]
+    learned = spark.read.parquet(f"{out}/examples").collect()
+    want = set()
+    for update in range(4):  # the newest seven wrong ones of each category among its fifty entries
+        for c in (1, 2):
+            want |= {(q, c, update + 1) for q in [q for q in range(update * 50, update * 50 + 50) if q % 3 == c][-7:]}
+    assert {(r.query_id, r.category, r.update_no) for r in learned} == want and len(learned) == len(want)
+    assert spark.read.parquet(f"{out}/pending").groupBy("epoch").count().orderBy("epoch").collect()[-1]["count"] == 30
 
 
 def test_corpus_stream_replaces_and_deletes(spark, tmp_path):
@@ -112,3 +117,18 @@ def test_history_stream_over_batches(spark, tmp_path):
         jobs.history_stream(spark.readStream.schema(schema).parquet(src), out, cp).awaitTermination()
     got = sorted((r.back, r.event_id) for r in jobs.current_histories(spark, out).collect())
     assert got == [(1, 16), (2, 15)]
+
+
+def test_history_state_goes_when_sessions_are_over(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "user_id long, ts timestamp, event_id long"
+    held = []
+    for part in ([(u, 1000 + u, u) for u in range(20)], [(100, 5000, 100)], [(101, 9000, 101), (3, 9001, 102)]):
+        df = spark.createDataFrame(part, "user_id long, s long, event_id long")
+        df.select("user_id", F.timestamp_seconds("s").alias("ts"), "event_id").repartition(2).write.mode("append").parquet(src)
+        query = jobs.history_stream(spark.readStream.schema(schema).parquet(src), out, cp)
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert held[0] == 20 and held[1] == 1 and held[2] == 2
+    got = {(r.user_id, r.event_id) for r in jobs.current_histories(spark, out).collect()}
+    assert got == {(u, u) for u in range(20) if u != 3} | {(100, 100), (101, 101), (3, 102)}
