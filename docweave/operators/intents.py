@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docweave.functions import intent
 from docweave.functions import text as tx
 from docweave.functions.scores import exact_mean
+from docweave.functions.vectors import cosine
+from docweave.operators.tables import written
 from docweave.operators.vector import vector_topk
 
 # Votes of the pattern and the vector classifier.
@@ -88,27 +90,36 @@ MAX_NEW = 4
 
 
 def novel_examples(candidates: DataFrame, prototypes: DataFrame, below: float = NOVEL_BELOW,
-                   max_new: int = MAX_NEW) -> DataFrame:
-    """Up to ``max_new`` queries per category unlike every prototype of that category.
+                   max_new: int = MAX_NEW, apart: float = NOVEL_BELOW) -> DataFrame:
+    """Up to ``max_new`` queries per category unlike every prototype of that category and unlike each other.
 
-    ``candidates(query_id, text, category, embedding)`` are taken in order of id and all
-    tested against the known prototypes; of equal texts (by query key) the first one counts.
+    ``candidates(query_id, text, category, embedding)`` are taken in order of id; of equal texts (by query key) the
+    first one counts. One that is accepted bars later ones more than ``apart`` like it. As many rounds as examples are
+    wanted decide this: the first open candidate of a category is accepted, and those like it go.
     """
     long_enough = candidates.filter(tx.word_count(F.col("text")) >= MIN_WORDS)
     nearest = vector_topk(long_enough, prototypes, 1, within="category").select("query_id", "score")
-    w = Window.partitionBy("category").orderBy("query_id")
     first = long_enough.groupBy("category", tx.query_key(F.col("text"))).agg(F.min("query_id").alias("query_id")).select("query_id")
-    return (
+    still = written(
         long_enough.join(first, "query_id", "left_semi").join(nearest, "query_id", "left")
         .filter(F.coalesce("score", F.lit(-1.0)) <= below)
-        .withColumn("pos", F.row_number().over(w).cast("bigint")).filter(F.col("pos") <= max_new)
-        .select("query_id", "category", "pos", intent.description_of(F.col("text")).alias("description"))
-    )
+        .select("query_id", "category", "embedding", intent.description_of(F.col("text")).alias("description")))
+    accepted = None
+    for pos in range(1, max_new + 1):
+        chosen = written(still.groupBy("category").agg(F.min_by(F.struct("query_id", "embedding", "description"), "query_id").alias("e")).select(
+            "category", F.col("e.query_id").alias("chosen"), F.col("e.embedding").alias("chosen_embedding"), F.col("e.description").alias("description")))
+        row = chosen.select(F.col("chosen").alias("query_id"), "category", F.lit(pos).cast("bigint").alias("pos"), "description")
+        accepted = row if accepted is None else accepted.unionByName(row)
+        if pos < max_new:
+            met = still.join(chosen.drop("description"), "category")
+            still = written(met.filter((F.col("query_id") != F.col("chosen")) & (
+                F.round(cosine(F.col("embedding"), F.col("chosen_embedding")), 6) <= apart)).select(still.columns))
+    return accepted
 
 
 def train_from_feedback(log: DataFrame, queries: DataFrame, prototypes: DataFrame, below: float = NOVEL_BELOW,
-                        max_new: int = MAX_NEW) -> DataFrame:
+                        max_new: int = MAX_NEW, apart: float = NOVEL_BELOW) -> DataFrame:
     """Confirmed entries of ``log(query_id, predicted, is_correct)`` as candidates for their category."""
     confirmed = log.filter("is_correct").select("query_id", F.col("predicted").alias("category"))
     return novel_examples(confirmed.join(queries.select("query_id", "text", "embedding"), "query_id"),
-                          prototypes, below, max_new)
+                          prototypes, below, max_new, apart)

@@ -11,6 +11,7 @@ from docweave.functions import text as tx
 from docweave.operators.postings import SHARD_DOCS, Postings, Store, blocked, inverse_frequency, saturation, search
 from docweave.operators.skew import hot_keys, salted_join
 from docweave.operators.tables import written
+from docweave.sources.tables import exists
 
 K1 = 1.5
 B = 0.75
@@ -156,7 +157,7 @@ def store_index(corpus: DataFrame, path: str, shard_docs: int = SHARD_DOCS) -> S
     spark = corpus.sparkSession
     store = Store(spark, path)
     first, fresh = 0, corpus
-    if _exists(spark, f"{path}/sizes"):
+    if exists(spark, f"{path}/sizes"):
         first = store.next_shard()
         fresh = corpus.join(store.lengths().select("doc_id"), "doc_id", "left_anti")
     index = LexicalIndex(written(build_index(fresh).rows))
@@ -164,11 +165,6 @@ def store_index(corpus: DataFrame, path: str, shard_docs: int = SHARD_DOCS) -> S
     return store
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def search_store(queries: DataFrame, store: Store, k: int = 4, k1: float = K1, b: float = B) -> DataFrame:
     """As ``bm25_topk``, over a stored index: texts are not read, only the blocks of the queries' terms."""
     qt = written(query_terms(queries))
@@ -187,6 +183,24 @@ def bm25_all(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B
     return _summed(g, w, hot).withColumn("score", F.round("score", 6))
 
 
+def weighted_embeddings(corpus: DataFrame, dim: int = 64) -> DataFrame:
+    """``(doc_id, embedding)``: terms hashed into ``dim`` buckets, weighted by rarity, unit length.
+
+    Made from postings in the JVM: a term's bucket and weight are found once for the whole corpus. Documents without
+    tokens have the zero vector; rows of one id are one document.
+    """
+    index = LexicalIndex(written(build_index(corpus).rows))
+    stats = index.stats.first()
+    bucket = (F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % dim).alias("bucket")
+    terms = written(index.terms.select("term", "df", bucket, _idf(stats).alias("idf")))
+    hot = hot_keys(terms.select("term", F.col("df").alias("n")), "term")
+    sums = salted_join(index.postings, terms.drop("df"), "term", hot, spread="doc_id").groupBy("doc_id", "bucket").agg(
+        F.sum(F.col("tf") * F.col("idf")).alias("x"))
+    held = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.try_element_at("m", b) / F.col("norm"), F.lit(0.0)))
+    return corpus.select("doc_id").distinct().join(held, "doc_id", "left").select("doc_id", vector.alias("embedding"))
+
+
 def domain_terms(corpus: DataFrame, group: str, n: int) -> DataFrame:
     """Top ``n`` TF-IDF terms of every group: ``(group, term, tf, df, weight, rank)``."""
     owner = corpus.select("doc_id", group)

@@ -273,6 +273,17 @@ def prototype_counts(spark, sf):
         F.count("*").alias("prototypes"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
+def s_greedy(source: str, apart: float = 0.85, picks: int = 4) -> str:
+    """Picks in order of id, each barring later candidates like it, from ``source(query_id, category, embedding)``."""
+    steps = [f"open1 AS (SELECT query_id, category, embedding FROM {source})"]
+    for k in range(1, picks + 1):
+        steps.append(f"take{k} AS (SELECT * FROM open{k} QUALIFY row_number() OVER (PARTITION BY category ORDER BY query_id) = 1)")
+        steps.append(f"""open{k + 1} AS (SELECT o.* FROM open{k} o JOIN take{k} t USING (category) WHERE o.query_id <> t.query_id
+  AND coalesce(round(list_dot_product(o.embedding, t.embedding) / nullif(sqrt(list_dot_product(o.embedding, o.embedding))
+    * sqrt(list_dot_product(t.embedding, t.embedding)), 0), 6), 0) <= {apart})""")
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT query_id, category, {k}::BIGINT AS pos FROM take{k}" for k in range(1, picks + 1))
+
+
 @query("novel_examples", with_inputs("query_vectors", f"""--cte
 candidates AS (SELECT *, (session_id % 10)::INT AS category FROM query_vectors JOIN (
   SELECT query_id, session_id FROM query_log) USING (query_id) WHERE {N} >= 3),
@@ -280,14 +291,12 @@ nearest AS (SELECT c.query_id, max(coalesce(round(list_dot_product(c.embedding,
     / nullif(sqrt(list_dot_product(c.embedding, c.embedding)), 0)
     / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6), 0)) AS score
   FROM candidates c JOIN embeddings e ON e.label = c.category GROUP BY 1),
-picked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY query_id) AS pos
-  FROM (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY category, {QKEY} ORDER BY query_id) = 1)
-  LEFT JOIN nearest USING (query_id) WHERE coalesce(score, -1) <= 0.25)
-SELECT query_id, category, pos FROM picked WHERE pos <= 4"""))
+picked AS (SELECT * FROM (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY category, {QKEY} ORDER BY query_id) = 1)
+  LEFT JOIN nearest USING (query_id) WHERE coalesce(score, -1) <= 0.25), {s_greedy("picked", 0.7)}"""))
 def novel_examples(spark, sf):
     log = derived.query_log(spark, sf).select("query_id", (F.col("session_id") % 10).cast("int").alias("category"))
     candidates = derived.query_vectors(spark, sf).join(log, "query_id")
-    return intents.novel_examples(candidates, derived.vectors(spark, sf), below=0.25).drop("description")
+    return intents.novel_examples(candidates, derived.vectors(spark, sf), below=0.25, apart=0.7).drop("description")
 
 
 @query("system_stats", with_inputs("query_log", f"""--cte {PATTERN}

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docweave.operators import feedback as fb
 from docweave.operators import intents, sessions
+from docweave.operators.examples import ExampleStore
 from docweave.operators.prototypes import nearest_example
+from docweave.operators.tables import shared_folder
 from docweave.plans import derived
 from docweave.plans.derived import with_inputs
-from docweave.plans.intents import NEAREST, PATTERN
-from docweave.plans.intents import QKEY
+from docweave.plans.intents import NEAREST, PATTERN, QKEY, s_greedy
 from docweave.plans.registry import query, s_count
 from docweave.sources.tables import table
 
@@ -56,16 +59,28 @@ right_ones AS (SELECT b.query_id, b.category, v.text, v.embedding FROM query_bes
 nearest AS (SELECT c.query_id, max(coalesce(round(list_dot_product(c.embedding, e.embedding::DOUBLE[])
     / nullif(sqrt(list_dot_product(c.embedding, c.embedding)), 0)
     / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6), 0)) AS score
-  FROM right_ones c JOIN embeddings e ON e.label = c.category GROUP BY 1)
-SELECT query_id, category, pos FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY query_id) AS pos
-  FROM (SELECT * FROM right_ones QUALIFY row_number() OVER (PARTITION BY category, {QKEY} ORDER BY query_id) = 1)
-  JOIN nearest USING (query_id) WHERE score <= 0.35) WHERE pos <= 4"""))
+  FROM right_ones c JOIN embeddings e ON e.label = c.category GROUP BY 1),
+picked AS (SELECT * FROM (SELECT * FROM right_ones QUALIFY row_number() OVER (PARTITION BY category, {QKEY} ORDER BY query_id) = 1)
+  JOIN nearest USING (query_id) WHERE score <= 0.35), {s_greedy("picked", 0.7)}"""))
 def train_from_feedback(spark, sf):
     """Queries whose nearest category was confirmed become descriptions of it, if they are novel."""
     vectors, log = derived.query_vectors(spark, sf), derived.query_log(spark, sf)
     predicted = nearest_example(vectors, derived.vectors(spark, sf)).select("query_id", F.col("category").alias("predicted"))
     verdicts = predicted.join(log.select("query_id", (F.col("session_id") % 4 != 0).alias("is_correct")), "query_id")
-    return intents.train_from_feedback(verdicts, vectors, derived.vectors(spark, sf), below=0.35).drop("description")
+    return intents.train_from_feedback(verdicts, vectors, derived.vectors(spark, sf), below=0.35, apart=0.7).drop("description")
+
+
+@query("example_centroids", """
+WITH dims AS (SELECT label AS category, unnest(range(1, len(embedding) + 1)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT category, pos::BIGINT AS dim, round(avg(x), 6) AS value, count(*) AS n FROM dims GROUP BY 1, 2""")
+def example_centroids(spark, sf):
+    """Centroids after examples were added in three batches that overlap; equal to those of all vectors at once."""
+    v = derived.vectors(spark, sf).withColumnRenamed("doc_id", "example_id")
+    store = ExampleStore(spark, f"{shared_folder(spark)}/examples/{uuid.uuid4().hex}")
+    for part in ("example_id % 3 = 0", "example_id % 2 = 0", "true"):
+        store.add(v.filter(part))
+    return store.centroids().select("category", F.posexplode("embedding").alias("pos", "value"), "n").select(
+        "category", (F.col("pos") + 1).cast("bigint").alias("dim"), F.round("value", 6).alias("value"), "n")
 
 
 @query("update_batches", with_inputs("feedback", """

@@ -169,6 +169,19 @@ def embed_hashed(spark, sf):
         .filter("x <> 0").select("doc_id", (F.col("pos") + 1).cast("bigint").alias("dim"), F.round("x", 6).alias("value")))
 
 
+@query("embed_weighted", f"""
+WITH {POSTINGS},
+wv_x AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 4))::INT % {DIM} AS b, sum(tf * ln((n_docs - df + 0.5) / (df + 0.5) + 1)) AS x
+  FROM postings JOIN terms USING (term), stats GROUP BY 1, 2),
+wv_n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM wv_x GROUP BY 1)
+SELECT doc_id, (b + 1)::BIGINT AS dim, round(x / norm, 6) AS value FROM wv_x JOIN wv_n USING (doc_id)""")
+def embed_weighted(spark, sf):
+    """The hashed embedding with rare terms weighted up."""
+    found = lexical.weighted_embeddings(_docs(spark, sf), DIM)
+    return found.select("doc_id", F.posexplode("embedding").alias("pos", "x")).filter("x <> 0").select(
+        "doc_id", (F.col("pos") + 1).cast("bigint").alias("dim"), F.round("x", 6).alias("value"))
+
+
 @query("cosine_pairs", """
 SELECT a.vec_id AS id_a, b.vec_id AS id_b,
   round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])

@@ -16,7 +16,8 @@ from docweave.functions import intent as it
 from docweave.functions import quality as ql
 from docweave.functions import text as tx
 from docweave.operators import (
-    cells, chunking, classifiers, context, fusion, incremental, lexical, postings, prototypes, ranks, sessions, setsim, vector,
+    cells, chunking, classifiers, context, examples, fusion, groups, hygiene, incremental, intents, lexical, postings, prototypes, ranks,
+    sessions, setsim, vector,
 )
 
 
@@ -233,6 +234,85 @@ def test_cells_equal_brute_force_and_leave_rings_out(spark, tmp_path):
     assert 0 < share < 0.25, share
 
 
+def test_examples_are_added_once_and_sums_add_up(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    every = [(i, int(rng.integers(0, 3)), rng.standard_normal(4).tolist()) for i in range(60)]
+    store = examples.ExampleStore(spark, str(tmp_path / "e"))
+    ddl = "example_id long, category int, embedding array<double>"
+    for part in (every[:20], every[10:50], every + every[:5] + [(99, 1, None)], []):
+        store.add(spark.createDataFrame(part, ddl))
+    assert store.examples().count() == 60
+    for r in store.centroids().collect():
+        mine = np.array([v for _, c, v in every if c == r.category])
+        assert r.n == len(mine) and r.embedding == pytest.approx(mine.mean(axis=0).tolist())
+    assert spark.read.parquet(str(tmp_path / "e" / "sums")).groupBy("category").agg(F.max("n").alias("n")).count() == 3
+
+
+def test_accepted_examples_bar_later_ones(spark):
+    rng = np.random.default_rng(6)
+    prototypes = [(0, 0, [1.0, 0.0, 0.0, 0.0]), (1, 1, [0.0, 1.0, 0.0, 0.0])]
+    candidates = [(i, f"three words {i}", i % 2, (np.round(rng.standard_normal(4), 1)).tolist()) for i in range(40)]
+    candidates += [(50, "two words", 0, [0.0, 0.0, 0.0, 1.0]), (51, "three words 1", 1, [0.0, 0.0, 0.0, 1.0])]
+    cos = lambda a, b: round(float(np.dot(a, b) / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-300)), 6)
+    want, seen = {}, set()
+    for i, text, c, v in sorted(candidates):
+        kept = want.setdefault(c, [])
+        if len(text.split()) < 3 or (c, text) in seen:
+            continue
+        seen.add((c, text))
+        if all(cos(v, p) <= .5 for _, k, p in prototypes if k == c) and len(kept) < 4 and all(cos(v, p) <= .3 for _, p in kept):
+            kept.append((i, v))
+    got = intents.novel_examples(
+        spark.createDataFrame(candidates, "query_id long, text string, category int, embedding array<double>"),
+        spark.createDataFrame(prototypes, "doc_id long, category int, embedding array<double>"), 0.5, 4, 0.3)
+    assert rows(got.select("category", "pos", "query_id")) == sorted((c, p + 1, i) for c, kept in want.items() for p, (i, _) in enumerate(kept))
+
+
+def plain_kept(sets, threshold):
+    kept = []
+    for i in sorted(sets):
+        if all(len(sets[i] & sets[k]) / len(sets[i] | sets[k]) <= threshold for k in kept):
+            kept.append(i)
+    return kept
+
+
+@pytest.mark.parametrize("in_task", [4_000_000, 150])
+def test_keep_first_and_groups_equal_plain_ones(spark, in_task):
+    rnd = random.Random(5)
+    docs = [(i, " ".join(f"c{j}" for j in range(i * 2, i * 2 + 40))) for i in range(25)]  # a chain: each like its neighbours
+    base = [f"b{j}" for j in range(40)]
+    docs += [(100 + i, " ".join(base[:-1] + [f"x{rnd.randint(0, 3)}"] + ([f"y{i}"] if i % 4 == 0 else []))) for i in range(30)]  # a family
+    docs += [(200 + i, " ".join(rnd.choices([f"r{j}" for j in range(60)], k=25))) for i in range(40)]
+    docs += [(300, ""), (301, ""), (302, docs[3][1])]
+    rnd.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = {i: set(t.split()) for i, t in docs if t}
+    kept = hygiene.drop_duplicates(df, in_task=in_task)
+    assert [r[0] for r in rows(kept.select("doc_id"))] == sorted(plain_kept(sets, .85) + [300])
+    group = {i: i for i in sets}
+    for _ in range(30):
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > .85:
+                    group[a] = group[b] = min(group[a], group[b])
+    sizes = Counter(group.values())
+    assert rows(hygiene.near_duplicate_groups(df).select("doc_id", "group_id")) == sorted((i, g) for i, g in group.items() if sizes[g] > 1)
+
+
+def test_connected_groups(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (95, 91), (7, 7)] + [(200, 300 + i) for i in range(50)]
+    got = dict(rows(groups.connected(spark.createDataFrame(edges, "id_a long, id_b long"))))
+    assert got == {**{i: 0 for i in range(61)}, **{i: 90 for i in (90, 91, 95, 100)}, 200: 200, **{300 + i: 200 for i in range(50)}}
+    assert groups.connected(spark.createDataFrame([], "id_a long, id_b long")).count() == 0
+
+
+def test_weighted_embedding_of_odd_texts(spark):
+    d = spark.createDataFrame([(1, "a a b"), (2, "b"), (3, ""), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.embedding for r in lexical.weighted_embeddings(d, 8).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[3] == got[4] == [0.0] * 8
+    assert all(sum(x * x for x in got[i]) == pytest.approx(1) for i in (1, 2))
+
+
 def test_cells_without_rows(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
