@@ -51,6 +51,23 @@ def test_refresh_store(spark, tmp_path):
     got = {(r.doc_id, r.text) for r in api.chunks_of(spark, store).collect()}
     assert got == {(d, t.strip()) for d, t in changed}
     assert api.refresh(spark, make(changed), store, force=True) == "rebuild"
+    assert {(r.doc_id, r.text) for r in api.chunks_of(spark, store).collect()} == got
+
+
+def test_refresh_writes_touched_buckets_only(spark, tmp_path):
+    store, docs = str(tmp_path / "store"), [(i, f"text number {i}") for i in range(60)]
+    make = lambda d: spark.createDataFrame(d, "doc_id long, text string")
+    assert api.refresh(spark, make(docs), store, buckets=8) == "rebuild"
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    docs[7] = (7, "edited")
+    assert api.refresh(spark, make(docs), store) == "incremental"
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    new = set(after) - set(before)
+    assert before.items() <= after.items() and len({f.parent.name for f in new}) == 1 and len(new) == 2
+    assert {(r.doc_id, r.text) for r in api.chunks_of(spark, store).collect()} == set(docs)
+    assert api.refresh(spark, make([]), store) == "incremental" and api.chunks_of(spark, store).count() == 0
+    assert api.refresh(spark, make([]), store) == "load"
+    assert api.refresh(spark, make([]), str(tmp_path / "none")) == "rebuild" and api.chunks_of(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_answer_and_evaluate(spark):
