@@ -8,12 +8,11 @@ together for ``STEP`` levels with chance s ** STEP; at 0.8 all trees lose a pair
 
 1. In the first few trees every member of a node is compared with one member drawn at random (a star). Links
    confirmed on the full sets join the members of a family, however large, with one row per member and tree.
-2. In all trees, only nodes are looked at whose members are not one class yet. Their stars compare the
-   members outside the class of the one drawn, so a family costs nothing more in the trees that follow.
-3. Small nodes compare all members that are not joined yet, exhaustively. A large node that is mostly one family
+2. In all trees, only nodes are looked at whose members are not one class yet, so a family costs nothing more in the trees that
+   follow. Small nodes compare all members of different classes, exhaustively. A large node that is mostly one family
    would not get smaller by branching: there, those outside the family are compared with all in blocks
    of bounded size, once for all trees.
-4. Other large nodes branch on. Each is continued ``BRANCHES`` times, by different tokens, so that a pair which
+3. Other large nodes branch on. Each is continued ``BRANCHES`` times, by different tokens, so that a pair which
    met in a node meets again below in one of them: over all trees, a pair at 0.8 is lost less than once in 100,000 there. Members of
    nodes that are still large after the last look are compared in blocks.
 
@@ -37,9 +36,9 @@ TOKENS = 64
 TREES = 32
 #: Levels that are walked before nodes are looked at, and between two looks.
 STEP = 4
-LOOKS = 3
+LOOKS = 2
 #: Trees of the first stars; continuations of a large node.
-OPENING = 4
+OPENING = 8
 BRANCHES = 4
 #: Nodes of up to so many sets are compared exhaustively.
 SMALL = 24
@@ -172,16 +171,15 @@ def _nodes(members: DataFrame) -> DataFrame:
 
 
 def _placed(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(id, path, class, size, pivot_class, pivot, most, family)`` of the nodes that hold more than one class.
+    """``(id, path, class, size, most, family)`` of the nodes that hold more than one class.
 
     ``family`` is the class with the ``most`` members of a node, ids without a link are their own class.
     """
-    placed = nodes.select("id", "path", "size", "pivot").join(classes, "id", "left").select(
-        "id", "path", "size", "pivot", F.coalesce("component", "id").alias("class"))
-    counts = placed.groupBy("path", "class").agg(F.count("*").alias("n"), F.max(F.col("id") == F.col("pivot")).alias("drawn"))
-    held = written(counts.groupBy("path").agg(
-        F.max_by("class", F.struct("n", "class")).alias("family"), F.max("n").alias("most"), F.max_by("class", "drawn").alias("pivot_class"),
-        F.count("*").alias("classes")).filter("classes > 1").drop("classes"))
+    placed = nodes.select("id", "path", "size").join(classes, "id", "left").select(
+        "id", "path", "size", F.coalesce("component", "id").alias("class"))
+    held = written(placed.groupBy("path", "class").agg(F.count("*").alias("n")).groupBy("path").agg(
+        F.max_by("class", F.struct("n", "class")).alias("family"), F.max("n").alias("most"), F.count("*").alias("classes")).filter(
+        "classes > 1").drop("classes"))
     return written(placed.join(held, "path"))
 
 
@@ -323,19 +321,17 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         F.max_by("b", F.struct("agree", F.xxhash64("a", "b"))).alias("b"))
     classes = written(components(written(_confirmed(
         best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), items, percent))))
-    classes = _merged(classes, _confirmed(crossing(near.select("a", "b"), classes), items, percent))
 
-    groups = None
+    groups, open_pairs = None, crossing(near.select("a", "b"), classes)
     for look in range(LOOKS):
         there = _placed(nodes, classes)
-        stars = there.filter(F.col("class") != F.col("pivot_class")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        before, classes = classes, _merged(classes, _confirmed(_agreeing(stars, sets).select("a", "b"), items, percent))
-        if classes is not before:
-            there = _placed(there, classes)
         one = there.filter(F.col("size") <= SMALL)
         left, right = (one.select("path", F.col("id").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
         pairs = left.join(right, "path").filter("class_a <> class_b and a < b").select("a", "b")
-        classes = _merged(classes, _confirmed(_agreeing(pairs, sets).select("a", "b"), items, percent))
+        found = _agreeing(pairs, sets).select("a", "b")
+        if look == 0:
+            found = found.unionByName(open_pairs).distinct()
+        classes = _merged(classes, _confirmed(found, items, percent))
         # nodes of one family in all trees make one group
         large = there.filter(F.col("size") > SMALL).withColumn("dense", F.col("most") * 2 >= F.col("size"))
         group = F.when(F.col("dense"), F.xxhash64(F.lit("family"), "family"))
