@@ -39,6 +39,19 @@ def ingest_files(spark, sf):
     return loaded.select("filetype", F.regexp_extract("relative_path", "^(.*)/[^/]*$", 1).alias("folder"), F.md5("text").alias("text_key"))
 
 
+@query("ingest_csv", """
+SELECT 'documents' AS folder, md5('doc_id: ' || doc_id || chr(10) || 'lang: ' || lang || chr(10) || 'text: ' || text) AS text_key FROM documents
+UNION ALL SELECT 'items', md5('item_id: ' || item_id || chr(10) || 'text: ' || text) FROM benchmark""")
+def ingest_csv(spark, sf):
+    """CSV files of two headers in one folder; texts hold line breaks and quotes."""
+    at = _folder(spark)
+    for name, rows in (("documents", table(spark, sf, "documents").select("doc_id", "lang", "text")), ("items", table(spark, sf, "benchmark").select("item_id", "text"))):
+        rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(f"{at}/{name}")
+    loaded = files.load_files(spark, at, ["csv"])
+    return loaded.select(F.regexp_extract("relative_path", "^([^/]*)/", 1).alias("folder"), F.md5("text").alias("text_key"))
+
+
 @query("ingest_types", "SELECT doc_id, length(text)::BIGINT + 1 AS n_chars FROM documents")
 def ingest_types(spark, sf):
     """Only the text files of the same folders."""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docweave.operators.tables import written
+
 # File extensions by the way they are read.
 TEXT_TYPES = ["txt", "md", "py", "js", "ts", "html", "css", "java", "groovy", "text"]
 ROW_TYPES = ["csv"]
@@ -45,17 +47,80 @@ def _decoded(text: Column) -> Column:
     return F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
 
 
-def _csv_rows(spark: SparkSession, paths) -> DataFrame | None:
-    """One document per row, as ``column: value`` lines. Files are read together per header."""
-    whole = _whole(spark, paths, ROW_TYPES)
-    heads = whole.select("_path", F.substring_index("text", "\n", 1).alias("head")).groupBy("head").agg(
-        F.collect_list("_path").alias("files"))
-    parts = []
-    for files in (r["files"] for r in heads.toLocalIterator()):
-        rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option("escape", '"').csv(files)
-        line = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in rows.columns]
-        parts.append(rows.select(F.col("_metadata.file_path").alias("_path"), F.concat_ws("\n", *line).alias("text")))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+# Parts of a CSV line: a quoted field with doubled quotes inside, and fields that are closed.
+QUOTED = '"[^"]*+(?:""[^"]*+)*+'
+CLOSED = f'(?:(?:{QUOTED}"[^,]*+|[^",][^,]*+|),)*+'
+INSIDE = '[^"]*+(?:""[^"]*+)*+'
+FIELD = f'(?:\\A|,)(?:{QUOTED}"[^,]*+|[^,]*+)'
+
+
+def _state(before: Column, flips: Column, last: Column) -> Column:
+    """Whether a line begins inside quotes: the last line that settles it and the flips since, or ``before`` and all flips."""
+    return F.when(last.isNull(), (before + flips) % 2).otherwise((last["value"] + flips - last["flips"]) % 2)
+
+
+def _steps(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``_flips`` and ``_last`` of the rows before each row, of rows that map the state by ``f0`` and ``f1``."""
+    earlier = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    flip = ((F.col("f0") == 1) & (F.col("f1") == 0)).cast("bigint")
+    settled = F.when(F.col("f0") == F.col("f1"), F.struct(F.col("f0").cast("bigint").alias("value"), F.col("_upto").alias("flips")))
+    return df.withColumn("_upto", F.sum(flip).over(upto)).withColumn(
+        "_flips", F.coalesce(F.sum(flip).over(earlier), F.lit(0))).withColumn("_last", F.last(settled, True).over(earlier))
+
+
+def _records(spark: SparkSession, paths) -> DataFrame:
+    """``(_path, _rec, text)``: records of CSV files, however a line break in quotes and a file's splits cut them.
+
+    Each line maps the state before it (outside or inside quotes) to the one behind it. The maps are composed inside a split
+    of a file, then over the splits of each file, so no task reads a whole file.
+    """
+    outside = F.col("value").rlike(f"\\A{CLOSED}{QUOTED}\\z").cast("int")
+    inside = F.col("value").rlike(f'\\A{INSIDE}(?:\\z|"[^,]*+,{CLOSED}{QUOTED}\\z)').cast("int")
+    lines = written(
+        spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("lineSep", "\n")
+        .option("pathGlobFilter", "*.{" + ",".join(ROW_TYPES) + "}").text(paths)
+        .select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_at"), "value")
+        .withColumns({"f0": outside, "f1": inside}))
+    stepped = written(_steps(lines.drop("value"), ["_path", "_block"], ["_at"]).withColumns({
+        f"s{k}": _state(F.lit(k), F.col("_flips"), F.col("_last")) for k in (0, 1)}).select("_path", "_block", "_at", "f0", "f1", "s0", "s1"))
+    behind = {f"f{k}": F.max_by(F.when(F.col(f"s{k}") == 1, F.col("f1")).otherwise(F.col("f0")), "_at") for k in (0, 1)}
+    splits = _steps(stepped.groupBy("_path", "_block").agg(*(e.alias(c) for c, e in behind.items())), ["_path"], ["_block"]).select(
+        "_path", "_block", _state(F.lit(0), F.col("_flips"), F.col("_last")).alias("_enters"))
+    begun = stepped.join(splits, ["_path", "_block"]).select(
+        "_path", "_block", "_at", (F.when(F.col("_enters") == 1, F.col("s1")).otherwise(F.col("s0")) == 0).alias("_begins"))
+    here = Window.partitionBy("_path", "_block").orderBy("_at")
+    own = F.last(F.when(F.col("_begins"), F.struct("_block", "_at")), True).over(here)
+    marked = written(begun.withColumn("_rec", own))
+    latest = marked.groupBy("_path", "_block").agg(F.max("_rec").alias("_rec"))
+    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = latest.select("_path", "_block", F.last("_rec", True).over(earlier).alias("_carried"))
+    placed = marked.join(carried, ["_path", "_block"]).select("_path", "_block", "_at", F.coalesce("_rec", "_carried").alias("_rec"))
+    joined = lines.select("_path", "_block", "_at", "value").join(placed, ["_path", "_block", "_at"])
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("_block", "_at", "value"))), lambda e: e["value"])
+    return joined.groupBy("_path", "_rec").agg(F.regexp_replace(F.array_join(pieces, "\n"), "\r\\z", "").alias("text")).filter("text <> ''")
+
+
+def _fields(record: Column) -> Column:
+    """Values of a record: quotes around a field go, doubled ones inside count once."""
+    tokens = F.regexp_extract_all(record, F.lit(FIELD), F.lit(0))
+    plain = F.transform(tokens, lambda t: F.regexp_replace(t, "\\A,", ""))
+    return F.transform(plain, lambda t: F.when(
+        F.startswith(t, F.lit('"')), F.replace(F.regexp_extract(t, f'\\A"({INSIDE})"', 1), F.lit('""'), F.lit('"'))).otherwise(t))
+
+
+def _csv_rows(spark: SparkSession, paths) -> DataFrame:
+    """One document per row, as ``column: value`` lines, under the header of its own file.
+
+    Missing fields are empty, surplus ones are left out, blank lines are no records.
+    """
+    records = written(_records(spark, paths).withColumn("fields", _fields(F.col("text"))).select("_path", "_rec", "fields"))
+    heads = records.groupBy("_path").agg(F.min("_rec").alias("_rec")).join(records, ["_path", "_rec"]).select(
+        "_path", F.col("_rec").alias("_first"), F.col("fields").alias("head"))
+    named = records.join(heads, "_path").filter(F.col("_rec") != F.col("_first"))
+    line = F.transform("head", lambda h, i: F.concat(h, F.lit(": "), F.coalesce(F.get("fields", i), F.lit(""))))
+    return named.select("_path", F.array_join(line, "\n").alias("text"))
 
 
 def load_files(spark: SparkSession, paths: str | list[str], types: list[str] | None = None, root: str = "") -> DataFrame:
@@ -72,8 +137,8 @@ def load_files(spark: SparkSession, paths: str | list[str], types: list[str] | N
         if any(t in VALUE_TYPES for t in wanted):
             value = F.to_json(F.try_parse_json("text"))
             parts.append(_whole(spark, paths, VALUE_TYPES).withColumn("text", value).filter("text is not null"))
-        if any(t in ROW_TYPES for t in wanted) and (rows := _csv_rows(spark, paths)) is not None:
-            parts.append(rows)
+        if any(t in ROW_TYPES for t in wanted):
+            parts.append(_csv_rows(spark, paths))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -39,6 +39,39 @@ def test_load_files(spark, tmp_path):
     assert chunks.count() >= 2 and chunks.filter("source is null").count() == 0
 
 
+def test_csv_records_across_lines_and_splits(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    rnd, want = random.Random(3), set()
+    for name, head in (("a", ["id", "note"]), ("b", ["x", "y", "z"])):
+        rows = [[str(i), *(rnd.choice(['plain', 'a,b', 'say "hi"', 'two\nlines', '"', ',\n"', '', 'é ü', ' 5" pipe', '\n\n,"\n'])
+                           for _ in head[1:])] for i in range(300)]
+        out = io.StringIO()
+        w = csv.writer(out, lineterminator="\r\n" if name == "b" else "\n")
+        w.writerow(head)
+        for i, r in enumerate(rows):
+            w.writerow(r[:-1] if i == 7 else [*r, "surplus"] if i == 8 else r)
+            if i == 9:
+                out.write("\n")
+            r = [*r[:-1], ""] if i == 7 else r
+            want.add((f"{name}.csv", "\n".join(f"{h}: {v}" for h, v in zip(head, r))))
+        (tmp_path / f"{name}.csv").write_text(out.getvalue(), newline="")
+    (tmp_path / "stray.csv").write_text('k,size\n1,5" pipe\n2,"6"" pipe"\n')
+    want |= {("stray.csv", 'k: 1\nsize: 5" pipe'), ("stray.csv", 'k: 2\nsize: 6" pipe')}
+    (tmp_path / "head.csv").write_text("only,head\n")
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = [(r.filename, r.text) for r in files.load_files(spark, str(tmp_path), ["csv"]).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", small[1])
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_refresh_store(spark, tmp_path):
     store = str(tmp_path / "store")
     docs = [(i, f"text number {i} " * 5) for i in range(20)]
