@@ -16,6 +16,8 @@ from docweave.sources.tables import exists
 K1 = 1.5
 B = 0.75
 
+#: Characters of text that make a posting at most once; for the number of shards.
+CHARS_PER_POSTING = 4
 DOCUMENT = ""  # the term of the row that stands for the document itself
 
 
@@ -143,13 +145,19 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int = 4,
     qt = written(query_terms(queries))
     wanted = qt.select("term").distinct()
     if index is None:
-        index = LexicalIndex(written(build_index(corpus, wanted).rows))
+        rows = build_index(corpus, wanted).rows
+        n_docs, chars = corpus.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        n_rows = chars // CHARS_PER_POSTING
     else:
-        index = LexicalIndex(index.rows.join(
-            wanted.unionByName(wanted.limit(1).select(F.lit(DOCUMENT).alias("term"))), "term", "left_semi"))
-    stats = index.stats.first()
-    blocks, _ = blocked(index.postings, stats.n_docs, index.rows.count(), shard_docs=shard_docs)
-    return _ranked(search(qt, Postings(written(blocks), *stats), k, k1, b))
+        rows = index.rows.join(
+            wanted.unionByName(wanted.limit(1).select(F.lit(DOCUMENT).alias("term"))), "term", "left_semi")
+        n_docs, n_rows = index.stats.first()[0], rows.count()
+    # the rows that stand for documents make blocks too: one table has postings and statistics
+    every = written(blocked(rows, n_docs, n_rows, shard_docs=shard_docs)[0])
+    sizes = every.filter(F.col("term") == DOCUMENT).agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.aggregate("dls", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))).first()
+    blocks = every.filter(F.col("term") != DOCUMENT)
+    return _ranked(search(qt, Postings(blocks, *sizes), k, k1, b))
 
 
 def store_index(corpus: DataFrame, path: str, shard_docs: int = SHARD_DOCS) -> Store:
