@@ -46,6 +46,8 @@ SMALL = 24
 #: 0.8 that is five standard deviations below what is expected.
 AGREE = 0.55
 BLOCK = 512
+#: Bytes of text that are shingled at once: hashing takes some thirty times as much.
+SLICE = 2 << 20
 SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -105,7 +107,7 @@ def _sets(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """``(id, n, set, signature)``: set size, digest of the set and its minwise tokens (null if empty)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 items, begin = shingle_hashes(part.column(1), size)
                 n = np.diff(begin)
                 full = np.flatnonzero(n > 0)
@@ -126,7 +128,7 @@ def _items(documents: DataFrame, kind: str, size: int) -> DataFrame:
     """``(id, items)`` from ``documents(id, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 items, begin = shingle_hashes(part.column(1), size)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(
                     pa.array(begin, pa.int32()), pa.array(items.view(np.int64)))], names=["id", "items"])
