@@ -24,9 +24,10 @@ AVAILABLE = {"availableNow": True}
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of a data folder as a file stream."""
+    """A table of a data folder as a file stream; the table is one file or a folder of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # a stream takes no single file by its name, but by a pattern that only this name fits
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def _each_batch(stream: DataFrame, save, checkpoint: str, mode: str, trigger: dict | None) -> StreamingQuery:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweave import api
@@ -182,3 +183,18 @@ def test_history_state_goes_when_sessions_are_over(spark, tmp_path):
     assert held[0] == 20 and held[1] == 1 and held[2] == 2
     got = {(r.user_id, r.event_id) for r in jobs.current_histories(spark, out).collect()}
     assert got == {(u, u) for u in range(20) if u != 3} | {(100, 100), (101, 101), (3, 102)}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_table_stream_reads_a_file_and_a_folder(spark, tmp_path, files):
+    """A table may be one file or a folder of files beside other tables."""
+    for name in ("documents", "labels"):
+        spark.range(9 if name == "documents" else 4).selectExpr("id AS doc_id", "concat('t', id) AS text").repartition(files).write.parquet(
+            f"{tmp_path}/{name}.parquet" if files > 1 else f"{tmp_path}/parts/{name}")
+    if files == 1:
+        [part] = (tmp_path / "parts" / "documents").glob("*.parquet")
+        (tmp_path / "documents.parquet").write_bytes(part.read_bytes())
+    docs = jobs.table_stream(spark, str(tmp_path), "documents").select("doc_id", F.lit(0).alias("version"), "text")
+    out = f"{tmp_path}/out"
+    jobs.corpus_stream(docs, chunking.chunk_fixed, out, f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted(r.doc_id for r in jobs.current_chunks(spark, out).collect()) == list(range(9))
