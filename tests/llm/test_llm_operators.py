@@ -407,6 +407,17 @@ def test_lines_with_equal_surroundings(spark):
     assert all(got[k][0] == 0 for k in (0, 100, 200)) and all(got[300 + i][0] == 0 for i in range(20))
 
 
+def test_lines_with_new_surroundings(spark):
+    """With surroundings, a template counts the documents that bring it between new neighbours."""
+    docs = [(i, f"{chr(97 + i)} one\nsame words here\n{chr(97 + i)} two") for i in range(10)]
+    docs += [(100 + i, f"fixed before\nframed line\nfixed after\nown{chr(97 + i)}") for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r[0]: r[1:] for r in rows(line_templates.drop_recurring(df, min_docs=10, surroundings=True), "doc_id", "n_dropped", "text")}
+    assert got[0][0] == 0 and got[3] == (1, "d one\nd two")
+    # "fixed after" stands before ten own lines; the two lines above it always have the same neighbours
+    assert got[100][0] == 0 and got[105] == (1, "fixed before\nframed line\nownf")
+
+
 def test_hosts(spark):
     rules = [host_trust.Rule("allow", "good.test", "/"), host_trust.Rule("block", "bad.test", "/"), host_trust.Rule("block", "good.test", "/ads/")]
     pages = [
