@@ -6,6 +6,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -168,6 +170,38 @@ def test_bm25_bounds_and_salts_equal_brute_force(spark, seed, tmp_path, monkeypa
         assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-6)
 
 
+def test_blocks_are_not_copied_for_every_few_queries():
+    """Ten times the queries and shards bring a hundred times the pairs, but few more copies of blocks and of queries."""
+    for asking, shards, copies, groups in ((13_000, 13, 2, 13), (130_000, 125, 2, 25), (1_300_000, 1250, 20, 157)):
+        parts, of = postings.layout(asking, shards, 24)
+        assert parts <= copies and -(-shards // of) <= groups and parts * -(-shards // of) >= 24
+
+
+def test_sweep_equals_one_meeting_at_a_time():
+    """A large set of queries against several shards, in slices, with long and short lists."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    blocks = []
+    for shard in range(3):
+        for i, w in enumerate(words):
+            docs = sorted(rnd.sample(range(shard, 1200, 3), max(1, 300 // (i + 1))))
+            tfs, dls = ([rnd.randint(1, high) for _ in docs] for high in (5, 90))
+            blocks.append({"term": w, "shard": shard, "max_tf": max(tfs), "min_dl": min(dls), "docs": docs, "tfs": tfs, "dls": dls})
+    queries = []
+    for i in range(2100):
+        terms = rnd.sample([*words, "absent"], rnd.randint(1, 9))
+        queries.append({"query_id": i, "terms": terms, "ws": [rnd.random() + 0.1 for _ in terms]})
+    q, p = pa.Table.from_pylist(queries), pa.Table.from_pylist(blocks)
+    want = {}
+    for shard in range(3):
+        for i, d, s in zip(*(list(x) for x in postings._matched(q, p.filter(pc.equal(p["shard"], shard)), 4, 45.0, 1.5, 0.75))):
+            want.setdefault(i, []).append((-s, d.as_py()))
+    got = {}
+    for i, d, s in zip(*(x.tolist() for x in postings._swept(q, p, 4, 45.0, 1.5, 0.75))):
+        got.setdefault(i, []).append((-s, d))
+    assert got == {i: sorted(x)[:4] for i, x in want.items()}
+
+
 def test_index_written_and_read(spark, tmp_path):
     d = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a c")], "query_id long, text string")
