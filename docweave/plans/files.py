@@ -24,8 +24,9 @@ def _folder(spark) -> str:
 def _tree(spark, sf) -> str:
     """A text file per document, a JSON file per page, and the benchmark as CSV."""
     at = _folder(spark)
-    table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(f"{at}/docs")
-    table(spark, sf, "pages").select("page_id", "url").repartition("page_id").write.partitionBy("page_id").json(f"{at}/pages")
+    for name, rows in (("docs/doc_id=%s/part.txt", table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("line"))),
+                       ("pages/page_id=%s/part.json", table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.to_json(F.struct("url")).alias("line")))):
+        files.write_files(rows.select(F.format_string(name, F.coalesce(F.col("id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))).alias("name"), "line"), at)
     table(spark, sf, "benchmark").select("item_id", "text").write.option("header", True).option("escape", '"').csv(f"{at}/items")
     return at
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +38,18 @@ def _described(df: DataFrame, folder: str) -> DataFrame:
     )
 
 
+@contextmanager
+def _listing(spark: SparkSession):
+    """Folders are listed by a few tasks a core; Spark's own number is up to 10,000 tasks of a folder or a few each, most of it start-up."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    former = spark.conf.get(name)
+    spark.conf.set(name, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, former)
+
+
 def _whole(spark: SparkSession, paths, types: list[str]) -> DataFrame:
     return (
         spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
@@ -132,13 +149,14 @@ def load_files(spark: SparkSession, paths: str | list[str], types: list[str] | N
     root = root or (paths if isinstance(paths, str) else "")
     parts = []
     try:
-        if text_types := [t for t in wanted if t in TEXT_TYPES]:
-            parts.append(_whole(spark, paths, text_types).withColumn("text", _decoded(F.col("text"))))
-        if any(t in VALUE_TYPES for t in wanted):
-            value = F.to_json(F.try_parse_json("text"))
-            parts.append(_whole(spark, paths, VALUE_TYPES).withColumn("text", value).filter("text is not null"))
-        if any(t in ROW_TYPES for t in wanted):
-            parts.append(_csv_rows(spark, paths))
+        with _listing(spark):
+            if whole := [t for t in wanted if t not in ROW_TYPES]:
+                # one listing for texts and values
+                is_value = F.regexp_extract("_path", r"\.([^./]+)$", 1).isin(VALUE_TYPES)
+                parts.append(_whole(spark, paths, whole).withColumn("text", F.when(is_value, F.to_json(F.try_parse_json("text"))).otherwise(
+                    _decoded(F.col("text")))).filter("text is not null"))
+            if any(t in ROW_TYPES for t in wanted):
+                parts.append(_csv_rows(spark, paths))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -155,11 +173,32 @@ def with_doc_id(files: DataFrame) -> DataFrame:
 
 def file_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Files and last change per extension, without reading contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    with _listing(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.groupBy(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("filetype")).agg(
         F.count("*").alias("files"), F.max("modificationTime").alias("last_update"))
 
 
+def write_files(lines: DataFrame, folder: str) -> None:
+    """A file for each name of ``lines(name, line)``, with its lines in any order; null is an empty line.
+
+    Tasks make the files at their place: a writer that partitions by name would leave the driver to move each one. Lines are
+    written as they come, so a file of any size needs a batch of memory. A task that is run again writes the same files anew.
+    """
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = FileSystem.from_uri(folder)
+        rows = ((str(n), v) for b in batches for n, v in zip(b.column(0), b.column(1).to_pylist()))
+        for name, group in groupby(rows, lambda r: r[0]):
+            at = f"{base.rstrip('/')}/{name}"
+            store.create_dir(at.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(at) as out:
+                for _, line in group:
+                    out.write(f"{line or ''}\n".encode())
+            yield pa.record_batch([pa.array([name])], names=["name"])
+
+    lines.select("name", "line").repartition("name").sortWithinPartitions("name").mapInArrow(put, "name string").write.format("noop").mode("overwrite").save()
+
+
 def write_chunks_json(chunks: DataFrame, path: str, by: str | None = None) -> None:
     """Chunks as JSON lines; ``by`` names a low-cardinality column to lay them out by."""
     w = chunks.write.mode("overwrite")

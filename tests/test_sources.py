@@ -198,3 +198,24 @@ def test_table_stream_reads_a_file_and_a_folder(spark, tmp_path, files):
     out = f"{tmp_path}/out"
     jobs.corpus_stream(docs, chunking.chunk_fixed, out, f"{tmp_path}/checkpoint").awaitTermination()
     assert sorted(r.doc_id for r in jobs.current_chunks(spark, out).collect()) == list(range(9))
+
+
+def test_write_files(spark, tmp_path):
+    """A file in a folder of its own per name; equal names share one, null lines are empty."""
+    rows = [(f"docs/doc_id={i}/part.txt", f"é {i}\nmore") for i in range(300)] + [
+        ("docs/doc_id=7/part.txt", "twice"), ("docs/doc_id=none/part.txt", None), ("pages/p/part.json", '{"url":"u"}')]
+    at = f"{tmp_path}/tree"
+    files.write_files(spark.createDataFrame(rows, "name string, line string"), at)
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    former = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    loaded = files.load_files(spark, at, ["txt", "json"])
+    sc.setJobGroup("other", "other")
+    stages = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup("listing")
+              for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert sum(s.numTasks for s in stages) <= 4 * sc.defaultParallelism
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == former
+    got = {r.relative_path: r.text for r in loaded.collect()}
+    assert len(got) == 302 and got["docs/doc_id=3/part.txt"] == "é 3\nmore\n" and got["pages/p/part.json"] == '{"url":"u"}'
+    assert sorted(got["docs/doc_id=7/part.txt"].split("\n")) == ["", "more", "twice", "é 7"] and got["docs/doc_id=none/part.txt"] == "\n"
+    assert {r.filetype: r.files for r in files.file_stats(spark, at).collect()} == {"txt": 301, "json": 1}
