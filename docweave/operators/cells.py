@@ -30,6 +30,9 @@ WIDTH = 2.0 / RINGS
 #: Rows of a cell and queries that meet in one group.
 ROWS = 4096
 SLACK = 1e-5  # similarities are compared at six digits
+#: Distances that a task holds at once, and rows of a batch that it passes on.
+ENTRIES = 1 << 20
+BATCH = 8192
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -74,16 +77,18 @@ class Cells:
         """Store the rows of ``corpus(doc_id, embedding)``; null vectors are left out."""
         centres, kind = self.centres, corpus.schema["doc_id"].dataType
         vector = corpus.schema["embedding"].dataType.simpleString()
+        step = max(1, ENTRIES // len(centres))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    far = _distance(_vectors(batch.column(1)), centres)
+                for at in range(0, batch.num_rows, step):
+                    piece = batch.slice(at, step)
+                    far = _distance(_vectors(piece.column(1)), centres)
                     cell = far.argmin(axis=1)
                     far = far[np.arange(len(cell)), cell]
                     ring = np.minimum(far / WIDTH, RINGS - 1).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [*batch.columns, pa.array(cell, pa.int32()), pa.array(ring), pa.array(far)], names=["doc_id", "embedding", "cell", "ring", "far"])
+                        [*piece.columns, pa.array(cell, pa.int32()), pa.array(ring), pa.array(far)], names=["doc_id", "embedding", "cell", "ring", "far"])
 
         placed = written(corpus.filter("embedding is not null").select("doc_id", "embedding").mapInArrow(
             run, f"doc_id {kind.simpleString()}, embedding {vector}, cell int, ring int, far double"))
@@ -142,11 +147,12 @@ class Cells:
         """``(query_id, embedding, part, cell, ring, block)``: where each query is to be compared."""
         centres, kind = self.centres, queries.schema["query_id"].dataType
         blocks = -(-rings["n"] // ROWS)
+        step = max(1, ENTRIES // int(blocks.sum()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    piece = batch.slice(at, 1024)
+                for at in range(0, batch.num_rows, step):
+                    piece = batch.slice(at, step)
                     unit = _vectors(piece.column(1))
                     far = _distance(unit, centres)[:, rings["cell"]]
                     apart = np.maximum(np.maximum(rings["low"] - far, far - rings["high"]), 0)
@@ -158,10 +164,12 @@ class Cells:
                     times = blocks[ring]
                     row, ring = np.repeat(row, times), np.repeat(ring, times)
                     block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                    yield pa.RecordBatch.from_arrays([
-                        piece.column(0).take(pa.array(row)), piece.column(1).take(pa.array(row)), pa.array(rings["cell"][ring], pa.int32()),
-                        pa.array(rings["ring"][ring], pa.int32()), pa.array(block, pa.int32()), pa.array(np.repeat(times, times), pa.int32())],
-                        names=["query_id", "embedding", "cell", "ring", "block", "blocks"])
+                    for low in range(0, len(row), BATCH):
+                        own, of = pa.array(row[low:low + BATCH]), slice(low, low + BATCH)
+                        yield pa.RecordBatch.from_arrays([
+                            piece.column(0).take(own), piece.column(1).take(own), pa.array(rings["cell"][ring[of]], pa.int32()),
+                            pa.array(rings["ring"][ring[of]], pa.int32()), pa.array(block[of], pa.int32()), pa.array(blocks[ring[of]], pa.int32())],
+                            names=["query_id", "embedding", "cell", "ring", "block", "blocks"])
 
         vector = queries.schema["embedding"].dataType.simpleString()
         out = queries.select("query_id", "embedding", "floor").mapInArrow(

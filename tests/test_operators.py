@@ -376,6 +376,37 @@ def test_vector_topk_equals_brute_force(spark, kw):
         assert swapped.count() == len(d)
 
 
+def test_grid_copies_each_side_a_few_times():
+    """Blocks grow with the tables, up to a bound of their bytes; small tables keep the rows asked for."""
+    assert vector.grid_blocks(2_000, 2_000, 1000, 64, 8) == (2, 2)
+    assert vector.grid_blocks(60_000, 60_000, 1000, 64, 12) == (7, 7)
+    assert vector.grid_blocks(615_000, 615_000, 1000, 64, 12) == (19, 19)
+    assert -(-615_000 // 19) * 64 * 8 <= vector.GRID_BYTES
+
+
+def test_floor_is_reached_by_k_entries():
+    rng = np.random.default_rng(3)
+    for n, k in ((7, 5), (5, 5), (40, 1), (1000, 5), (1003, 20)):
+        sims = rng.normal(size=(30, n)).round(1)
+        floor = vector._floor(sims, k)
+        assert ((sims >= floor[:, None]).sum(axis=1) >= min(n, k)).all()
+    sims[:, 3] = np.nan
+    assert (vector._floor(sims, 20) == np.partition(sims, 983, axis=1)[:, 983]).all()
+
+
+def test_cells_in_small_pieces(spark, tmp_path, monkeypatch):
+    """A task that may hold few distances at once finds the same."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    q = d.limit(40).withColumnRenamed("doc_id", "query_id")
+    monkeypatch.setattr(cells, "ENTRIES", 60)
+    got = cells.Cells.learn(d, str(tmp_path / "c")).topk(q, 3)
+    want = vector.vector_topk(q, d, 3)
+    assert sorted(map(tuple, got.select("query_id", "doc_id", "score", "rank").collect())) == sorted(
+        map(tuple, want.select("query_id", "doc_id", "score", "rank").collect()))
+
+
 # --- set similarity ---
 
 @pytest.mark.parametrize("threshold,strict", [(0.85, True), (0.8, False), (0.5, False)])
