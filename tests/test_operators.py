@@ -407,6 +407,15 @@ def test_cells_in_small_pieces(spark, tmp_path, monkeypatch):
         map(tuple, want.select("query_id", "doc_id", "score", "rank").collect()))
 
 
+def test_whole_index_shuffles_texts_and_no_postings(spark):
+    d = spark.createDataFrame([(1, "a b a"), (2, None), (None, "c"), (1, "a d d")], "doc_id long, text string")
+    rows = lexical.build_index(d).rows
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(doc_id" in plan
+    got = sorted((r.doc_id or 0, r.dl, r.term, r.tf) for r in rows.collect())
+    assert got == [(0, 1, "", 1), (0, 1, "c", 1), (1, 3, "", 2), (1, 3, "a", 3), (1, 3, "b", 1), (1, 3, "d", 2)]
+
+
 # --- set similarity ---
 
 @pytest.mark.parametrize("threshold,strict", [(0.85, True), (0.8, False), (0.5, False)])
