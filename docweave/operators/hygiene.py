@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators.setsim import jaccard_groups, member_edges, set_groups, similar_sets
+from docweave.operators.setsim import jaccard_groups, set_groups, similar_sets
 from docweave.operators.tables import written
 
 # Limits of the checks and the marks dropped before texts are compared.
@@ -54,9 +54,9 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = NEAR_DUPLICATE) ->
 
     One row per document, however many of a group are alike.
     """
-    reps, members = set_groups(word_sets(docs))
+    reps, same = set_groups(word_sets(docs))
     groups = jaccard_groups(reps, threshold, strict=True)
-    same = member_edges(reps, members).join(groups.toDF("id_a", "group"), "id_a", "left").select(
+    same = same.join(groups.toDF("id_a", "group"), "id_a", "left").select(
         F.coalesce("group", "id_a").alias("group_id"), "id_a", F.col("id_b").alias("doc_id"))
     named = groups.select(F.col("group").alias("group_id"), F.col("id").alias("doc_id"))
     return named.unionByName(same.select("group_id", "doc_id")).unionByName(same.select("group_id", F.col("id_a").alias("doc_id"))).distinct()
@@ -89,8 +89,8 @@ def drop_duplicates(docs: DataFrame, threshold: float = NEAR_DUPLICATE, in_task:
     for itself. One with up to ``in_task`` items is decided in one task; in a larger one the lowest open id stays, which removes
     all that are like it, until what is open fits.
     """
-    reps, members = set_groups(word_sets(docs))
-    lost = member_edges(reps, members).select(F.col("id_b").alias("doc_id"))
+    reps, same = set_groups(word_sets(docs))
+    lost = same.select(F.col("id_b").alias("doc_id"))
     held = written(reps.select("id", "n", "items").join(jaccard_groups(reps, threshold, strict=True), "id"))
     grouped, kept = held.select("id"), None
     while True:

@@ -1,5 +1,6 @@
 """Operators against brute force and fixed expectations."""
 
+import itertools
 import math
 import random
 import re
@@ -333,6 +334,31 @@ def test_keep_first_and_groups_equal_plain_ones(spark, in_task):
     assert rows(hygiene.near_duplicate_groups(df).select("doc_id", "group_id")) == sorted((i, g) for i, g in group.items() if sizes[g] > 1)
 
 
+@pytest.mark.parametrize("buckets", [1, 16, 1 << 21])
+def test_prefixes_and_sketches_lose_no_similar_sets(spark, buckets):
+    rnd = random.Random(8)
+    sets = {i: {f"w{rnd.choice([9, 30, 99]) * rnd.random():.0f}" for _ in range(rnd.randint(1, 30))} for i in range(80)}
+    sets |= {100 + i: (sets[i] - {min(sets[i])}) | {f"new{i % 3}"} for i in range(60)}
+    reps = spark.createDataFrame([(i, sorted(s), len(s)) for i, s in sets.items()], "id long, items array<string>, n int")
+    held = {r.id: r for r in setsim._prefixes(reps, 0.6, buckets).collect()}
+    assert held.keys() == sets.keys()
+    likenesses = 0
+    for a, b in itertools.combinations(sets, 2):
+        turned = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(held[a].sketch, held[b].sketch))
+        assert turned <= len(sets[a] ^ sets[b])
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6:
+            likenesses += 1
+            assert {p.item for p in held[a].places} & {p.item for p in held[b].places}
+    assert likenesses > 20
+
+
+def test_equal_sets_are_grouped_by_their_keys(spark):
+    rows_in = [(7, ["b", "a"]), (3, ["a", "b"]), (3, ["a", "b"]), (5, ["c"]), (6, []), (8, None), (9, ["a", "b"])]
+    reps, same = setsim.set_groups(spark.createDataFrame(rows_in, "id long, items array<string>"))
+    assert rows(reps.select("id", "items", "n")) == [(3, ["a", "b"], 2), (5, ["c"], 1)]
+    assert rows(same) == [(3, 7), (3, 9)]
+
+
 def test_connected_groups(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (95, 91), (7, 7)] + [(200, 300 + i) for i in range(50)]
     got = dict(rows(groups.connected(spark.createDataFrame(edges, "id_a long, id_b long"))))
