@@ -178,6 +178,22 @@ def test_blocks_are_not_copied_for_every_few_queries():
         assert parts <= copies and -(-shards // of) <= groups and parts * -(-shards // of) >= 24
 
 
+def test_every_pair_adds_up_in_bounded_groups(spark):
+    """Shards of few documents, sets of few queries, a document with a term twice, null ids and a query without a match."""
+    rnd = random.Random(9)
+    gains = [(rnd.choice([None, *range(40)]), f"t{rnd.randint(0, 12)}", rnd.random()) for _ in range(300)]
+    weights = [(q, t, rnd.random()) for q in [None, *range(11)] for t in rnd.sample([f"t{i}" for i in range(12)], 3)] + [(99, "absent", 1.0)]
+    want = Counter()
+    for q, t, w in weights:
+        for d, u, g in gains:
+            if t == u:
+                want[q, d] += w * g
+    got = postings.every_pair(spark.createDataFrame(weights, "query_id long, term string, w double"),
+                              spark.createDataFrame(gains, "doc_id long, term string, g double"), 40, 300, shard_docs=1, queries=4)
+    found = {(r.query_id, r.doc_id): r.score for r in got.collect()}
+    assert found == pytest.approx(dict(want)) and got.rdd.getNumPartitions() >= 3 * 40
+
+
 def test_sweep_equals_one_meeting_at_a_time():
     """A large set of queries against several shards, in slices, with long and short lists."""
     rnd = random.Random(8)
