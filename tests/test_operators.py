@@ -229,6 +229,18 @@ def test_index_written_and_read(spark, tmp_path):
     assert rows(lexical.bm25_topk(q, None, 4, index=again)) == rows(lexical.bm25_topk(q, d, 4))
 
 
+def test_stored_index_sends_texts_not_postings(spark, tmp_path, monkeypatch):
+    d = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, ""), (None, "c"), (2, "b c")], "doc_id long, text string")
+    made, add = [], postings.Store.add
+    monkeypatch.setattr(postings.Store, "add", lambda self, blocks, *more: (made.append(blocks), add(self, blocks, *more)))
+    store = lexical.store_index(d, str(tmp_path / "s"), 2)
+    assert made[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert rows(store.lengths()) == [(None, 1), (1, 3), (2, 2)]
+    held = store.postings(spark.createDataFrame([("b",), ("",)], "term string"))
+    assert (held.n_docs, held.n_tokens) == (3, 6)
+    assert sorted(zip(*(sum((r[c] for r in held.blocks.collect()), []) for c in ("docs", "tfs", "dls")))) == [(1, 1, 3), (2, 2, 2)]
+
+
 def test_stored_index_is_pruned_and_grows(spark, tmp_path):
     rnd = random.Random(4)
     docs = [(i, " ".join(rnd.choices([f"w{j}" for j in range(400)], k=20)) + (f" rare{i // 10}" if i % 10 == 0 else "")) for i in range(500)]
