@@ -1,9 +1,11 @@
 """Operators against brute force and fixed expectations."""
 
+import hashlib
 import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -18,6 +20,7 @@ from docweave.functions import formatting as fm
 from docweave.functions import intent as it
 from docweave.functions import quality as ql
 from docweave.functions import text as tx
+from docweave.functions import vectors
 from docweave.operators import (
     cells, chunking, classifiers, context, examples, fusion, groups, hygiene, incremental, intents, lexical, postings, prototypes, ranks,
     sessions, setsim, vector,
@@ -394,6 +397,35 @@ def test_connected_groups(spark):
     assert groups.connected(spark.createDataFrame([], "id_a long, id_b long")).count() == 0
 
 
+def test_hashed_embedding_takes_one_text_at_a_time_from_a_batch():
+    texts = [" ".join(f"w{i}x{j}" for j in range(300)) for i in range(1000)] + ["a", "", None]  # 300,000 terms
+    batch = pa.array(texts)
+    del texts
+    tracemalloc.start()
+    try:
+        got = vectors.hashed_embedding(8).func(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(got) == 1003 and got[-1].as_py() == got[-2].as_py() == [0.0] * 8
+    assert peak < 12 << 20, peak  # all texts as strings and all terms took 24 MB
+
+
+def test_hashed_embedding_equals_counts(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SEEN", 3)  # terms are forgotten and found again
+    texts = ["B a_1 b Äb äB ٣", "", None, "a" * 5000, " ".join(f"t{i % 7}" for i in range(100)), "B a_1 b Äb äB ٣"]
+    want = []
+    for text in texts:
+        n = Counter(int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % 8 for t in re.findall(r"\w+", (text or "").lower()))
+        norm = math.sqrt(sum(c * c for c in n.values()))
+        want.append([n[b] / norm if norm else 0.0 for b in range(8)])
+    udf = vectors.hashed_embedding(8)
+    assert udf.func(pa.array(texts)).to_pylist() == want
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", udf("text").alias("v"))
+    assert [list(r.v) for r in d.orderBy("doc_id").collect()] == want
+    assert d.filter("doc_id < 0").count() == 0 and d.schema["v"].dataType.simpleString() == "array<double>"
+
+
 def test_weighted_embedding_of_odd_texts(spark):
     d = spark.createDataFrame([(1, "a a b"), (2, "b"), (3, ""), (4, None)], "doc_id long, text string")
     got = {r.doc_id: r.embedding for r in lexical.weighted_embeddings(d, 8).collect()}
