@@ -25,6 +25,7 @@ from docweave.operators import (
     cells, chunking, classifiers, context, examples, fusion, groups, hygiene, incremental, intents, lexical, postings, prototypes, ranks,
     sessions, setsim, vector,
 )
+from docweave.operators.tables import written
 
 
 def rows(df, *order):
@@ -222,6 +223,28 @@ def test_sweep_equals_one_meeting_at_a_time():
     assert got == {i: sorted(x)[:4] for i, x in want.items()}
 
 
+@pytest.mark.parametrize("held", [1, 1_000_000])
+def test_many_queries_scan_documents_in_place(spark, monkeypatch, held):
+    """Several broadcast sets, shards of a few rows, one document with two lengths and a query without an id."""
+    rnd = random.Random(12)
+    text = lambda n: " ".join(f"w{min(rnd.randint(0, 40), rnd.randint(0, 40))}" for _ in range(n))
+    docs, queries = [(i, text(rnd.randint(0, 25))) for i in range(200)], [(i, text(rnd.randint(0, 6))) for i in range(30)]
+    for name, value in (("QUERIES", 7), ("SET_QUERIES", 12), ("SET_TERMS", 40), ("SHARD_POSTINGS", 90), ("HELD_NAMES", held)):
+        monkeypatch.setattr(postings, name, value)
+    q = spark.createDataFrame([*queries, (None, "w1 w2")], "query_id long, text string")
+    lists = lexical.term_lists(spark.createDataFrame(docs, "doc_id long, text string"))
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(doc_id" in plan
+    found = lexical.bm25_topk(q, spark.createDataFrame(docs, "doc_id long, text string"), 4, shard_docs=9)
+    got = sorted(tuple(r) for r in found.select("query_id", "doc_id", "rank", "score").collect())
+    want = brute_bm25(queries, docs, 4)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-6)
+    assert "cogroup" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    twice = lexical.term_lists(spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "a"), (2, "")], "doc_id long, text string")).collect()
+    assert [sorted(zip(r.terms, r.tfs, r.dls)) for r in twice] == [[("", 1, 1), ("", 2, 2), ("a", 1, 1), ("a", 2, 2), ("b", 2, 2)]]
+
+
 def test_index_written_and_read(spark, tmp_path):
     d = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a c")], "query_id long, text string")
@@ -571,6 +594,17 @@ def _optimized(spark, texts, query, size):
     return [r[0] for r in context.optimize_context(df, size).orderBy("rank").select("text").collect()]
 
 
+@pytest.mark.parametrize("size", ["small", "large"])
+def test_counted_context_leaves_texts_in_place(spark, size):
+    rows_of = [(i // 3, f"q {'test' if i % 2 else ''}", i % 3, "word, " * (900 * (i + 1))) for i in range(9)]
+    df = spark.createDataFrame(rows_of, "query_id long, query string, rank int, text string")
+    counted = written(df.groupBy("query_id").agg(F.sum(tx.token_estimate(F.col("text"))).alias("total")))
+    known = written(df.join(counted, "query_id"))
+    got = context.optimize_context(known, size, total="total")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got.drop("total"), "query_id", "query", "rank", "text") == rows(context.optimize_context(df, size), "query_id", "query", "rank", "text")
+
+
 def test_context_fixtures(spark):
     small = _optimized(spark, ["A" * 3000, "B" * 2000], "test query", "small")
     assert len(small) == 2 and len(small[0]) == 1536
