@@ -73,6 +73,24 @@ def test_csv_records_across_lines_and_splits(spark, tmp_path):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """No reader of Spark's lists the folders, so the driver holds no list; names, hidden and empty files are treated as by these readers."""
+    for name, data in (("a b%.txt", b"x"), ("sub/_k=1/k.txt", b"k"), ("sub/_hid/h.txt", b"h"), (".h.txt", b"h"), ("empty.txt", b""), ("U.TXT", b"u"),
+                       ("m.md", b"\xef\xbb\xbfm"), ("c.csv", b'\xef\xbb\xbfk,v\r\n1,"a\nb"\r\n' + b"2,c\n" * 200)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(files, "PART_BYTES", 50)
+    monkeypatch.setattr(files, "WALKED", 2)
+    monkeypatch.setattr(files, "TASK_FOLDERS", 1)
+    loaded = files.load_files(spark, str(tmp_path), ["txt", "md", "csv"])
+    got = sorted((r.relative_path, r.text) for r in loaded.collect())
+    assert got == [("a%20b%25.txt", "x"), ("c.csv", "k: 1\nv: a\nb")] + [("c.csv", "k: 2\nv: c")] * 200 + [("m.md", "\ufeffm"), ("sub/_k=1/k.txt", "k")]
+    assert all(not f.startswith(f"file://{tmp_path}") for f in loaded.inputFiles())
+    assert {r.filetype: r.files for r in files.file_stats(spark, str(tmp_path)).collect()} == {"txt": 3, "md": 1, "csv": 1}
+    assert files.load_files(spark, [str(tmp_path / "sub"), str(tmp_path / "none")]).count() == 0
+    assert files.load_files(spark, f"{tmp_path}/s*b", ["txt"]).count() == 1
+
+
 def test_refresh_store(spark, tmp_path):
     store = str(tmp_path / "store")
     docs = [(i, f"text number {i} " * 5) for i in range(20)]
