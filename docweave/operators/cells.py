@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docweave.operators.tables import written
-from docweave.operators.vector import Block, _compare, _unit
+from docweave.operators.vector import GRID_BYTES, Block, _compare, _keep_best, _unit
 
 #: Rows that centres are fitted on; every row is stored in a cell.
 SAMPLE = 20_000
 MOST_CELLS = 1024
 RINGS = 16
 WIDTH = 2.0 / RINGS
-#: Rows of a cell and queries that meet in one group.
+#: Rows and queries that meet in one group, at least; of short vectors as many as ``GRID_BYTES`` hold.
 ROWS = 4096
 SLACK = 1e-5  # similarities are compared at six digits
 #: Distances that a task holds at once, and rows of a batch that it passes on.
@@ -45,6 +45,14 @@ def _distance(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _bounds(unit: np.ndarray, centres: np.ndarray, rings: dict[str, np.ndarray]) -> np.ndarray:
+    """The most that the similarity of each vector to a row of each ring can be."""
+    far = _distance(unit, centres)[:, rings["cell"]]
+    apart = np.maximum(np.maximum(rings["low"] - far, far - rings["high"]), 0)
+    # rows without direction have similarity 0
+    return np.maximum(1 - apart * apart / 2, 0)
+
+
 class Cells:
     """Vectors stored at ``path`` by cell; any number of batches may be added."""
 
@@ -114,36 +122,106 @@ class Cells:
     def search(self, queries: DataFrame, k: int, prune: bool = True) -> tuple[DataFrame, DataFrame]:
         """The top-k, and ``(query_id, rings, searched)``: how many rings there are and were searched for each query."""
         queries = queries.filter("embedding is not null").select("query_id", "embedding")
-        rings = self.rings()
-        parts = -(-max(1, queries.count()) // ROWS)
+        rings, rows = self.rings(), max(ROWS, GRID_BYTES // (8 * self.centres.shape[1]))
+        parts = -(-max(1, queries.count()) // rows)
         if not len(rings["n"]):
             none = queries.select("query_id", F.lit(0).cast("bigint").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("rank")).limit(0)
             return none, queries.select("query_id", F.lit(0).alias("rings"), F.lit(0).alias("searched"))
 
-        def promising(bound: np.ndarray, _: np.ndarray) -> list[np.ndarray]:
+        def promising(bound: np.ndarray) -> list[np.ndarray]:
             order = np.argsort(-bound, axis=1, kind="stable")
             before = np.cumsum(rings["n"][order], axis=1) - rings["n"][order]
             return [o[b < k] for o, b in zip(order, before)]
 
-        def reached(bound: np.ndarray, floor: np.ndarray) -> list[np.ndarray]:
-            first = promising(bound, floor)
-            out = [np.flatnonzero(b >= f - SLACK) for b, f in zip(bound, floor)]
-            return [np.setdiff1d(o, f) for o, f in zip(out, first)]
-
-        chosen = written(self._chosen(queries.withColumn("floor", F.lit(-2.0)), rings, parts, promising))
-        first = written(self._compared(chosen, rings, k))
+        chosen = written(self._chosen(queries, rings, parts, promising))
+        first = self._compared(chosen, rings, k)
         window = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         best = first.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
         floor = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
         known = queries.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)) if prune else F.lit(-2.0))
-        more = written(self._chosen(known, rings, parts, reached))
-        top = first.unionByName(self._compared(more, rings, k)).withColumn("rank", F.row_number().over(window).cast("bigint")).filter(F.col("rank") <= k)
-        searched = chosen.select("query_id", "cell", "ring").unionByName(more.select("query_id", "cell", "ring")).distinct().groupBy("query_id").agg(
-            F.count("*").alias("searched"))
-        return top, searched.select("query_id", F.lit(len(rings["n"])).alias("rings"), F.col("searched").cast("int").alias("searched"))
+        asked = written(self._reaching(known, rings, rows, parts))
+        top = self._met(asked, rings, rows, parts, k).withColumn("rank", F.row_number().over(window).cast("bigint")).filter(F.col("rank") <= k)
+        return top, asked.groupBy("query_id").agg(F.lit(len(rings["n"])).alias("rings"), F.sum("reached").cast("int").alias("searched"))
+
+    @staticmethod
+    def _groups(rings: dict[str, np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The group of each ring, of about ``rows`` rows of neighbouring rings, and the blocks that a ring with more rows lies in."""
+        return (np.cumsum(rings["n"]) - rings["n"]) // rows, -(-rings["n"] // rows)
+
+    def _reaching(self, queries: DataFrame, rings: dict[str, np.ndarray], rows: int, parts: int) -> DataFrame:
+        """``(query_id, embedding, floor, reached, part, at, block)``: a row for each group of rings in which one reaches the floor."""
+        group, blocks = self._groups(rings, rows)
+        places = sorted({(g, i) for g, n in zip(group.tolist(), blocks.tolist()) for i in range(n)})
+        # rings in order of their first place; those in several blocks are in the places behind too
+        member = np.array([(group == g) & (blocks > i) for g, i in places])
+        step, centres = max(1, ENTRIES // len(group)), self.centres
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, step):
+                    piece = batch.slice(low, step)
+                    near = _bounds(_vectors(piece.column(1)), centres, rings) >= piece.column(2).to_numpy()[:, None] - SLACK
+                    for (g, i), rings_there in zip(places, member):
+                        n = near[:, rings_there].sum(axis=1)
+                        own = pa.array(np.flatnonzero(n))
+                        if len(own):
+                            # a ring counts once, in its first block
+                            count = near[:, rings_there].sum(axis=1) if i == 0 else 0 * n
+                            yield pa.RecordBatch.from_arrays([
+                                *(piece.column(c).take(own) for c in range(3)), pa.array(count[n > 0], pa.int64()),
+                                pa.array(np.full(len(own), g), pa.int32()), pa.array(np.full(len(own), i), pa.int32())],
+                                names=["query_id", "embedding", "floor", "reached", "at", "block"])
+
+        kind, vector = (queries.schema[c].dataType.simpleString() for c in ("query_id", "embedding"))
+        out = queries.select("query_id", "embedding", "floor").mapInArrow(
+            run, f"query_id {kind}, embedding {vector}, floor double, reached bigint, at int, block int")
+        return out.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+
+    def _met(self, asked: DataFrame, rings: dict[str, np.ndarray], rows: int, parts: int, k: int) -> DataFrame:
+        """Best ``k`` of each group of queries and rings: ``(query_id, doc_id, score)``. A query meets the cells of which a ring reaches its floor.
+
+        A query is sent once a group and a row once a part of the queries, whatever the rings.
+        """
+        group, blocks = self._groups(rings, rows)
+        lines = list(zip(rings["cell"].tolist(), rings["ring"].tolist(), group.tolist(), blocks.tolist()))
+        where = F.broadcast(self.spark.createDataFrame(lines, "cell int, ring int, _at int, blocks int"))
+        at = [r[0] for r in asked.select("at").distinct().collect()]  # at most as many as rings
+        stored = self.spark.read.parquet(f"{self.path}/rows").filter(F.col("cell").isin(sorted({c for c, _, g, _ in lines if g in set(at)})))
+        placed = stored.join(where, ["cell", "ring"]).withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        met = asked.select(F.col("at").alias("_at"), F.col("block").alias("_block"), F.col("part").alias("_part")).distinct()
+        held = placed.join(F.broadcast(met), ["_at", "_block"]).select("_at", "_block", "_part", "cell", "doc_id", "embedding")
+        asker, doc = asked.schema["query_id"].dataType, stored.schema["doc_id"].dataType
+        ids, names, centres = to_arrow_type(asker), to_arrow_type(doc), self.centres
+
+        def meet(q: pa.Table, d: pa.Table) -> pa.Table:
+            found = []
+            if q.num_rows and d.num_rows:
+                own, other = (Block(t.column(c).combine_chunks().to_numpy(zero_copy_only=False), _vectors(t.column("embedding").combine_chunks()), None)
+                              for t, c in ((q, "query_id"), (d, "doc_id")))
+                cell, floor, n = d.column("cell").to_numpy(), q.column("floor").to_numpy() - SLACK, 0
+                for value in np.unique(cell):
+                    here = {c: x[rings["cell"] == value] for c, x in rings.items()}
+                    step = max(1, ENTRIES // len(here["n"]))
+                    most = np.concatenate([_bounds(own.unit[low:low + step], centres, here).max(axis=1) for low in range(0, len(own.ids), step)])
+                    asks, of = np.flatnonzero(most >= floor), np.flatnonzero(cell == value)
+                    if len(asks):
+                        r, i, s = _compare(Block(own.ids[asks], own.unit[asks], None), Block(other.ids[of], other.unit[of], None), k)
+                        found.append((asks[r], i, s))
+                        n += len(r)
+                    if n > 4 * k * len(own.ids):
+                        found = [_keep_best(*(np.concatenate(x) for x in zip(*found)), k)]
+                        n = len(found[0][0])
+            if not found:
+                return pa.table({"query_id": pa.array([], ids), "doc_id": pa.array([], names), "score": pa.array([], pa.float64())})
+            r, i, s = _keep_best(*(np.concatenate(x) for x in zip(*found)), k)
+            return pa.table({"query_id": pa.array(own.ids[r], ids), "doc_id": pa.array(i, names), "score": pa.array(s, pa.float64())})
+
+        queries = asked.select("at", "block", "part", "query_id", "embedding", "floor").groupBy("at", "block", "part")
+        return queries.cogroup(held.groupBy("_at", "_block", "_part")).applyInArrow(
+            meet, f"query_id {asker.simpleString()}, doc_id {doc.simpleString()}, score double")
 
     def _chosen(self, queries: DataFrame, rings: dict[str, np.ndarray], parts: int,
-                choose: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
+                choose: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
         """``(query_id, embedding, part, cell, ring, block)``: where each query is to be compared."""
         centres, kind = self.centres, queries.schema["query_id"].dataType
         blocks = -(-rings["n"] // ROWS)
@@ -153,12 +231,7 @@ class Cells:
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     piece = batch.slice(at, step)
-                    unit = _vectors(piece.column(1))
-                    far = _distance(unit, centres)[:, rings["cell"]]
-                    apart = np.maximum(np.maximum(rings["low"] - far, far - rings["high"]), 0)
-                    # rows without direction have similarity 0
-                    bound = np.maximum(1 - apart * apart / 2, 0)
-                    found = choose(bound, piece.column(2).to_numpy())
+                    found = choose(_bounds(_vectors(piece.column(1)), centres, rings))
                     row = np.repeat(np.arange(len(found)), [len(f) for f in found])
                     ring = np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64)
                     times = blocks[ring]
@@ -172,7 +245,7 @@ class Cells:
                             names=["query_id", "embedding", "cell", "ring", "block", "blocks"])
 
         vector = queries.schema["embedding"].dataType.simpleString()
-        out = queries.select("query_id", "embedding", "floor").mapInArrow(
+        out = queries.select("query_id", "embedding").mapInArrow(
             run, f"query_id {kind.simpleString()}, embedding {vector}, cell int, ring int, block int, blocks int")
         return out.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
 

@@ -323,6 +323,24 @@ def test_cells_equal_brute_force_and_leave_rings_out(spark, tmp_path):
     assert 0 < share < 0.6, share  # how good the cells are depends on where k-means ends
 
 
+def test_cells_send_a_query_once_a_group(spark, tmp_path, monkeypatch):
+    """Without clusters all rings are in reach; a query is sent to groups of rings, a ring with many rows lies in several blocks."""
+    rng = np.random.default_rng(5)
+    docs = [(i, rng.standard_normal(4).tolist()) for i in range(300)] + [(300 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(150)]
+    d = spark.createDataFrame(docs, "doc_id long, embedding array<double>")
+    q = d.filter("doc_id % 5 = 0").withColumnRenamed("doc_id", "query_id")
+    monkeypatch.setattr(cells, "ROWS", 60)
+    monkeypatch.setattr(cells, "GRID_BYTES", 0)
+    sent, kept = [], cells.Cells._reaching
+    monkeypatch.setattr(cells.Cells, "_reaching", lambda self, *more: sent.append(kept(self, *more)) or sent[-1])
+    store = cells.Cells.learn(d, str(tmp_path / "c"), 16)
+    top, searched = store.search(q, 5, prune=False)
+    assert rows(top.select("query_id", "doc_id", "rank"), "query_id", "rank") == plain_topk([x for x in docs if x[0] % 5 == 0], docs, 5)
+    r = searched.first()
+    assert r.rings == r.searched == len(store.rings()["n"]) and r.rings > 20
+    assert sent[0].count() < 90 * 12  # groups of rings, fewer than there are rings
+
+
 def test_examples_are_added_once_and_sums_add_up(spark, tmp_path):
     rng = np.random.default_rng(3)
     every = [(i, int(rng.integers(0, 3)), rng.standard_normal(4).tolist()) for i in range(60)]
